@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnloom.llm import mixing, quality_rules, secrets
-from vulnloom.llm.common import table
+from vulnloom.llm import decontaminate, jaccard_join, language, mixing, quality_rules, secrets, toxicity
+from vulnloom.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
+    model = language.train(docs.filter(~held).select("text", "lang"))
+    predicted = language.predict(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return predicted.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind_name"] == kind)).cast("long")
@@ -60,6 +68,15 @@ FROM rated
 """
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 5) != 0)
+    model = toxicity.train(docs, labels)
+    held = F.coalesce(crc_mod(F.col("doc_id"), 5) == 0, F.lit(False))
+    scored = toxicity.score(docs.select("doc_id", held.alias("held_out"), "text"), model)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -98,11 +115,23 @@ FROM m
 """
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op2_language_id": op2_language_id,
         "op3_secret_scans": op3_secret_scans,
         "op4_source_mixing": op4_source_mixing,
+        "op6_toxicity": op6_toxicity,
         "op8_quality_rules": op8_quality_rules,
+        "op9_jaccard_join": op9_jaccard_join,
+        "op10_decontamination": op10_decontamination,
     }
 
 
