@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, jaccard_join, language, mixing, quality_rules, secrets, toxicity
+from vulnloom.llm import decontaminate, jaccard_join, language, mixing, pii, quality_rules, secrets, toxicity
 from vulnloom.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +77,18 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scanned = pii.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    return scanned.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(shown("base").cast("binary"), 256).alias("base_sha256"),
+        shown("spans").alias("spans"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
@@ -129,6 +141,7 @@ def queries() -> dict[str, Query]:
         "op3_secret_scans": op3_secret_scans,
         "op4_source_mixing": op4_source_mixing,
         "op6_toxicity": op6_toxicity,
+        "op7_personal_data": op7_personal_data,
         "op8_quality_rules": op8_quality_rules,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_decontamination": op10_decontamination,
