@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vulnloom.llm import decontaminate, jaccard_join, language, mixing, pii, quality_rules, secrets, toxicity
+from vulnloom.llm import decontaminate, jaccard_join, language, mixing, pii, quality_classifier, quality_rules, secrets, toxicity, warc
 from vulnloom.llm.common import crc_mod, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.coalesce(crc_mod(F.col("doc_id"), 4) == 2, F.lit(False))
@@ -68,6 +72,21 @@ FROM rated
 """
 
 
+def op5_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.read(spark, warc.write(table(spark, sf_dir, "pages")))
+
+
+OP5_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS payload_digest FROM p),
+f AS (SELECT payload_digest, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY payload_digest)
+SELECT d.page_id, CAST(d.payload_bytes AS BIGINT) AS payload_bytes, d.payload_digest,
+  CASE WHEN f.first > d.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN f.first > d.page_id THEN f.first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+"""
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 5) != 0)
@@ -137,9 +156,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_language_id": op2_language_id,
         "op3_secret_scans": op3_secret_scans,
         "op4_source_mixing": op4_source_mixing,
+        "op5_warc_bundles": op5_warc_bundles,
         "op6_toxicity": op6_toxicity,
         "op7_personal_data": op7_personal_data,
         "op8_quality_rules": op8_quality_rules,
@@ -149,4 +170,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": OP4_SQL, "op8_quality_rules": OP8_SQL}
+    return {"op4_source_mixing": OP4_SQL, "op5_warc_bundles": OP5_SQL, "op8_quality_rules": OP8_SQL}
