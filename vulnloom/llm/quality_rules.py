@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import SPACE_RUN, SPACES, words
+from vulnloom.llm.common import SPACE_RUN, SPACES, let, passing, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,41 +48,49 @@ def lines(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), has_word)
 
 
-def measure(docs: DataFrame, n: int = 5) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long).
+def repeated_words(windows: Column, n: int = 5) -> Column:
+    """Words that windows of n words cover whose hash occurs twice or more; ``windows`` has the hashes by position.
 
-    Repeated words: (window hash, position) pairs are sorted where a text has an equal pair at all, equal hashes are
-    then neighbours, and each of their positions covers n words or as many as lie before the next.  Each step is a
-    column of its own, as a lambda would evaluate a nested expression once per element.
+    Equal hashes are neighbours once (hash, position) pairs are sorted; each of their positions covers n words or as
+    many as lie before the next.
     """
-    text = F.coalesce(docs["text"], F.lit(""))
-    col = F.col
-    size = F.size("_hashes")
-    starts = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
-    placed = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     rest = lambda c: F.greatest(F.size(c) - 1, F.lit(0))
     paired = lambda c, f: F.zip_with(F.slice(c, 1, rest(c)), F.slice(c, 2, rest(c)), f)
-    no = F.lit(False)
-    twice = lambda x, k: F.coalesce(F.get(col("_equal"), k - 1), no) | F.coalesce(F.get(col("_equal"), k), no)
-    return (
-        docs.withColumns(
-            {
-                "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-                "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
-                "_lines": lines(docs["text"]),
-                "_hashes": F.transform(words(docs["text"]), lambda w: F.xxhash64(w)),
-            }
-        )
-        .withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"))
-        .withColumn("_windows", F.transform(starts, lambda i: F.xxhash64(*[F.get(col("_hashes"), i + k) for k in range(n)])))
-        .withColumn("_placed", F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), placed).otherwise(F.array().cast("array<struct<h:long,i:int>>")))
-        .withColumn("_equal", paired("_placed", lambda a, b: a["h"] == b["h"]))
-        .withColumn("_starts", F.sort_array(F.transform(F.filter("_placed", twice), lambda x: x["i"])))
-        .withColumn("_steps", paired("_starts", lambda a, b: F.least(b - a, F.lit(n))))
-        .withColumn("n_words", size.cast("long"))
-        .withColumn("n_repeat_words", F.when(F.size("_starts") > 0, F.aggregate("_steps", F.lit(n).cast("long"), lambda s, x: s + x)).otherwise(0).cast("long"))
-        .drop("_lines", "_hashes", "_windows", "_placed", "_equal", "_starts", "_steps")
-    )
+    at = lambda c, k: F.coalesce(F.get(c, k), F.lit(False))
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+
+    def starts(p: Column) -> Column:
+        twice = lambda equal: F.filter(p, lambda x, k: at(equal, k - 1) | at(equal, k))
+        return F.sort_array(F.transform(let(paired(p, lambda a, b: a["h"] == b["h"]), twice), lambda x: x["i"]))
+
+    covered = lambda s: F.aggregate(paired(s, lambda a, b: F.least(b - a, F.lit(n))), F.lit(n).cast("long"), lambda t, x: t + x)
+    return let(let(placed, starts), covered)
+
+
+def _counts(text: Column, n: int) -> Column:
+    """(n_words, n_repeat_words)."""
+
+    def of(hashes: Column) -> Column:
+        size = F.size(hashes)
+        spots = F.when(size >= n, F.sequence(F.lit(0), size - n)).otherwise(F.array().cast("array<int>"))
+        windows = F.transform(spots, lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(n)]))
+        again = let(windows, lambda w: F.when(F.size(F.array_distinct(w)) < F.size(w), repeated_words(w, n)).otherwise(F.lit(0).cast("long")))
+        return F.struct(size.cast("long").alias("n_words"), again.alias("n_repeat_words"))
+
+    return let(F.transform(words(text), lambda w: F.xxhash64(w)), of)
+
+
+def measure(docs: DataFrame, n: int = 5) -> DataFrame:
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.withColumns(
+        {
+            "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
+            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_dup_lines": let(lines(docs["text"]), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")),
+            "_counts": _counts(docs["text"], n),
+        }
+    ).select(*docs.columns, "word_chars", "n_symbols", "n_dup_lines", "_counts.n_words", "_counts.n_repeat_words")
 
 
 def base_failed() -> Column:
@@ -130,13 +138,13 @@ def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits
     rows = line_rows(docs, host).alias("r")
     hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.doc_id") != F.col("f.first_doc")))
     cut = hit.groupBy(F.col("r.doc_id").alias("_doc")).agg(F.collect_set("r.line").alias("_cut"))
-    measured = measure(docs).filter(~base_failed())
+    measured = passing(measure(docs), ~base_failed())
     joined = measured.join(cut, measured["doc_id"] == cut["_doc"], "left")
     stays = lambda x: ~F.array_contains(F.col("_cut"), F.xxhash64(normalised(x)))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
     left = F.size(words(F.col("text")))
     cleaned = joined.withColumn("text", text).withColumn("_left", left)
-    passed = cleaned.filter((F.col("_left") >= limits.min_words) & (F.col("_left") >= limits.min_left * F.col("n_words")))
+    passed = passing(cleaned, (F.col("_left") >= limits.min_words) & (F.col("_left") >= limits.min_left * F.col("n_words")))
     if "n_chars" in docs.columns:
         passed = passed.withColumn("n_chars", F.length("text").cast("long"))
     return passed.select(*docs.columns)
