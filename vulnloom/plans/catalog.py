@@ -5,17 +5,188 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from vulnloom.functions import exprs as X
+from vulnloom.operators import alerts, paths, scenarios
+from vulnloom.plans import oracle as O
+from vulnloom.sources.testbed import Graph, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Parameters of the questions that ask about one thing.
+VULN = "CVE-2024-4"
+PROJECT = "Customer#000000007"
+COMPONENT = "pkg:pypi/5"
+SINCE = "2025-06-01"
+NOW = "2025-06-01 00:00:00"
+
+REGISTRY: dict[str, tuple[Callable[[Graph], DataFrame], str | None]] = {}
+
+
+def register(name: str, build: Callable[[Graph], DataFrame], sql: str | None) -> None:
+    REGISTRY[name] = (build, sql)
+
+
+def flat(df: DataFrame, ordered: tuple[str, ...] = ("call_locations",)) -> DataFrame:
+    """Arrays of strings as text: sorted unless their order means something."""
+    arrays = [c for c, t in df.dtypes if t == "array<string>"]
+    return df.withColumns({c: F.array_join(F.col(c), "|") if c in ordered else X.joined(F.col(c)) for c in arrays})
+
+
+ALERT_COLUMNS = (
+    "project scan_id generated_at source_commit vuln_id internal_id all_components component_count cvss epss kev cwe published modified "
+    "fix_versions closest_depth all_scopes reachability_verdict call_locations risk_score severity"
+).split()
+
+
+def _alerts(g: Graph) -> DataFrame:
+    return flat(alerts.alerts(g)).select(*ALERT_COLUMNS)
+
+
+ALERT_ORDER = "risk_score DESC NULLS LAST, closest_depth ASC NULLS LAST, published DESC NULLS LAST, project, vuln_id"
+register("alerts_top", lambda g: (lambda a: a.orderBy(*alerts.by_risk(a)).limit(20))(_alerts(g)), O.over(f"SELECT {O.ALERT_OUT} FROM alerts ORDER BY {ALERT_ORDER} LIMIT 20", O.ALERTS))
+register("alerts_all", _alerts, O.over(f"SELECT {O.ALERT_OUT} FROM alerts", O.ALERTS))
+register(
+    "alerts_enterprise",
+    lambda g: flat(alerts.enterprise_alerts(g)).select("project", "scan_id", "generated_at", "source_commit", "vuln_id", "internal_id", "all_components", "component_count", "cvss", "closest_depth"),
+    O.over(f"""SELECT l.project, l.scan_id, l.generated_at, l.source_commit, g.vuln_id, g.internal_id, coalesce(array_to_string(g.all_components, '|'), '') AS all_components, g.component_count, g.cvss, g.closest_depth
+FROM latest l LEFT JOIN (SELECT scan_id, vuln_id, {O.AGGREGATES} FROM exposures GROUP BY scan_id, vuln_id) g USING (scan_id)"""),
+)
+register("workbench_rows", lambda g: flat(alerts.workbench_rows(g, F.lit(NOW).cast("timestamp")), ()), O.over(f"SELECT {O.WORKBENCH_OUT} FROM workbench", O.WORKBENCH_CTE))
+register(
+    "project_stats",
+    alerts.project_stats,
+    O.over("""SELECT project, count(*) AS total, count_if(cvss >= 9) AS critical, count_if(cvss >= 7 AND cvss < 9) AS high, count_if(cvss >= 4 AND cvss < 7) AS medium,
+  count_if(cvss IS NULL OR cvss < 4) AS low, count_if(kev) AS kev, count_if(fixes > 0) AS with_fix
+FROM (SELECT project, vuln_id, max(cvss) AS cvss, bool_or(kev) AS kev, max(len(fix_versions)) AS fixes FROM exposures GROUP BY project, vuln_id) GROUP BY project"""),
+)
+register(
+    "vuln_detail",
+    lambda g: flat(alerts.vuln_detail(g, VULN)),
+    O.over(f"""SELECT project, scan_id, name, version, component_id, vuln_id, {O.bar("cwe")}, {O.bar("fix_versions")}, summary, coalesce(array_to_string(list_sort(aliases), '|'), '') AS aliases,
+  coalesce(array_to_string(list_sort(paths), '|'), '') AS paths, places, depth, is_direct, scope, cvss, epss, kev, published, modified
+FROM (SELECT project, scan_id, name, version, component_id, vuln_id, cwe, fix_versions, summary, aliases, paths, places, depth, is_direct, scope,
+    max(cvss) AS cvss, max(epss) AS epss, bool_or(kev) AS kev, min(published) AS published, max(modified) AS modified
+  FROM exposures LEFT JOIN (SELECT scan_id, component_id, list(DISTINCT path) AS paths, count(*) AS places FROM declared_in GROUP BY ALL) USING (scan_id, component_id)
+  WHERE vuln = '{VULN}' OR list_contains(coalesce(aliases, CAST([] AS VARCHAR[])), '{VULN}') GROUP BY ALL)"""),
+)
+register(
+    "data_fingerprint",
+    alerts.fingerprint,
+    O.over("""SELECT *, concat_ws('|', CAST(projects AS VARCHAR), CAST(scans AS VARCHAR), CAST(vulns AS VARCHAR), CAST(components AS VARCHAR), newest_scan, newest_vuln) AS token FROM
+  (SELECT count(DISTINCT project) AS projects, count(DISTINCT scan_id) AS scans, max(generated_at) AS newest_scan FROM sboms),
+  (SELECT count(DISTINCT id) AS vulns, max(modified) AS newest_vuln FROM vulns), (SELECT count(DISTINCT component_id) AS components FROM components)"""),
+)
+register(
+    "graph_statistics",
+    alerts.statistics,
+    O.over(" UNION ALL ".join(f"SELECT '{n}' AS kind, count(*) AS n FROM {t}" for n, t in {"projects": "projects", "sboms": "sboms", "components": "components", "vulnerabilities": "vulns", "affected_by": "affected_by", "reachability": "reachability"}.items())),
+)
+METADATA_SQL = O.over("""SELECT project, scan_id, generated_at, source_commit, branch, coalesce(n, 0) AS vuln_count, last_modified
+FROM latest LEFT JOIN (SELECT scan_id, count(DISTINCT vuln_id) AS n, max(modified) AS last_modified FROM exposures GROUP BY scan_id) USING (scan_id)""")
+register("latest_scan_metadata", alerts.latest_scan_metadata, METADATA_SQL)
+register("latest_sbom", lambda g: alerts.latest_sboms(g.sboms), O.over("SELECT * FROM latest"))
+register(
+    "verdict_merge",
+    lambda g: flat(alerts.merged_verdicts(g.reachability)),
+    O.over("SELECT v.project, v.vuln_id, verdict AS reachability_verdict, coalesce(array_to_string(call_locations, '|'), '') AS call_locations FROM verdicts v LEFT JOIN calls c ON v.project = c.project AND v.vuln_id = c.vuln_id", O.BASE + "," + O.VERDICTS),
+)
+EVIDENCE = O.RANK.replace("WHEN 'uncertain' THEN 2 ", "").replace("'no_sink_data' THEN 0", "'no_sink_data' THEN 2")
+register(
+    "verdict_merge_evidence_order",
+    lambda g: alerts.merged_verdicts(g.reachability, X.EVIDENCE_RANK).select("project", "vuln_id", "reachability_verdict"),
+    O.over(f"SELECT project, vuln_id, arg_max(verdict, {EVIDENCE}) AS reachability_verdict FROM reachability GROUP BY project, vuln_id"),
+)
+register(
+    "risk_breakdown",
+    lambda g: (lambda a: a.select("project", "vuln_id", F.inline(X.risk_parts(*[F.col(c) for c in ("cvss", "epss", "kev", "all_scopes", "reachability_factor")]))))(alerts.alerts(g)),
+    O.over(
+        f"""SELECT project, vuln_id, part, score, weight, round(score * weight * 100, 2) AS contribution FROM (
+  SELECT project, vuln_id, unnest(['severity', 'exploit', 'scope', 'reach']) AS part, unnest([coalesce(cvss, 0) / 10, CASE WHEN kev THEN 1.0::DOUBLE ELSE coalesce(epss, 0) END, {O.SCOPE}, reachability_factor]) AS score,
+    unnest([0.25::DOUBLE, 0.25::DOUBLE, 0.15::DOUBLE, 0.35::DOUBLE]) AS weight FROM alerts)""",
+        O.ALERTS,
+    ),
+)
+
+# --- q1 to q14 ----------------------------------------------------------------------------------------------------
+
+register(
+    "q1_top_risky_projects",
+    scenarios.top_risky_projects,
+    O.over("""SELECT *, round(coalesce(cvss_sum, 0) + 10 * kev_hits + 100 * coalesce(avg_epss, 0), 4) AS score FROM (
+  SELECT project, count(DISTINCT component_id) AS components, count(DISTINCT vuln) AS vulns, round(sum(cvss), 4) AS cvss_sum, count_if(kev) AS kev_hits, round(avg(epss), 6) AS avg_epss
+  FROM exposures GROUP BY project) ORDER BY score DESC, project LIMIT 20"""),
+)
+register(
+    "q2_impact",
+    lambda g: flat(scenarios.impact(g, PROJECT, "GHSA-8")),
+    O.over(f"""SELECT e.*, coalesce(array_to_string(paths, '|'), '') AS paths FROM (SELECT DISTINCT project, vuln_id, component_id, name, version, depth, is_direct, scope FROM exposures
+  WHERE project = '{PROJECT}' AND (vuln = 'GHSA-8' OR list_contains(coalesce(aliases, CAST([] AS VARCHAR[])), 'GHSA-8'))) e
+LEFT JOIN (SELECT component_id, list_sort(list(DISTINCT path)) AS paths FROM declared_in GROUP BY component_id) USING (component_id)"""),
+)
+WORST = "kev DESC, cvss DESC NULLS FIRST, project, component_id, vuln"
+register("q3_quick_wins", lambda g: flat(scenarios.quick_wins(g)), O.pairs("coalesce(cvss, 0) >= 7 AND len(fix_versions) > 0", WORST, 50))
+register("q4_no_fix", lambda g: flat(scenarios.no_fix(g)), O.pairs("coalesce(cvss, 0) >= 7 AND len(fix_versions) = 0", WORST, 50))
+register("q7_kev_queue", lambda g: flat(scenarios.kev_queue(g)), O.pairs("kev", "coalesce(cvss, 0) DESC, epss DESC NULLS FIRST, project, component_id, vuln", 100))
+register("q8_recent", lambda g: flat(scenarios.recent(g, SINCE)), O.pairs(f"modified >= '{SINCE}'", "modified DESC, project, component_id, vuln", 100))
+register(
+    "q9_project_summary",
+    scenarios.project_summary,
+    O.over(f"""SELECT project, array_to_string(list(vuln || '@' || component_id ORDER BY n) FILTER (n <= 10), '|') AS top_pairs, count(DISTINCT component_id) AS components, count(DISTINCT vuln) AS vulns,
+  count_if(cvss >= 7) AS severe_pairs FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY kev DESC, cvss DESC NULLS LAST, vuln, component_id) AS n FROM ({O.PAIRS})) GROUP BY project"""),
+)
+register("q10_inventory", lambda g: flat(scenarios.alert_inventory(g, PROJECT)), O.pairs(f"project = '{PROJECT}'", "kev DESC", None))
+register(
+    "q11_top_components",
+    scenarios.top_components,
+    O.over(f"""SELECT project, name, count(DISTINCT vuln) AS vulns, max(cvss) AS max_cvss, count_if(kev) AS kev_hits FROM ({O.PAIRS}) GROUP BY project, name
+ORDER BY vulns DESC, max_cvss DESC NULLS LAST, project, name LIMIT 20"""),
+)
+register("q12_latest_scan_metadata", alerts.latest_scan_metadata, METADATA_SQL)
+register(
+    "q14_components_for_vuln",
+    lambda g: scenarios.components_for_vuln(g, VULN),
+    O.over(f"SELECT DISTINCT project, component_id, name, version, depth FROM exposures WHERE vuln = '{VULN}' OR list_contains(coalesce(aliases, CAST([] AS VARCHAR[])), '{VULN}')"),
+)
+
+# --- dependency graph ---------------------------------------------------------------------------------------------
+
+
+def _scan_graph(g: Graph) -> tuple[DataFrame, DataFrame]:
+    wanted = alerts.latest_sboms(g.sboms).select("scan_id")
+    edges = g.depends_on.join(wanted, "scan_id", "left_semi").distinct()
+    roots = g.has_component.join(wanted, "scan_id", "left_semi").filter("is_direct").groupBy("scan_id").agg(F.min("component_id").alias("root"))
+    return edges, roots
+
+
+register("pruned_edges", lambda g: paths.prune_flat(*_scan_graph(g)), O.over("SELECT * FROM pruned", O.BASE + "," + O.DIRECT_SQL))
+register("direct_dependencies", lambda g: paths.direct_dependencies(*_scan_graph(g)), O.over("SELECT * FROM direct", O.BASE + "," + O.DIRECT_SQL))
+register("indegree_zero", lambda g: paths.sources_only(paths.prune_flat(*_scan_graph(g)), _scan_graph(g)[1]), O.over("SELECT * FROM heads", O.BASE + "," + O.DIRECT_SQL))
+register("dependency_depths", lambda g: paths.depths(*_scan_graph(g)), O.over("SELECT * FROM depths", O.BASE + "," + O.DEPTHS_SQL, True))
+CHAIN_TARGETS = f"SELECT scan_id, component_id FROM has_component WHERE component_id = '{COMPONENT}' AND scan_id IN (SELECT scan_id FROM latest)"
+register(
+    "q6_dep_chain",
+    lambda g: scenarios.dep_chain(g, COMPONENT),
+    O.over("SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY scan_id, target ORDER BY hops, chain) AS n FROM found) WHERE n <= 5", O.BASE + "," + O.chains(CHAIN_TARGETS), True),
+)
+NEAR = f"""SELECT scan_id, component_id, depth FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY depth, component_id) AS k FROM (
+  SELECT DISTINCT scan_id, component_id, depth FROM exposures WHERE vuln = '{VULN}' OR list_contains(coalesce(aliases, CAST([] AS VARCHAR[])), '{VULN}'))) WHERE k <= 3"""
+register(
+    "q13_vuln_chains",
+    lambda g: scenarios.vuln_chains(g, VULN),
+    O.over("""SELECT * EXCLUDE (n) FROM (SELECT f.*, t.depth AS target_depth, row_number() OVER (PARTITION BY f.scan_id ORDER BY t.depth, hops, target, chain) AS n
+FROM found f JOIN targets t ON f.scan_id = t.scan_id AND f.target = t.component_id) WHERE n <= 8""", O.BASE + "," + O.chains(NEAR), True),
+)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["alerts_top"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: lambda spark, sf_dir, b=build: b(graph(spark, sf_dir)) for name, (build, _) in REGISTRY.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
