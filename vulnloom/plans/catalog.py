@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vulnloom.functions import exprs as X
 from vulnloom.operators import alerts, paths, scenarios
 from vulnloom.plans import oracle as O
+from vulnloom.plans import predicates
 from vulnloom.sources.testbed import Graph, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,6 +181,29 @@ FROM found f JOIN targets t ON f.scan_id = t.scan_id AND f.target = t.component_
 )
 
 
+# --- the predicate language ---------------------------------------------------------------------------------------
+
+PREDICATES = {
+    "in_and_boolean": ('severity in ("Critical", "high") AND fix_available = true', "lower(severity) IN ('critical', 'high') AND fix_available"),
+    "not_precedence": ('NOT (project = "Customer#000000001") AND (kev = true OR risk_score >= 60)', "project <> 'Customer#000000001' AND (kev OR coalesce(risk_score >= 60, false))"),
+    "contains_any_or": ('all_scopes contains_any ("Required", "runtime") OR cwe contains "cwe-22"', "list_has_any(all_scopes, ['required', 'runtime']) OR list_contains(cwe, 'CWE-22')"),
+    "contains_all": ('all_scopes contains_all ["required", "dev"]', "list_has_all(all_scopes, ['required', 'dev'])"),
+    "date_after": ('published >= "2024-01-01" AND modified < "2025-06-01T00:00:00Z"', "published >= '2024-01-01' AND modified < '2025-06-01'"),
+    "exists_list": ("cwe exists AND call_locations_count >= 1", "len(cwe) > 0 AND call_locations_count >= 1"),
+    "missing_number": ("NOT (cvss > 5)", "NOT coalesce(cvss > 5, false)"),
+    "missing_unequal": ("cvss != 3.7", "cvss IS DISTINCT FROM 3.7::DOUBLE"),
+    "starts_ends": ('vuln_id starts_with "cve-" AND project ends_with "3"', "starts_with(lower(vuln_id), 'cve-') AND ends_with(lower(project), '3')"),
+    "text_contains": ("language contains build OR NOT language exists", "contains(lower(language), 'build')"),
+    "number_in": ("closest_depth in (1, 3,) AND epss < 0.5", "closest_depth IN (1, 3) AND coalesce(epss < 0.5, false)"),
+    "unknown_field": ('owner = "me" OR is_reachable = true', "is_reachable"),
+    "case_minded": ('severity = "CRITICAL" OR severity = "high"', "severity = 'high'"),
+    "kind_mismatch": ('cvss > "high" OR kev > 0 OR project < "Customer#000000010"', "project < 'Customer#000000010'"),
+    "null_equal": ("epss = null", "epss IS NULL"),
+}
+for _name, (_text, _sql) in PREDICATES.items():
+    register(f"predicate_{_name}", lambda g, t=_text: flat(predicates.where(alerts.workbench_rows(g, F.lit(NOW).cast("timestamp")), t), ()), O.over(f"SELECT {O.WORKBENCH_OUT} FROM workbench WHERE {_sql}", O.WORKBENCH_CTE))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["alerts_top"](spark, sf_dir)
 
