@@ -19,8 +19,8 @@ From keys to components, without all pairs of a group:
    a document's star links the likeliest is checked exactly, and links that hold are contracted to components;
 3. lists that still hold several components give every pair across components, and these are checked exactly too.
 
-Step 3 makes the result whole; step 2 makes step 3 small.  Before the exact check, a 1024-bit parity sketch bounds the
-size of the difference from below, which no pair at the threshold can exceed.
+Step 3 makes the result whole; step 2 makes step 3 small.  Before the exact check, parity sketches (1,024 bits, and 8,192 for
+long sets) bound the size of the difference from below, which no pair at the threshold can exceed.
 
 Defined cases: a document without words (or null text) has an empty set and is its own component; fewer than five words
 are one shingle; a null id has a null component; rows that repeat an id are one document of the first row's set where
@@ -43,8 +43,8 @@ from vulnloom.llm import textkit
 from vulnloom.llm.common import stored
 from vulnloom.llm.components import connected
 
-SKETCH = 1024
-LONGS = SKETCH // 64
+SKETCH, LONGS = 1024, 16
+WIDE, WIDE_FROM = 8192, 800
 
 
 @dataclass(frozen=True)
@@ -74,7 +74,10 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """(doc_id, n, a, b, s0..s15) per document, and (element, seen) rows for elements that a task saw often."""
+    """(doc_id, n, a, b, s0..s15, wide) per document, and (element, seen) rows for elements that a task saw often.
+
+    s0 to s15 are the sketch; ``wide`` is the long one of sets of WIDE_FROM elements or more.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pool: list[np.ndarray] = []
@@ -84,18 +87,22 @@ def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
                 n = len(block)
                 size, one, two = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 sketch = np.zeros((n, SKETCH), np.uint8)
+                wide: list[list[int] | None] = [None] * n
                 for i, h in enumerate(textkit.shingle_sets(block, options.shingle)):
                     size[i] = len(h)
                     if len(h):
                         one[i] = np.bitwise_xor.reduce(textkit.mix(h + np.uint64(1)))
                         two[i] = h.sum(dtype=np.uint64)
-                        sketch[i] = np.bincount((h >> np.uint64(20)).astype(np.int64) & (SKETCH - 1), minlength=SKETCH) & 1
+                        odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1
+                        sketch[i] = np.bitwise_xor.reduce(odd.reshape(-1, SKETCH), axis=0)
+                        if len(h) >= WIDE_FROM:
+                            wide[i] = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
                         pool.append(h[: 2 * prefix_size(len(h), options.percent)])
                         held += len(pool[-1])
                 longs = np.packbits(sketch, axis=1).view(np.int64)
                 ids = batch.column(0).slice(block.first, n)
                 none = pa.nulls(n, pa.int64())
-                yield _batch([ids, size, one, two, *longs.T, none, none])
+                yield _batch([ids, size, one, two, *longs.T, none, none, pa.array(wide, pa.list_(pa.int64()))])
                 if held > 2_000_000:
                     yield _often(pool, options)
                     pool, held = [], 0
@@ -106,15 +113,15 @@ def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
         element, seen = np.unique(np.concatenate(pool), return_counts=True)
         many = seen >= options.often_local
         none = pa.nulls(int(many.sum()), pa.int64())
-        return _batch([none] * (4 + LONGS) + [element[many], seen[many]])
+        return _batch([none] * (4 + LONGS) + [element[many], seen[many], pa.nulls(len(none), pa.list_(pa.int64()))])
 
-    names = ["doc_id", "n", "a", "b", *[f"s{k}" for k in range(LONGS)], "element", "seen"]
+    names = ["doc_id", "n", "a", "b", *[f"s{k}" for k in range(LONGS)], "element", "seen", "wide"]
 
     def _batch(columns: list) -> pa.RecordBatch:
         arrays = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(textkit.signed(c)), pa.int64()) for c in columns]
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, ", ".join(f"{x} long" for x in names))
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, ", ".join(f"{x} {'array<long>' if x == 'wide' else 'long'}" for x in names))
 
 
 def _often_elements(facts: DataFrame, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
@@ -145,13 +152,13 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
 
 
 def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, options: JoinOptions) -> DataFrame:
-    """(key, part, doc_id, size): the prefix elements and 2-subsets of every document that can have a partner.
+    """(key, doc_id, part): the prefix elements and 2-subsets of every document that can have a partner.
 
     Within a task, documents with equal sets give their keys once.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((often, seen))
-    names = ["key", "part", "doc_id", "size"]
+    names = ["key", "doc_id", "part"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = shared.value
@@ -159,7 +166,7 @@ def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, opti
         for batch in batches:
             for block in textkit.blocks(batch.column(1)):
                 ids = batch.column(0).slice(block.first, len(block)).to_pylist()
-                out: list[tuple[np.ndarray, np.ndarray, int, int]] = []
+                out: list[tuple[np.ndarray, np.ndarray, int]] = []
                 for doc_id, h in zip(ids, textkit.shingle_sets(block, options.shingle), strict=True):
                     n = len(h)
                     if doc_id is None or n < 4:
@@ -183,22 +190,21 @@ def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, opti
                         i, j = np.triu_indices(len(order), 1)
                         low, high = np.minimum(h[order[i]], h[order[j]]), np.maximum(h[order[i]], h[order[j]])
                         keys = textkit.mix(low * np.uint64(0x9E3779B97F4A7C15) + high)
-                        out.append((keys, where % np.minimum(parts[i], parts[j]), doc_id, n))
+                        out.append((keys, where % np.minimum(parts[i], parts[j]), doc_id))
                     if 100 * n >= options.percent * bound:
-                        out.append((h[order[:p]], where % parts[:p], doc_id, n))
+                        out.append((h[order[:p]], where % parts[:p], doc_id))
                 if out:
                     sizes = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate([x[0] for x in out]).view(np.int64)),
-                            pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)),
                             pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)),
-                            pa.array(np.repeat(np.array([x[3] for x in out], np.int32), sizes)),
+                            pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)),
                         ],
                         names=names,
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "key long, part int, doc_id long, size int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "key long, doc_id long, part int")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, options: JoinOptions) -> DataFrame:
@@ -234,19 +240,20 @@ def _difference() -> Column:
     return reduce(add, [F.bit_count(F.col(f"x.s{k}").bitwiseXOR(F.col(f"y.s{k}"))) for k in range(LONGS)])
 
 
-def _may_link(percent: int) -> Column:
-    """What a pair at the threshold must satisfy, by its sizes and sketches."""
+def _within(difference: Column, percent: int) -> Column:
+    """Whether sets that differ in so many elements at least can reach the threshold, by their sizes."""
     n, m = F.col("x.n"), F.col("y.n")
-    sizes = (F.least(n, m) * 100 >= F.greatest(n, m) * percent)
-    return sizes & (_difference() * (100 + percent) <= (n + m) * (100 - percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (difference * (100 + percent) <= (n + m) * (100 - percent))
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _linked(pairs: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFrame:
     """The pairs (u, v) whose sets reach the threshold."""
+    ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
+    sets = stored(_sets(docs, ids, options), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("eu")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("ev")), "v")
     met = both.select("u", "v", (F.size("eu") + F.size("ev")).alias("total"), F.size(F.array_intersect("eu", "ev")).alias("common"))
-    return met.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * percent).select("u", "v")
+    return met.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * options.percent).select("u", "v")
 
 
 def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -256,10 +263,10 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     facts = stored(_facts(docs, options), "facts")
     often, seen = _often_elements(facts, options)
     own = facts.filter("element IS NULL").drop("element", "seen")
-    classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in sketch])
+    classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in [*sketch, "wide"]])
     classes = stored(classes, "classes")
-    members = own.join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left").select("doc_id", F.col("n").alias("n_shingles"), "rep")
-    members = stored(members, "members")
+    members = own.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left")
+    members = stored(members.select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
     reps = members.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     histogram = {r["n"]: r["count"] for r in classes.filter("n < 200").groupBy("n").count().collect()}
@@ -269,43 +276,51 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     here = Window.partitionBy("key", "part")
     keyed = _keys(docs, often, seen, bound, options)
     starred = keyed.select("key", "part", "doc_id", F.count("*").over(here).alias("rows"), F.max("part").over(here).alias("p"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).over(here).alias("centre"))
-    lists = starred.filter("rows > 1 OR p > 0").select("key", "part", "doc_id", F.col("centre.doc_id").alias("centre"))
-    renamed = reps.select(F.col("doc_id").alias("_d"), F.col("rep").alias("_r"))
-    lists = lists.join(renamed, lists["doc_id"] == renamed["_d"]).select("key", "part", F.col("_r").alias("doc_id"), "centre")
-    lists = lists.join(renamed, lists["centre"] == renamed["_d"]).select("key", "part", "doc_id", F.col("_r").alias("centre"))
+    lists = starred.filter("rows > 1 OR p > 0").select("key", "part", "doc_id", F.col("centre.doc_id").alias("centre"), (F.col("rows") > 2).alias("many"))
     lists = stored(lists, "lists")
 
     # Stars: members to their part's centre, and centres of a key's parts to the first of them.
-    tops = lists.select("key", "centre").distinct()
-    ring = tops.join(tops.groupBy("key").agg(F.min("centre").alias("first"), F.count("*").alias("parts")).filter("parts > 1"), "key")
-    stars = lists.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).union(ring.select(F.col("centre"), F.col("first")))
-    stars = stars.filter("u <> v").distinct()
-    x = classes.select(F.col("rep"), "n", *sketch).alias("x")
-    y = classes.select(F.col("rep"), "n", *sketch).alias("y")
+    hot = lists.groupBy("key").agg(F.max("part").alias("p")).filter("p > 0").select("key")
+    tops = lists.join(hot, "key", "left_semi").select("key", "centre").distinct()
+    ring = tops.join(tops.groupBy("key").agg(F.min("centre").alias("first")), "key").select("centre", "first")
+    raw = lists.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).union(ring).filter("u <> v").distinct()
+    to = lambda c: reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
+    stars = raw.join(to("u"), "u").join(to("v"), "v").select(F.greatest("u_rep", "v_rep").alias("u"), F.least("u_rep", "v_rep").alias("v")).filter("u <> v").distinct()
 
     def plausible(pairs: DataFrame) -> DataFrame:
-        met = pairs.join(x, F.col("u") == F.col("x.rep")).join(y, F.col("v") == F.col("y.rep"))
-        return met.filter(_may_link(percent)).select("u", "v", (_difference() / (F.col("x.n") + F.col("y.n"))).alias("far"))
-
-    best = plausible(stars).groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v"))
-    best = stored(best, "stars")
-    ids = best.select(F.col("u").alias("doc_id")).union(best.select("v")).distinct()
-    sets = stored(_sets(docs, ids, options), "sets")
-    links = stored(_linked(best, sets, percent), "linked")
+        """(u, v, far): the pairs that sizes and sketches do not rule out; the long sketch is asked where sets are long."""
+        one = lambda n: classes.select(F.col("rep"), "n", *sketch).alias(n)
+        met = pairs.join(one("x"), F.col("u") == F.col("x.rep")).join(one("y"), F.col("v") == F.col("y.rep"))
+        met = met.filter(_within(_difference(), percent)).select("u", "v", F.col("x.n").alias("nx"), F.col("y.n").alias("ny"), (_difference() / (F.col("x.n") + F.col("y.n"))).alias("far"))
+        wide = lambda n: classes.filter("wide IS NOT NULL").select(F.col("rep"), "n", "wide").alias(n)
+        large = met.filter((F.col("nx") >= WIDE_FROM) & (F.col("ny") >= WIDE_FROM)).join(wide("x"), F.col("u") == F.col("x.rep")).join(wide("y"), F.col("v") == F.col("y.rep"))
+        apart = F.aggregate(F.zip_with("x.wide", "y.wide", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, k: t + k)
+        large = large.filter(_within(apart, percent)).select("u", "v", (apart / (F.col("x.n") + F.col("y.n"))).alias("far"))
+        return met.filter((F.col("nx") < WIDE_FROM) | (F.col("ny") < WIDE_FROM)).select("u", "v", "far").union(large)
+
+    likely = stored(plausible(stars), "stars")
+    both = likely.select("u", "v", "far").union(likely.select("v", "u", "far"))
+    best = both.groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    best = stored(best, "best")
+    links = stored(_linked(best, docs, options), "linked")
     label = connected(links)
 
-    # Whatever lists still mix components: every pair across components.
-    named = lists.select("key", "doc_id").distinct().join(label, F.col("doc_id") == F.col("node"), "left")
-    named = named.select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = named.join(mixed.select("key"), "key", "left_semi").join(classes.select(F.col("rep").alias("doc_id"), "n", *sketch), "doc_id")
-    rest = stored(rest, "rest")
+    # What may still join components: likely star pairs across them, and all other pairs of lists of three and more.
+    placed = reps.join(label, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = stored(placed, "placed")
+    longer = lists.filter("many OR part > 0").select("key", "doc_id").union(lists.join(hot, "key", "left_semi").select("key", "doc_id"))
+    named = longer.join(placed, "doc_id").select("key", "rep", "component")
+    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    folded = [reduce(lambda p, q: p.bitwiseXOR(q), [F.col(f"s{k + 4 * j}") for j in range(LONGS // 4)]).alias(f"f{k}") for k in range(4)]
+    rest = named.join(mixed, "key", "left_semi").distinct().join(classes.select("rep", "n", *folded), "rep")
     one, two = rest.alias("x"), rest.alias("y")
-    across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _may_link(percent))
-    across = across.select(F.col("x.doc_id").alias("u"), F.col("y.doc_id").alias("v"), F.col("x.component").alias("cu"), F.col("y.component").alias("cv")).distinct()
-    across = stored(across.select("u", "v"), "across")
-    more_ids = across.select(F.col("u").alias("doc_id")).union(across.select("v")).distinct()
-    more = _linked(across, _sets(docs, more_ids, options), percent)
+    rough = reduce(add, [F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(4)])
+    across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _within(rough, percent))
+    across = across.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()
+    spot = lambda c: placed.select(F.col("rep").alias(c), F.col("component").alias(f"c_{c}")).distinct()
+    apart = likely.select("u", "v").join(spot("u"), "u").join(spot("v"), "v").filter("c_u <> c_v").select("u", "v")
+    again = plausible(across).select("u", "v").union(apart).distinct().join(best, ["u", "v"], "left_anti")
+    more = stored(_linked(stored(again, "again"), docs, options), "linked")
     label = connected(links.union(more))
 
     final = members.join(label, F.col("rep") == F.col("node"), "left")
