@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
-from vulnloom.operators import alerts, paths, scenarios
+from vulnloom.operators import alerts, cases, paths, portfolio, reports, scenarios
 from vulnloom.plans import oracle as O
 from vulnloom.plans import predicates
 from vulnloom.sources.testbed import Graph, graph
@@ -204,6 +204,207 @@ for _name, (_text, _sql) in PREDICATES.items():
     register(f"predicate_{_name}", lambda g, t=_text: flat(predicates.where(alerts.workbench_rows(g, F.lit(NOW).cast("timestamp")), t), ()), O.over(f"SELECT {O.WORKBENCH_OUT} FROM workbench WHERE {_sql}", O.WORKBENCH_CTE))
 
 
+# --- cases, states and snapshots ----------------------------------------------------------------------------------
+
+
+def _states(g: Graph) -> DataFrame:
+    """Stored states of every third alert of the test tables, some in outdated words, some for a whole vulnerability."""
+    a = alerts.group_alerts(alerts.exposures(g)).withColumn("component_id", F.element_at(F.array_sort("all_component_ids"), 1))
+    h = F.crc32(F.concat("project", "vuln_id").cast("binary")) % 9
+    status = F.when(h == 0, "fix_planned").when(h == 3, "Verified_Closed").otherwise("in_progress")
+    return a.filter(h % 3 == 0).select("project", "vuln_id", F.when(h == 6, "").otherwise(F.col("component_id")).alias("component_id"), F.lit("monitor").alias("decision_tier"), status.alias("status"), F.lit("me").alias("owner"), F.lit(None).cast("string").alias("note"))
+
+
+def _cases(g: Graph) -> DataFrame:
+    return cases.alert_cases(alerts.alerts(g), _states(g))
+
+
+CASES = O.ALERTS + O.CASES
+CASE_COLUMNS = "project scan_id vuln_id component_id component_name risk_score reachability_verdict has_fix decision_tier tier_reason evidence_confidence evidence_scope target_version risk_band status owner".split()
+register("alert_cases", lambda g: _cases(g).select(*CASE_COLUMNS), O.over(f"SELECT {', '.join(CASE_COLUMNS)} FROM cases", CASES))
+
+
+def _updates(g: Graph) -> DataFrame:
+    h = F.crc32(F.concat("project", "vuln_id").cast("binary")) % 5
+    rows = alerts.group_alerts(alerts.exposures(g)).withColumn("component_id", F.element_at(F.array_sort("all_component_ids"), 1))
+    none = F.lit(None).cast("string")
+    return rows.filter(h == 0).select("project", "vuln_id", "component_id", none.alias("decision_tier"), F.lit("triaged").alias("status"), none.alias("owner"), F.lit("seen").alias("note"))
+
+
+register(
+    "state_upsert",
+    lambda g: cases.upsert_states(_states(g), _updates(g)),
+    O.over(
+        """SELECT coalesce(n.project, o.project) AS project, coalesce(n.vuln_id, o.vuln_id) AS vuln_id, coalesce(n.component_id, o.component_id) AS component_id,
+  coalesce(o.decision_tier, 'monitor') AS decision_tier, CASE WHEN n.project IS NOT NULL THEN 'triaged' ELSE o.status END AS status, o.owner, CASE WHEN n.project IS NOT NULL THEN 'seen' END AS note
+FROM states o FULL JOIN (SELECT project, vuln_id, all_component_ids[1] AS component_id FROM alerts WHERE (HASH) % 5 = 0) n
+  ON o.project = n.project AND o.vuln_id = n.vuln_id AND o.component_id = n.component_id""",
+        CASES,
+    ).replace("(HASH)", O.CRC),
+)
+register(
+    "state_bootstrap",
+    lambda g: cases.bootstrap_states(_states(g), _cases(g)).select("project", "vuln_id", "component_id", "decision_tier", "status", "owner"),
+    O.over(
+        """SELECT project, vuln_id, component_id, decision_tier, status, owner FROM states UNION ALL
+SELECT project, vuln_id, component_id, decision_tier, 'new', NULL FROM cases c
+WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.project = c.project AND s.vuln_id = c.vuln_id AND s.component_id = c.component_id)""",
+        CASES,
+    ),
+)
+register(
+    "state_retier",
+    lambda g: cases.retier(_states(g), _cases(g)).select("project", "vuln_id", "component_id", "decision_tier", "status", "changed"),
+    O.over(
+        """SELECT s.project, s.vuln_id, s.component_id, coalesce(c.decision_tier, s.decision_tier) AS decision_tier, s.status, coalesce(c.decision_tier <> s.decision_tier, false) AS changed
+FROM states s LEFT JOIN cases c ON s.project = c.project AND s.vuln_id = c.vuln_id AND s.component_id = c.component_id""",
+        CASES,
+    ),
+)
+
+
+def _previous(g: Graph) -> DataFrame:
+    """The scan before the latest of each project."""
+    return alerts.latest_sboms(g.sboms.join(alerts.latest_sboms(g.sboms).select("scan_id"), "scan_id", "left_anti"))
+
+
+def _delta(g: Graph) -> DataFrame:
+    old = cases.snapshot(cases.alert_cases(alerts.alerts(g, scans=_previous(g))))
+    return cases.delta(old, cases.snapshot(cases.alert_cases(alerts.alerts(g))))
+
+
+DELTA = O.ALERTS + O.CASES + O.DELTA
+register("snapshot_delta", lambda g: flat(cases.changed_rows(_delta(g)), ("changes",)), O.over("SELECT * FROM delta WHERE changes <> ''", DELTA))
+register(
+    "snapshot_delta_summary",
+    lambda g: cases.delta_summary(_delta(g)),
+    O.over(
+        "SELECT project, count_if(NOT contains('|' || changes || '|', '|added|')) AS baseline, count_if(NOT contains('|' || changes || '|', '|resolved|')) AS current, "
+        + ", ".join(f"count_if(contains('|' || changes || '|', '|{c}|')) AS {c}" for c in ("added", "resolved", "risk_increased", "risk_decreased", "verdict_improved", "verdict_regressed", "fix_gained", "fix_lost"))
+        + ", count_if(changes = '') AS unchanged FROM delta GROUP BY project",
+        DELTA,
+    ),
+)
+
+
+def _runs(g: Graph) -> DataFrame:
+    return g.sboms.select("project", F.concat(F.lit("run-"), "scan_id").alias("run_id"), "generated_at", "scan_id")
+
+
+register(
+    "baseline_run",
+    lambda g: cases.baseline_run(_runs(g), _runs(g).filter("crc32(cast(run_id as binary)) % 4 <> 0")),
+    O.over(
+        """SELECT project, run_id, scan_id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY generated_at DESC, run_id DESC) AS k FROM (
+  SELECT *, row_number() OVER w AS n, first(scan_id) OVER w AS cur FROM (SELECT project, 'run-' || scan_id AS run_id, generated_at, scan_id FROM sboms)
+  WINDOW w AS (PARTITION BY project ORDER BY generated_at DESC, run_id DESC)) WHERE n <= 10 AND scan_id <> cur AND (HASH) % 4 <> 0) WHERE k = 1"""
+    ).replace("(HASH)", O.crc("run_id")),
+)
+
+# --- reports and portfolio ----------------------------------------------------------------------------------------
+
+CLOSED_SQL = "status IN ('resolved_pending_verify', 'verified_closed')"
+register(
+    "action_counts",
+    lambda g: reports.action_counts(_cases(g)),
+    O.over(
+        f"""SELECT project, count(*) AS total, count_if(decision_tier = 'fix_now') AS fix_now, count_if(decision_tier = 'plan_remediation') AS plan, count_if(decision_tier = 'mitigate') AS mitigate,
+  count_if(decision_tier IN ('monitor', 'accept')) AS monitor, count_if(has_fix) AS with_fix, count_if(reachability_verdict IN ('confirmed_reachable', 'likely_reachable')) AS reachable,
+  count_if(NOT {CLOSED_SQL}) AS open FROM cases GROUP BY project""",
+        CASES,
+    ),
+)
+register(
+    "posture",
+    lambda g: reports.posture(_cases(g)),
+    O.over(
+        f"""SELECT *, CASE WHEN kev > 0 OR confirmed > 0 OR fix_now > 0 THEN 'elevated' WHEN critical_high > 0 OR likely > 0 THEN 'moderate' ELSE 'low' END AS posture FROM (
+  SELECT project, count(*) AS total, count_if(severity IN ('critical', 'high')) AS critical_high, count_if(kev) AS kev, count_if(reachability_verdict = 'confirmed_reachable') AS confirmed,
+    count_if(reachability_verdict = 'likely_reachable') AS likely, count_if(decision_tier = 'fix_now') AS fix_now FROM cases WHERE NOT {CLOSED_SQL} GROUP BY project)""",
+        CASES,
+    ),
+)
+register(
+    "impact_summary",
+    lambda g: reports.impact(_cases(g)),
+    O.over(f"SELECT project, count_if(coalesce(closest_depth, 0) <= 1) AS direct, count_if(closest_depth > 1) AS transitive FROM cases WHERE NOT {CLOSED_SQL} GROUP BY project", CASES),
+)
+register("affected_areas", lambda g: reports.affected_areas(_cases(g)), O.over("SELECT * FROM areas", CASES + O.AREAS))
+register("remediation_clusters", lambda g: reports.clusters(_cases(g)).drop("target_version"), O.over("SELECT * FROM clusters", CASES + O.AREAS + O.CLUSTERS))
+register("top_clusters", lambda g: reports.top_clusters(reports.clusters(_cases(g))).select("project", "rank", "component", "version", "area_key", "tier", "cases", "all_cases", "covered", "uncovered"), O.over("SELECT * FROM top_clusters", CASES + O.AREAS + O.CLUSTERS + O.TOP_CLUSTERS))
+register(
+    "management_actions",
+    lambda g: reports.management_actions(reports.action_counts(_cases(g))),
+    O.over(
+        f"""SELECT project, array_to_string(list_filter([CASE WHEN a > 0 THEN format('Fix {{}} reachable findings now', a) END, CASE WHEN b > 0 THEN format('Schedule {{}} upgrades', b) END,
+  CASE WHEN c > 0 THEN format('Put {{}} temporary controls in place', c) END, CASE WHEN d > 0 THEN format('Review {{}} open findings', d) END], lambda x: x IS NOT NULL), '; ') AS actions
+FROM (SELECT project, count_if(decision_tier = 'fix_now') AS a, count_if(decision_tier = 'plan_remediation') AS b, count_if(decision_tier = 'mitigate') AS c, count_if(NOT {CLOSED_SQL}) AS d FROM cases GROUP BY project)""",
+        CASES,
+    ),
+)
+register(
+    "evidence_summary",
+    lambda g: reports.evidence_summary(alerts.alerts(g)),
+    O.over("""SELECT count(*) AS total, count_if(kev) AS kev, count_if(len(fix_versions) > 0) AS with_fix, count_if(len(fix_versions) = 0) AS without_fix, max(cvss) AS max_cvss,
+  count_if(len(call_locations) = 0) AS without_location FROM alerts""", O.ALERTS),
+)
+register("report_stakeholder", lambda g: reports.stakeholder_report(_cases(g)), None)
+register("report_developer", lambda g: reports.developer_report(_cases(g)), None)
+PORTFOLIO_SEVERITY = "CASE WHEN cvss >= 9 THEN 'Critical' WHEN cvss >= 7 THEN 'High' WHEN cvss >= 4 THEN 'Medium' ELSE 'Low' END"
+register(
+    "portfolio_projects",
+    lambda g: portfolio.by_project(alerts.alerts(g)),
+    O.over("SELECT project, count(*) AS alerts, round(sum(risk_score), 2) AS total_risk, round(avg(risk_score), 4) AS avg_risk FROM alerts GROUP BY project ORDER BY total_risk DESC, project LIMIT 12", O.ALERTS),
+)
+register("portfolio_severities", lambda g: portfolio.severity_histogram(alerts.alerts(g)), O.over(f"SELECT {PORTFOLIO_SEVERITY} AS severity, count(*) AS alerts FROM alerts GROUP BY 1", O.ALERTS))
+register("portfolio_verdicts", lambda g: portfolio.verdict_histogram(alerts.alerts(g)), O.over("SELECT reachability_verdict, count(*) AS alerts FROM alerts GROUP BY 1", O.ALERTS))
+register(
+    "portfolio_vulns",
+    lambda g: portfolio.by_vuln(alerts.alerts(g)),
+    O.over("""SELECT vuln_id, max(risk_score) AS max_risk, round(sum(risk_score), 2) AS total_risk, count(*) AS alerts, count(DISTINCT project) AS projects, max(cvss) AS max_cvss, bool_or(kev) AS kev,
+  count_if(reachability_verdict IN ('confirmed_reachable', 'likely_reachable')) AS reachable FROM alerts GROUP BY vuln_id ORDER BY max_risk DESC, projects DESC, max_cvss DESC NULLS LAST, vuln_id LIMIT 10""", O.ALERTS),
+)
+register(
+    "portfolio_dependencies",
+    lambda g: portfolio.by_dependency(alerts.alerts(g)),
+    O.over("""SELECT component, round(sum(risk_score), 2) AS risk, count(*) AS alerts, count(DISTINCT project) AS projects FROM (SELECT project, risk_score, unnest(all_components) AS component FROM alerts)
+GROUP BY component ORDER BY risk DESC, alerts DESC, component LIMIT 10""", O.ALERTS),
+)
+register(
+    "portfolio_heatmap",
+    lambda g: portfolio.heatmap(alerts.alerts(g), g.projects),
+    O.over(f"""SELECT language, count_if(s = 'Critical') AS critical, count_if(s = 'High') AS high, count_if(s = 'Medium') AS medium, count_if(s = 'Low') AS low FROM (
+  SELECT coalesce(language, CASE package_manager WHEN 'npm' THEN 'JavaScript' WHEN 'pip' THEN 'Python' WHEN 'maven' THEN 'Java' END, 'Unknown') AS language, {PORTFOLIO_SEVERITY} AS s
+  FROM alerts JOIN projects USING (project)) GROUP BY language""", O.ALERTS),
+)
+register(
+    "portfolio_kpis",
+    lambda g: portfolio.kpis(alerts.alerts(g)),
+    O.over("""SELECT count(*) AS alerts, count(DISTINCT project) AS projects, count(DISTINCT vuln_id) AS vulns, count_if(kev) AS kev, count_if(reachability_verdict = 'confirmed_reachable') AS confirmed,
+  round(avg(risk_score), 4) AS avg_risk, max(risk_score) AS max_risk FROM alerts""", O.ALERTS),
+)
+register(
+    "manager_brief",
+    lambda g: portfolio.manager_brief(alerts.alerts(g)),
+    O.over("""SELECT project, max(risk_score) AS risk, array_to_string(list(vuln_id ORDER BY k) FILTER (k <= 10), '|') AS vulns, count_if(kev) AS kev
+FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY risk_score DESC, vuln_id) AS k FROM alerts) GROUP BY project ORDER BY risk DESC, project LIMIT 10""", O.ALERTS),
+)
+register(
+    "triage_queue",
+    lambda g: portfolio.triage_queue(alerts.alerts(g)),
+    O.over("""SELECT project, bucket, CAST(position AS INT) AS position, vuln_id, risk_score FROM (SELECT *, row_number() OVER (PARTITION BY project, bucket ORDER BY risk_score DESC, vuln_id) AS position FROM (
+  SELECT *, CASE WHEN (coalesce(cvss, 0) >= 7 OR kev) AND len(fix_versions) > 0 THEN 'fix_now' WHEN coalesce(cvss, 0) >= 7 THEN 'temp_mitigation' ELSE 'monitor' END AS bucket FROM alerts))
+WHERE position <= CASE bucket WHEN 'monitor' THEN 20 ELSE 30 END""", O.ALERTS),
+)
+register(
+    "data_completeness",
+    lambda g: portfolio.completeness(alerts.alerts(g)),
+    O.over("""SELECT project, vuln_id, array_to_string(list_filter([CASE WHEN cvss IS NULL THEN 'cvss' END, CASE WHEN epss IS NULL THEN 'epss' END, CASE WHEN published IS NULL THEN 'published' END,
+  CASE WHEN len(fix_versions) = 0 THEN 'fix_versions' END, CASE WHEN len(cwe) = 0 THEN 'cwe' END, CASE WHEN len(call_locations) = 0 THEN 'call_locations' END,
+  CASE WHEN len(all_scopes) = 0 THEN 'all_scopes' END], lambda x: x IS NOT NULL), '|') AS missing FROM alerts""", O.ALERTS),
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["alerts_top"](spark, sf_dir)
 

