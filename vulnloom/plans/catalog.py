@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
-from vulnloom.operators import alerts, cases, paths, portfolio, reports, scenarios
+from vulnloom.operators import alerts, cases, paths, portfolio, reports, rules, scenarios, upserts
 from vulnloom.plans import oracle as O
 from vulnloom.plans import predicates
 from vulnloom.sources.testbed import Graph, graph
@@ -405,6 +405,95 @@ register(
 )
 
 
+# --- identities, rules and writes ---------------------------------------------------------------------------------
+
+register(
+    "purl_functions",
+    lambda g: g.components.select("component_id", X.purl_type(F.col("component_id")).alias("kind"), X.ecosystem(F.col("component_id")).alias("ecosystem"), X.package_manager(F.col("component_id")).alias("manager")),
+    O.over("""SELECT component_id, kind, CASE kind WHEN 'golang' THEN 'go' ELSE kind END AS ecosystem, CASE kind WHEN 'pypi' THEN 'pip' WHEN 'golang' THEN 'go' ELSE kind END AS manager
+FROM (SELECT component_id, split_part(substr(component_id, 5), '/', 1) AS kind FROM components)"""),
+)
+register(
+    "location_functions",
+    lambda g: g.reachability.select("seq", F.explode("call_locations").alias("ref")).select("seq", X.location_path(F.col("ref")).alias("path"), X.location_line(F.col("ref")).alias("line"), X.is_test_location(F.col("ref")).alias("test"), X.functional_area(F.col("ref")).alias("area")),
+    O.over("""SELECT seq, regexp_extract(ref, '^(.*):(-?[0-9]+)$', 1) AS path, CAST(regexp_extract(ref, '^(.*):(-?[0-9]+)$', 2) AS INT) AS line, regexp_matches(lower(ref), 'test|spec|fixture') AS test,
+  CASE WHEN regexp_matches(lower(ref), 'test|spec|fixture') THEN 'test' ELSE 'backend' END AS area FROM (SELECT seq, unnest(call_locations) AS ref FROM reachability)"""),
+)
+register(
+    "advisory_functions",
+    lambda g: g.vulns.select("id", X.advisory_url(X.canonical_vuln_id(F.col("id"), F.col("aliases"))).alias("url"), X.preferred_version(F.col("fix_versions")).alias("best"), X.portfolio_severity(F.col("cvss")).alias("label"), X.days_ago(F.col("published"), F.lit(NOW).cast("timestamp")).alias("age")),
+    O.over(f"""SELECT id, CASE WHEN len(aliases) > 0 THEN 'https://nvd.nist.gov/vuln/detail/' || aliases[1] END AS url, {O.PREFERRED} AS best, {PORTFOLIO_SEVERITY} AS label,
+  CAST(date_diff('day', CAST(published AS DATE), DATE '2025-06-01') AS INT) AS age FROM vulns"""),
+)
+CALLED = "CASE call_pattern WHEN 'new Runner(...)' THEN 'Runner' WHEN '$OBJ.fetch(...)' THEN 'fetch' WHEN 'evalAll(...)' THEN 'evalAll' END"
+register(
+    "sink_functions",
+    lambda g: g.sinks.select("vuln_id", rules.base_package(F.col("package_name"), F.col("ecosystem")).alias("base"), rules.called_name(F.col("call_pattern")).alias("called"), rules.is_common(F.col("function_name")).alias("common"), rules.is_weak(F.col("call_pattern")).alias("weak"), rules.keeps_raw(F.col("call_pattern"), F.lit(None).cast("string")).alias("raw")),
+    O.over(f"""SELECT vuln_id, CASE ecosystem WHEN 'npm' THEN package_name WHEN 'pypi' THEN replace(package_name, '-', '_') ELSE split_part(package_name, ':', 1) END AS base, {CALLED} AS called,
+  coalesce(function_name = 'parse', false) AS common, coalesce(call_pattern IN ('GET /admin', '.$ANY(...)'), false) AS weak, coalesce(call_pattern IN ('new Runner(...)', 'evalAll(...)'), false) AS raw FROM sinks"""),
+)
+register("sink_rules", lambda g: flat(rules.rules(g.sinks), ("patterns",)), None)
+register(
+    "sink_rule_tiers",
+    lambda g: rules.rules(g.sinks).groupBy("tier", "quality").agg(F.count("*").alias("n")),
+    O.over(f"""SELECT tier, quality, count(*) AS n FROM (SELECT *, unnest(CASE WHEN weak OR name IS NULL THEN ['import'] ELSE ['direct', 'import'] END) AS tier FROM (
+  SELECT *, CASE WHEN weak THEN 'weak' WHEN name IS NOT NULL AND name NOT IN ('parse', 'fetch') THEN 'strong' ELSE 'generic' END AS quality FROM (
+    SELECT coalesce(function_name, {CALLED}) AS name, coalesce(call_pattern IN ('GET /admin', '.$ANY(...)'), false) AS weak FROM sinks))) GROUP BY tier, quality"""),
+)
+register(
+    "finding_verdicts",
+    lambda g: flat(rules.verdicts(rules.rules(g.sinks), rules.hits(g.findings, "repo"), g.vulns.select(F.col("id").alias("vuln_id"))).drop("rule_id"), ()),
+    O.over(f"""SELECT v.id AS vuln_id, coalesce(package_name, '') AS package_name, function_name AS sink_function, coalesce(verdict, 'no_sink_data') AS verdict,
+  CASE verdict WHEN 'confirmed_reachable' THEN 1.0 WHEN 'likely_reachable' THEN 0.7 WHEN 'likely_unreachable' THEN 0.3 ELSE 0.5 END::DOUBLE AS reach_score, coalesce(calls, '') AS call_locations
+FROM vulns v LEFT JOIN (
+  SELECT s.vuln_id, s.package_name, s.function_name, CASE WHEN d.l IS NOT NULL THEN 'confirmed_reachable' WHEN i.l IS NOT NULL THEN 'likely_reachable' ELSE 'likely_unreachable' END AS verdict,
+    coalesce(d.l, i.l) AS calls FROM (
+    SELECT *, 'sbom-reach-' || replace(lower(vuln_id), '-', '_') || '-' || coalesce(name, 'any') AS rule FROM (
+      SELECT *, coalesce(function_name, {CALLED}) AS name, coalesce(call_pattern IN ('GET /admin', '.$ANY(...)'), false) AS weak FROM sinks)) s
+  LEFT JOIN hits d ON d.id = s.rule || '-direct' AND NOT weak AND name IS NOT NULL LEFT JOIN hits i ON i.id = s.rule || '-import') r ON r.vuln_id = v.id""",
+        O.BASE + """,
+hits AS (SELECT id, array_to_string(list_sort(list(loc)), '|') AS l FROM (
+  SELECT check_id[11:] AS id, path[6:] || ':' || CAST(line AS VARCHAR) AS loc FROM findings) GROUP BY id)"""),
+)
+register(
+    "accepted_sinks",
+    lambda g: rules.best_sinks(g.sinks).select("package_name", "function_name", "vuln_id", "confidence"),
+    O.over("""SELECT package_name, function_name, vuln_id, confidence FROM (SELECT *, row_number() OVER (PARTITION BY package_name, function_name ORDER BY confidence DESC, seq) AS n FROM sinks
+WHERE function_name IS NOT NULL AND confidence >= 0.7) WHERE n = 1"""),
+)
+REACH_KEYS = ["project", "vuln_id", "sink_function"]
+register(
+    "reachability_replace",
+    lambda g: upserts.last_wins(g.reachability.filter("seq % 2 = 0"), g.reachability.filter("seq % 2 = 1"), REACH_KEYS, "seq").select(*REACH_KEYS, "verdict", "seq"),
+    O.over("SELECT project, vuln_id, sink_function, verdict, seq FROM (SELECT *, row_number() OVER (PARTITION BY project, vuln_id, sink_function ORDER BY seq DESC) AS n FROM reachability) WHERE n = 1"),
+)
+register(
+    "sinks_insert_or_ignore",
+    lambda g: upserts.first_wins(g.sinks.filter("seq % 2 = 0"), g.sinks.filter("seq % 2 = 1"), ["package_name", "function_name"], "seq").select("package_name", "function_name", "vuln_id", "seq"),
+    O.over("""SELECT package_name, function_name, vuln_id, seq FROM sinks WHERE seq % 2 = 0 OR function_name IS NULL UNION ALL
+SELECT package_name, function_name, vuln_id, seq FROM (SELECT *, row_number() OVER (PARTITION BY package_name, function_name ORDER BY seq) AS n FROM sinks WHERE seq % 2 = 1 AND function_name IS NOT NULL
+  AND (package_name, function_name) NOT IN (SELECT (package_name, function_name) FROM sinks WHERE seq % 2 = 0 AND function_name IS NOT NULL)) WHERE n = 1"""),
+)
+register(
+    "missing_sinks",
+    lambda g: g.vulns.select(F.col("id").alias("vuln_id")).join(g.sinks.filter("confidence >= 0.5").select("vuln_id"), "vuln_id", "left_anti"),
+    O.over("SELECT id AS vuln_id FROM vulns WHERE id NOT IN (SELECT vuln_id FROM sinks WHERE confidence >= 0.5)"),
+)
+register(
+    "unenriched_vulns",
+    lambda g: g.reachability.groupBy("vuln_id").agg(F.max("seq").alias("scanned")).join(g.sinks.select("vuln_id"), "vuln_id", "left_anti").orderBy(F.desc("scanned"), "vuln_id").limit(25),
+    O.over("SELECT vuln_id, max(seq) AS scanned FROM reachability WHERE vuln_id NOT IN (SELECT vuln_id FROM sinks) GROUP BY vuln_id ORDER BY scanned DESC, vuln_id LIMIT 25"),
+)
+register("import_ledger", lambda g: upserts.not_imported(g.sboms.withColumnRenamed("scan_id", "repo_key"), g.has_component.filter("depth = 1").select(F.col("scan_id").alias("repo_key"))), O.over("SELECT * EXCLUDE (scan_id), scan_id AS repo_key FROM sboms WHERE scan_id NOT IN (SELECT scan_id FROM has_component WHERE depth = 1)"))
+register(
+    "evidence_with_sinks",
+    lambda g: flat(rules.with_sinks(g.sinks.select("vuln_id", F.when(F.col("seq") % 2 == 0, F.col("package_name")).otherwise("other").alias("component")), g.sinks, g.reachability.join(g.sinks.select("vuln_id", "package_name"), "vuln_id"))),
+    O.over(f"""SELECT s.vuln_id, CASE WHEN seq % 2 = 0 THEN package_name ELSE 'other' END AS component, coalesce(function_name, '') AS sink_functions,
+  CASE WHEN r.v IS NULL OR (function_name IS NULL AND false) THEN 'no_sink_data' ELSE r.v END AS reachability_verdict
+FROM sinks s LEFT JOIN (SELECT vuln_id, arg_max(verdict, ({EVIDENCE}, verdict)) AS v FROM reachability GROUP BY vuln_id) r USING (vuln_id)"""),
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["alerts_top"](spark, sf_dir)
 

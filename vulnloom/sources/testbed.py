@@ -64,6 +64,18 @@ SELECT c_name AS project, CASE WHEN event_id % 2 = 0 THEN 'GHSA-' || CAST(k AS S
     ELSE {list}('tests/t' || CAST(event_id % 5 AS STRING) || '.py:3', 'src/core' || CAST(event_id % 3 AS STRING) || '.js:9') END AS call_locations,
   'fn' || CAST(event_id % 17 AS STRING) AS sink_function, event_id AS seq
 FROM (SELECT *, event_id % (SELECT count(*) FROM {supplier}) + 1 AS k FROM {events}) e JOIN {customer} ON user_id = c_custkey""",
+    "sinks": """
+SELECT 'GHSA-' || CAST(s_suppkey AS STRING) AS vuln_id, CASE s_suppkey % 3 WHEN 0 THEN '@scope/pkg-' WHEN 1 THEN 'py-pkg-' ELSE 'org:art-' END || CAST(s_suppkey % 40 AS STRING) AS package_name,
+  CASE s_suppkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'pypi' ELSE 'maven' END AS ecosystem,
+  CASE s_suppkey % 5 WHEN 0 THEN 'parse' WHEN 1 THEN 'unsafeMerge' WHEN 2 THEN 'render_tpl' WHEN 3 THEN NULL ELSE 'load_all' END AS function_name, CAST(NULL AS STRING) AS class_name,
+  CASE s_suppkey % 6 WHEN 0 THEN 'new Runner(...)' WHEN 1 THEN '$OBJ.fetch(...)' WHEN 2 THEN 'evalAll(...)' WHEN 3 THEN 'GET /admin' WHEN 4 THEN '.$ANY(...)' ELSE NULL END AS call_pattern,
+  'function_call' AS sink_type, 'Unknown' AS vuln_type, (s_suppkey % 10) / CAST(10 AS DOUBLE) AS confidence, s_suppkey AS seq
+FROM {supplier} WHERE s_suppkey % 13 <> 0""",
+    "findings": """
+SELECT 'cfg.rules.sbom-reach-ghsa_' || CAST(k AS STRING) || '-' || CASE k % 5 WHEN 0 THEN 'parse' WHEN 1 THEN 'unsafeMerge' WHEN 2 THEN 'render_tpl' ELSE 'load_all' END
+    || CASE WHEN event_id % 3 = 0 THEN '-direct' ELSE '-import' END AS check_id,
+  'repo/src/f' || CAST(event_id % 9 AS STRING) || '.js' AS path, CAST(event_id % 100 AS INT) AS line
+FROM (SELECT event_id, event_id % ((SELECT count(*) FROM {supplier}) * 3) + 1 AS k FROM {events}) e""",
 }
 
 SOURCES = ("customer", "orders", "part", "lineitem", "supplier", "events")
@@ -82,6 +94,8 @@ class Graph:
     affected_by: DataFrame
     declared_in: DataFrame
     reachability: DataFrame
+    sinks: DataFrame
+    findings: DataFrame
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
