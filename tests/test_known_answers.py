@@ -164,3 +164,23 @@ def test_rules(spark):
     assert "const { merge_all } = require('@s/p'); ... merge_all(...)" in got["sbom-reach-cve_1-merge_all-direct"].patterns
     assert got["sbom-reach-cve_2-load_it-direct"].patterns[0] == "yaml.load_it(...)" and "import py_yaml" in got["sbom-reach-cve_2-load_it-import"].patterns
     assert "get(...)" not in got["sbom-reach-cve_3-get-direct"].patterns and got["sbom-reach-cve_3-get-direct"].quality == "generic" and got["sbom-reach-cve_4-any-import"].quality == "weak"
+
+
+def test_texts(spark):
+    from vulnloom.functions import texts
+
+    df = spark.createDataFrame([("Impact: impact - bad **thing** here. And [more](http://x) `code` follows it",)], "t string")
+    one = lambda c: df.select(c).first()[0]
+    assert one(texts.plain(texts.without_label(F.col("t")))) == "bad thing here. And more code follows it"
+    assert one(texts.compact(F.lit("First part is here. Second part is long"), 30)) == "First part is here."
+    assert one(texts.compact(F.lit("no sentence ends in this long text"), 20)) == "no sentence..."
+    assert one(texts.section(F.lit("# A\nx\n## Impact\nyes it  is\n# B\nz"), "impact")) == "yes it is"
+    assert one(texts.version_path(F.lit("1.0"), F.lit("2.0"))) == "1.0 to 2.0" and one(texts.version_path(F.lit("1"), F.lit(None).cast("string"))) == "no fixed version"
+    assert one(texts.why_fix_now(F.lit("likely_reachable"), F.lit(True), F.lit(False))) == "the package is imported, it is exploited in the wild"
+
+
+def test_repository_names(spark, tmp_path):
+    from vulnloom.sources import repositories
+
+    (tmp_path / "links.txt").write_text("# c\n\nhttps://github.com/a/b.git\norg/name@abc\n git@host.org:x/y/ \nnot a link\nhttps://h.org/p.q/r-s\n")
+    assert [r.full_name for r in repositories.read_links(spark, str(tmp_path / "links.txt")).collect()] == ["a/b", "org/name", "x/y", "p.q/r-s"]

@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
+from vulnloom.functions import texts
 from vulnloom.operators import alerts, cases, paths, portfolio, reports, rules, scenarios, upserts
 from vulnloom.plans import oracle as O
 from vulnloom.plans import predicates
+from vulnloom.sources import repositories
 from vulnloom.sources.testbed import Graph, graph
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 #: Parameters of the questions that ask about one thing.
 VULN = "CVE-2024-4"
 PROJECT = "Customer#000000007"
-COMPONENT = "pkg:pypi/5"
+COMPONENT = "pkg:cargo/158"
 SINCE = "2025-06-01"
 NOW = "2025-06-01 00:00:00"
 
@@ -188,7 +190,7 @@ PREDICATES = {
     "not_precedence": ('NOT (project = "Customer#000000001") AND (kev = true OR risk_score >= 60)', "project <> 'Customer#000000001' AND (kev OR coalesce(risk_score >= 60, false))"),
     "contains_any_or": ('all_scopes contains_any ("Required", "runtime") OR cwe contains "cwe-22"', "list_has_any(all_scopes, ['required', 'runtime']) OR list_contains(cwe, 'CWE-22')"),
     "contains_all": ('all_scopes contains_all ["required", "dev"]', "list_has_all(all_scopes, ['required', 'dev'])"),
-    "date_after": ('published >= "2024-01-01" AND modified < "2025-06-01T00:00:00Z"', "published >= '2024-01-01' AND modified < '2025-06-01'"),
+    "date_after": ('published >= "2023-01-05" AND modified < "2025-06-01T00:00:00Z"', "published >= '2023-01-05' AND modified < '2025-06-01'"),
     "exists_list": ("cwe exists AND call_locations_count >= 1", "len(cwe) > 0 AND call_locations_count >= 1"),
     "missing_number": ("NOT (cvss > 5)", "NOT coalesce(cvss > 5, false)"),
     "missing_unequal": ("cvss != 3.7", "cvss IS DISTINCT FROM 3.7::DOUBLE"),
@@ -494,6 +496,50 @@ FROM sinks s LEFT JOIN (SELECT vuln_id, arg_max(verdict, ({EVIDENCE}, verdict))
 )
 
 
+# --- repositories and wording -------------------------------------------------------------------------------------
+
+
+def _repos(g: Graph) -> DataFrame:
+    k = F.col("project_key")
+    return g.projects.select(F.concat(F.lit("org/"), F.translate("project", "#", "-")).alias("full_name"), F.coalesce("language", F.lit("none")).alias("language"), (k * 37 % 1000).alias("stars"), (8000 + k * 53 % 14000).alias("size_kb"))
+
+
+REPOS_SQL = "SELECT 'org/' || replace(project, '#', '-') AS full_name, coalesce(language, 'none') AS language, project_key * 37 % 1000 AS stars, 8000 + project_key * 53 % 14000 AS size_kb FROM projects"
+register(
+    "repository_search",
+    lambda g: repositories.searched(_repos(g)),
+    O.over(f"""SELECT full_name, language, stars, size_kb, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY stars DESC, full_name) AS rank FROM ({REPOS_SQL})
+WHERE stars >= 100 AND size_kb BETWEEN 10000 AND 20000) WHERE rank <= 20"""),
+)
+register(
+    "path_index",
+    lambda g: repositories.path_index(_repos(g).filter("stars > 500").select("full_name", F.lit("/a").alias("path")), _repos(g).select("full_name", F.lit("/b").alias("path"))),
+    O.over(f"SELECT full_name, CASE WHEN stars > 500 THEN '/a' ELSE '/b' END AS path FROM ({REPOS_SQL})"),
+)
+register(
+    "code_snippets",
+    lambda g: repositories.snippets(g.components.select(F.lit("src/x.py").alias("path"), F.split("component_id", "/")[1].cast("long").alias("number"), F.col("name").alias("text")), g.declared_in.select(F.lit("src/x.py").alias("path"), (F.col("line") * 11).cast("long").alias("line")).distinct(), 2),
+    O.over("""SELECT 'src/x.py' AS path, line, array_to_string(list(CASE WHEN number = line THEN '>> ' ELSE '   ' END || CAST(number AS VARCHAR) || ': ' || name ORDER BY number), chr(10)) AS snippet
+FROM (SELECT CAST(split_part(component_id, '/', 2) AS BIGINT) AS number, name FROM components) c JOIN (SELECT DISTINCT CAST(line * 11 AS BIGINT) AS line FROM declared_in) l ON abs(number - line) <= 2 GROUP BY line"""),
+)
+register(
+    "case_wording",
+    lambda g: _cases(g).select("project", "vuln_id", texts.worded(F.col("reachability_verdict"), "developer", "reachability").alias("reach"), texts.worded(F.col("decision_tier"), "management", "tier").alias("tier"), texts.next_action(F.col("decision_tier"), F.col("target_version")).alias("action"), texts.component_shown(F.array_sort("all_components"), F.array_sort("all_versions")).alias("shown")),
+    O.over(
+        """SELECT project, vuln_id, CASE reachability_verdict WHEN 'confirmed_reachable' THEN 'Confirmed call path' WHEN 'likely_reachable' THEN 'Package imported, call not seen' WHEN 'uncertain' THEN 'Inconclusive'
+    WHEN 'likely_unreachable' THEN 'No import or call found' ELSE 'No sink known' END AS reach, CASE decision_tier WHEN 'fix_now' THEN 'Act now' WHEN 'plan_remediation' THEN 'Schedule' WHEN 'mitigate' THEN 'Contain' ELSE 'Watch' END AS tier,
+  CASE WHEN decision_tier IN ('fix_now', 'plan_remediation') AND target_version IS NOT NULL THEN 'Upgrade to ' || target_version WHEN decision_tier = 'fix_now' THEN 'Remove or isolate the call'
+    WHEN decision_tier = 'mitigate' THEN 'Add a compensating control' ELSE 'Review at the next scan' END AS action,
+  CASE WHEN len(all_components) = 1 AND len(all_versions) = 1 THEN all_components[1] || '@' || all_versions[1] WHEN len(all_components) = 1 THEN all_components[1] || ' (' || len(all_versions) || ' versions)'
+    ELSE len(all_components) || ' components' END AS shown FROM cases""",
+        CASES,
+    ),
+)
+register("bundle_triage_queue", lambda g: flat(scenarios.labelled_union(scenarios.bundle(g, "triage_queue", PROJECT, VULN, COMPONENT, SINCE))).groupBy("_query", "project").agg(F.count("*").alias("n")), O.over(f"""SELECT _query, project, count(*) AS n FROM (
+  SELECT 'q3' AS _query, * FROM (SELECT * FROM ({O.PAIRS}) WHERE coalesce(cvss, 0) >= 7 AND len(fix_versions) > 0 ORDER BY {WORST} LIMIT 50)
+  UNION ALL SELECT 'q4', * FROM (SELECT * FROM ({O.PAIRS}) WHERE coalesce(cvss, 0) >= 7 AND len(fix_versions) = 0 ORDER BY {WORST} LIMIT 50)) GROUP BY _query, project"""))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["alerts_top"](spark, sf_dir)
 
