@@ -173,7 +173,7 @@ def test_texts(spark):
     one = lambda c: df.select(c).first()[0]
     assert one(texts.plain(texts.without_label(F.col("t")))) == "bad thing here. And more code follows it"
     assert one(texts.compact(F.lit("First part is here. Second part is long"), 30)) == "First part is here."
-    assert one(texts.compact(F.lit("no sentence ends in this long text"), 20)) == "no sentence..."
+    assert one(texts.compact(F.lit("no sentence ends in this long text"), 20)) == "no sentence ends..."
     assert one(texts.section(F.lit("# A\nx\n## Impact\nyes it  is\n# B\nz"), "impact")) == "yes it is"
     assert one(texts.version_path(F.lit("1.0"), F.lit("2.0"))) == "1.0 to 2.0" and one(texts.version_path(F.lit("1"), F.lit(None).cast("string"))) == "no fixed version"
     assert one(texts.why_fix_now(F.lit("likely_reachable"), F.lit(True), F.lit(False))) == "the package is imported, it is exploited in the wild"
