@@ -241,5 +241,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item."""
-    return docs.join(contaminated(docs, benchmark, options).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` without the documents that hold a benchmark item (their ids are stored, so the join knows their size)."""
+    found = stored(contaminated(docs, benchmark, options).select("doc_id"), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)

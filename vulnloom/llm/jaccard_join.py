@@ -328,6 +328,9 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
 
 
 def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
-    """``docs`` without the rows whose component has a smaller id (rows of a null id stay)."""
-    later = components(docs, options).filter("component_id <> doc_id").select("doc_id").distinct()
+    """``docs`` without the rows whose component has a smaller id (rows of a null id stay).
+
+    The ids that go are stored, so the join knows their size.
+    """
+    later = stored(components(docs, options).filter("component_id <> doc_id").select("doc_id").distinct(), "later")
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)

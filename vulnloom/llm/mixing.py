@@ -4,8 +4,8 @@ Tokens are summed per source, target sizes follow from weights and a repetition
 is emitted floor(rate) times plus one hash-seeded Bernoulli copy whose probability is the rate's fraction.
 
 Plan: one pre-aggregated group-by over sources (so a source with a third of all rows costs one partial row a
-task), a window over the sources alone, and a join of that summary back to the documents.  No document row is
-shuffled for the summary.
+task), a window over the sources alone, and a join of that summary back to the documents.  The summary is a stored
+table, so the join knows its size: where it is small no document is shuffled.
 
 Defined cases: a null source is a source of its own and the last in order; a null or empty text has size 0 and
 is taken with its source's rate (it adds no words); a source whose size is 0 has target 0 and rate 0; rows that
@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import word_count
+from vulnloom.llm.common import stored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3.0
@@ -62,6 +62,7 @@ def assign_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling:
     targets = source_targets(totals, weights, ceiling).select(
         F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
     )
+    targets = stored(targets, "mix-targets")
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["mix_source"]), "left").drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     whole = F.floor(rate)

@@ -100,7 +100,9 @@ def train(docs: DataFrame, limits: MarkovLimits = MarkovLimits()) -> list[float]
     assigned = docs.filter(F.contains(folded, F.lit("passw")) | F.contains(folded, F.lit("secret")) | F.contains(folded, F.lit("token")) | F.contains(folded, F.lit("api")))
     values = assigned.select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(ASSIGN), F.lit(1))).alias("sample")).filter(F.length("sample") >= 8)
     keys = docs.filter(F.contains(text, F.lit("AKIA"))).select(F.explode(F.regexp_extract_all(F.col("text"), F.lit(f"({ACCESS})"), F.lit(1))).alias("sample"))
-    some = docs.select(F.col("text"), F.xxhash64("text").alias("h")).orderBy("h").limit(limits.sample_docs)
+    hashed = docs.filter("text IS NOT NULL").select("text", F.xxhash64("text").alias("h"))
+    last = hashed.select("h").distinct().orderBy("h").limit(limits.sample_docs).agg(F.max("h")).first()[0]
+    some = hashed.filter(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.first("text").alias("text"))
     plain = some.select(F.explode(words(F.col("text"))).alias("sample")).filter(F.col("sample").rlike(f"^[A-Za-z_]{{{limits.min_word},}}$"))
     samples = values.union(keys).select(F.lit(True).alias("random"), "sample").union(plain.select(F.lit(False).alias("random"), "sample"))
     counts = {(r["random"], r["pair"]): r["n"] for r in _pair_counts(samples).collect()}

@@ -218,6 +218,8 @@ def read(spark: SparkSession, index: DataFrame) -> DataFrame:
                         yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     bundles = index.select("bundle").distinct()
+    # A task a bundle: their names are so few bytes that they would else be gathered into one task.
+    bundles = bundles.repartition(min(max(bundles.count(), 1), 100_000), "bundle")
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     return bundles.mapInPandas(work, schema)
 
