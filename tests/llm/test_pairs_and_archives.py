@@ -4,12 +4,14 @@ import os
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from texts import prose
 
 import corpus_pipeline
-from vulnloom.llm import components, decontaminate, jaccard_join, queries, warc
+from vulnloom.llm import components, decontaminate, jaccard_join, queries, textkit, warc
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -19,7 +21,7 @@ def shingles(text):
     return frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def brute_components(texts):
+def brute_components(texts, percent=80):
     sets = {i: shingles(t) for i, t in texts.items()}
     root = {i: i for i in texts}
 
@@ -32,7 +34,7 @@ def brute_components(texts):
     for x, i in enumerate(ids):
         for j in ids[:x]:
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
     return {i: (len(sets[i]), find(i)) for i in texts}
@@ -70,6 +72,28 @@ def test_jaccard_odd(spark, odd_docs):
     assert jaccard_join.keep_first(odd_docs).columns == odd_docs.columns
 
 
+def test_jaccard_split_key(spark):
+    """A near copy alone in its part of a key, whose other documents are copies that speak once a task."""
+    options = jaccard_join.JoinOptions()
+    elements = lambda words: next(textkit.shingle_sets(next(textkit.blocks(pa.array([" ".join(words)])))))
+    words = next(w for w in (prose(k, 9).split() for k in range(1000)) if elements(w)[-1] not in elements(w[:8]))
+    parts = 1 + 5001 // options.salt_rows
+    part = lambda i: int(textkit.mix(np.array([i], np.uint64))[0] >> np.uint64(1)) % parts
+    rows = [(i, " ".join(words)) for i in [k for k in range(30_000) if part(k) == 1][:5000]]
+    rows.append((next(k for k in range(50_000, 60_000) if part(k) == 0), " ".join(words[:8])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    assert {r["component_id"] for r in jaccard_join.components(docs, options).collect()} == {rows[0][0]}
+
+
+def test_jaccard_percent(spark):
+    texts = near_copies(5, 6) | {500: "a b c d e f g", 501: "a b c d e f", 502: "x y"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.components(docs, jaccard_join.JoinOptions(percent=60)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(texts, 60).items()}
+    with pytest.raises(ValueError):
+        jaccard_join.JoinOptions(percent=50)
+
+
 def test_boundary():
     assert jaccard_join.boundary({}, 80) == 0
     assert jaccard_join.boundary({6: 1000, 500: 1000}, 80) > 0

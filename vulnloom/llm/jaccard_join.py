@@ -23,8 +23,8 @@ Step 3 makes the result whole; step 2 makes step 3 small.  Before the exact chec
 long sets) bound the size of the difference from below, which no pair at the threshold can exceed.
 
 Defined cases: a document without words (or null text) has an empty set and is its own component; fewer than five words
-are one shingle; a null id has a null component; rows that repeat an id are one document of the first row's set where
-sets are equal, else each is linked by its own set; an empty table gives an empty result; other columns are ignored.
+are one shingle; a null id has a null component; rows that repeat an id are one document, and where their texts differ it
+is compared by one of them; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,6 +61,10 @@ class JoinOptions:
     salt_rows: int = 2048
     ids_most: int = 1_000_000
 
+    def __post_init__(self):
+        if not 50 < self.percent <= 100:
+            raise ValueError("percent: over 50 (below, sets that reach it need not share two elements), at most 100")
+
 
 def overlap_needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
@@ -152,13 +156,14 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
 
 
 def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, options: JoinOptions) -> DataFrame:
-    """(key, doc_id, part): the prefix elements and 2-subsets of every document that can have a partner.
+    """(key, doc_id, part, split): the prefix elements and 2-subsets of every document that can have a partner.
 
-    Within a task, documents with equal sets give their keys once.
+    ``split``: the key is in several parts, the same for all its rows.  Within a task, documents with equal sets give
+    their keys once, so a part of a split key may be left with a single row.
     """
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast((often, seen))
-    names = ["key", "doc_id", "part"]
+    names = ["key", "doc_id", "part", "split"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, seen = shared.value
@@ -166,10 +171,10 @@ def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, opti
         for batch in batches:
             for block in textkit.blocks(batch.column(1)):
                 ids = batch.column(0).slice(block.first, len(block)).to_pylist()
-                out: list[tuple[np.ndarray, np.ndarray, int]] = []
+                out: list[tuple[np.ndarray, np.ndarray, np.ndarray, int]] = []
                 for doc_id, h in zip(ids, textkit.shingle_sets(block, options.shingle), strict=True):
                     n = len(h)
-                    if doc_id is None or n < 4:
+                    if doc_id is None or 100 * n < options.percent * (n + 1):  # only an equal set can reach the threshold
                         continue
                     digest = textkit.mix(h + np.uint64(1))
                     digest = np.array([np.bitwise_xor.reduce(digest), h.sum(dtype=np.uint64)]).tobytes()
@@ -190,21 +195,23 @@ def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, opti
                         i, j = np.triu_indices(len(order), 1)
                         low, high = np.minimum(h[order[i]], h[order[j]]), np.maximum(h[order[i]], h[order[j]])
                         keys = textkit.mix(low * np.uint64(0x9E3779B97F4A7C15) + high)
-                        out.append((keys, where % np.minimum(parts[i], parts[j]), doc_id))
+                        both = np.minimum(parts[i], parts[j])
+                        out.append((keys, where % both, both > 1, doc_id))
                     if 100 * n >= options.percent * bound:
-                        out.append((h[order[:p]], where % parts[:p], doc_id))
+                        out.append((h[order[:p]], where % parts[:p], parts[:p] > 1, doc_id))
                 if out:
                     sizes = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(np.concatenate([x[0] for x in out]).view(np.int64)),
-                            pa.array(np.repeat(np.array([x[2] for x in out], np.int64), sizes)),
+                            pa.array(np.repeat(np.array([x[3] for x in out], np.int64), sizes)),
                             pa.array(np.concatenate([x[1] for x in out]).astype(np.int32)),
+                            pa.array(np.concatenate([x[2] for x in out])),
                         ],
                         names=names,
                     )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "key long, doc_id long, part int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "key long, doc_id long, part int, split boolean")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, options: JoinOptions) -> DataFrame:
@@ -275,13 +282,12 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     # Keys that two documents or more have, with one member as the centre of the key's star (or of its part).
     here = Window.partitionBy("key", "part")
     keyed = _keys(docs, often, seen, bound, options)
-    starred = keyed.select("key", "part", "doc_id", F.count("*").over(here).alias("rows"), F.max("part").over(here).alias("p"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).over(here).alias("centre"))
-    lists = starred.filter("rows > 1 OR p > 0").select("key", "part", "doc_id", F.col("centre.doc_id").alias("centre"), (F.col("rows") > 2).alias("many"))
+    starred = keyed.select("key", "part", "split", "doc_id", F.count("*").over(here).alias("rows"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).over(here).alias("centre"))
+    lists = starred.filter("rows > 1 OR split").select("key", "split", "doc_id", F.col("centre.doc_id").alias("centre"), (F.col("rows") > 2).alias("many"))
     lists = stored(lists, "lists")
 
     # Stars: members to their part's centre, and centres of a key's parts to the first of them.
-    hot = lists.groupBy("key").agg(F.max("part").alias("p")).filter("p > 0").select("key")
-    tops = lists.join(hot, "key", "left_semi").select("key", "centre").distinct()
+    tops = lists.filter("split").select("key", "centre").distinct()
     ring = tops.join(tops.groupBy("key").agg(F.min("centre").alias("first")), "key").select("centre", "first")
     raw = lists.select(F.col("doc_id").alias("u"), F.col("centre").alias("v")).union(ring).filter("u <> v").distinct()
     to = lambda c: reps.select(F.col("doc_id").alias(c), F.col("rep").alias(f"{c}_rep"))
@@ -308,7 +314,7 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     # What may still join components: likely star pairs across them, and all other pairs of lists of three and more.
     placed = reps.join(label, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
     placed = stored(placed, "placed")
-    longer = lists.filter("many OR part > 0").select("key", "doc_id").union(lists.join(hot, "key", "left_semi").select("key", "doc_id"))
+    longer = lists.filter("many OR split").select("key", "doc_id")
     named = longer.join(placed, "doc_id").select("key", "rep", "component")
     mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
     folded = [reduce(lambda p, q: p.bitwiseXOR(q), [F.col(f"s{k + 4 * j}") for j in range(LONGS // 4)]).alias(f"f{k}") for k in range(4)]
