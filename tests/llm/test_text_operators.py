@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from texts import prose
@@ -260,3 +261,12 @@ def test_words_and_hashes():
 
 def spark_crc(k):
     return zlib.crc32(str(k).encode()) % 4
+
+
+def test_blocks_bounded():
+    """Rows and bytes of a block are bounded, nulls and slices included, and nothing is lost."""
+    texts = ["a", None, "", "b c", "x" * 50, "d"] * 7
+    column = pa.array(["cut", *texts, "cut"]).slice(1, len(texts))
+    made = list(textkit.blocks(column, size=20, rows=4))
+    assert max(map(len, made)) <= 4 and [b.text(i) for b in made for i in range(len(b))] == [x or "" for x in texts]
+    assert [b.first for b in made] == [sum(map(len, made[:k])) for k in range(len(made))]

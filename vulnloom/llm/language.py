@@ -26,6 +26,8 @@ from pyspark.sql import types as T
 from vulnloom.llm import textkit
 
 BUCKETS = 1 << 13
+#: Rows of trigram counts at a time: 64 kB each, so that a batch of very short texts does not fill the memory.
+ROWS = 256
 
 _FOLD = textkit._LOWER.copy()
 _FOLD[:65] = _FOLD[91:97] = _FOLD[123:128] = 32
@@ -80,7 +82,7 @@ def train(labelled: DataFrame) -> Model:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for block in textkit.blocks(batch.column(0)):
+            for block in textkit.blocks(batch.column(0), rows=ROWS):
                 langs = np.array(batch.column(1).slice(block.first, len(block)).to_pylist(), object)
                 grams = _grams(block)
                 for lang in set(langs):
@@ -134,7 +136,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         names = np.array([*model.languages, "und"], object)
         for batch in batches:
-            for block in textkit.blocks(batch.column(spot)):
+            for block in textkit.blocks(batch.column(spot), rows=ROWS):
                 n = len(block)
                 sums = np.concatenate([[0], np.cumsum(_LETTER[block.data])])
                 letter = sums[block.offsets[1:]] > sums[block.offsets[:-1]]

@@ -56,8 +56,8 @@ class Block:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes().decode("utf-8", "replace")
 
 
-def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
-    """The column (nulls as empty texts) in runs of rows of about ``size`` bytes."""
+def blocks(column: pa.Array, size: int = BLOCK, rows: int = 1 << 30) -> Iterator[Block]:
+    """The column (nulls as empty texts) in runs of at most ``rows`` rows of about ``size`` bytes."""
     column = column.cast(pa.large_string()).fill_null("") if not pa.types.is_large_string(column.type) or column.null_count else column
     if not len(column):
         return
@@ -66,7 +66,7 @@ def blocks(column: pa.Array, size: int = BLOCK) -> Iterator[Block]:
     row = 0
     while row < len(column):
         stop = max(row + 1, int(np.searchsorted(at, at[row] + size, "right")) - 1)
-        stop = min(stop, len(column))
+        stop = min(stop, row + rows, len(column))
         yield Block(row, data[at[row] : at[stop]], at[row : stop + 1] - at[row])
         row = stop
 
