@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from texts import prose
 
-from vulnloom.llm import language, mixing, pii, quality_classifier, quality_rules, secrets, textkit, toxicity
+from vulnloom.llm import decontaminate, jaccard_join, language, mixing, pii, quality_classifier, quality_rules, secrets, textkit, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -48,7 +48,7 @@ def test_frequent_lines(spark):
 
 
 def test_odd_rows(spark, odd_docs):
-    judged = quality_rules.judge(odd_docs.drop("kept"), "source").collect()
+    judged = quality_rules.judge(odd_docs, "source").collect()
     assert len(judged) == 8 and {r.doc_id: r.kept for r in judged}[4] is True and not any(r.kept for r in judged if r.doc_id in (1, 2, 3, 6))
     assert {r.doc_id for r in quality_rules.clean(odd_docs).collect()} == {4, 5, None}
     assert secrets.scan(odd_docs.limit(0)).count() == 0 and secrets.scan(odd_docs).count() == 8
@@ -270,3 +270,33 @@ def test_blocks_bounded():
     made = list(textkit.blocks(column, size=20, rows=4))
     assert max(map(len, made)) <= 4 and [b.text(i) for b in made for i in range(len(b))] == [x or "" for x in texts]
     assert [b.first for b in made] == [sum(map(len, made[:k])) for k in range(len(made))]
+
+
+TAKEN = "n_words N_Symbols kept base spans added score predicted lang_pred mix_size mix_source mix_target mix_copy _tokens element hash u v rep host line content".split()
+
+
+def test_clashing_names(spark, odd_docs):
+    """Columns whose names operators add or use: operators that add columns replace them, stages hand them on."""
+    docs = odd_docs.drop("kept").select("*", *[F.lit("own").alias(c) for c in TAKEN])
+    labels = spark.createDataFrame([(4, 1, 1), (6, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {r.n_words for r in quality_rules.judge(docs, "source").select("n_words", "kept").collect()} != {"own"}
+    secrets.scan(docs).select("base", "spans").collect()
+    pii.scan(docs).select("base", "spans").collect()
+    language.predict(docs, language.train(docs)).select("lang_pred", "score").collect()
+    toxicity.score(docs, toxicity.train(docs, labels)).select("score", "predicted").collect()
+    quality_classifier.classify(docs, labels).select("host", "score").collect()
+    mixing.assign_copies(docs).select("mix_size", "mix_target").collect()
+    benchmark = spark.createDataFrame([(1, "what is the sum of all the numbers from one to ten")], "item_id long, text string")
+    stages = {
+        "quality": quality_rules.clean(docs),
+        "near": jaccard_join.keep_first(docs),
+        "benchmark": decontaminate.remove_contaminated(docs, benchmark),
+        "personal": pii.redact(docs),
+        "secrets": secrets.redact(docs),
+        "mix": mixing.mix(docs),
+    }
+    for name, kept in stages.items():
+        expected = [c for c in docs.columns if c != "mix_copy"] + ["mix_copy"] if name == "mix" else docs.columns
+        assert kept.columns == expected, name
+        rows = kept.collect()
+        assert rows and all(r[c] == "own" for r in rows for c in TAKEN if (name, c) != ("mix", "mix_copy")), name

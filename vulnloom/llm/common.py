@@ -65,6 +65,12 @@ def passing(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")
 
 
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns of these names renamed, and the names to rename back, for operators that use them inside."""
+    taken = {f"_aside_{c}": c for c in df.columns if c.lower() in names}
+    return df.withColumnsRenamed({c: k for k, c in taken.items()}), taken
+
+
 def word_count(text: Column) -> Column:
     return F.size(words(text)).cast("long")
 

@@ -9,7 +9,8 @@ table, so the join knows its size: where it is small no document is shuffled.
 
 Defined cases: a null source is a source of its own and the last in order; a null or empty text has size 0 and
 is taken with its source's rate (it adds no words); a source whose size is 0 has target 0 and rate 0; rows that
-repeat an id get the same draw; an empty table gives an empty result; other columns pass through ``mix``.
+repeat an id get the same draw; an empty table gives an empty result; other columns pass through ``mix``, but a
+column named ``mix_copy`` is replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import stored, word_count
+from vulnloom.llm.common import aside, stored, word_count
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CEILING = 3.0
+ADDED = ("mix_size", "mix_source", "mix_source_size", "mix_target", "mix_copies")
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: float = CEILING) -> DataFrame:
@@ -56,7 +58,8 @@ def draw(doc_id: Column, seed: int) -> Column:
 
 
 def assign_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: float = CEILING, seed: int = 17) -> DataFrame:
-    """``docs`` (doc_id, text, source, ...) with mix_size, mix_source_size, mix_target and mix_copies added."""
+    """``docs`` (doc_id, text, source, ...) with mix_size, mix_source_size, mix_target and mix_copies added (or replaced)."""
+    docs = docs.drop(*ADDED)
     sized = docs.withColumn("mix_size", word_count(docs["text"]))
     totals = sized.groupBy("source").agg(F.sum("mix_size").alias("source_size"))
     targets = source_targets(totals, weights, ceiling).select(
@@ -71,6 +74,9 @@ def assign_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling:
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: float = CEILING, seed: int = 17) -> DataFrame:
     """The mixed corpus: each document's columns once per copy, with ``mix_copy`` from 0."""
+    columns = [c for c in docs.columns if c.lower() != "mix_copy"]
+    docs, back = aside(docs.select(*columns), *ADDED)
     taken = assign_copies(docs, weights, ceiling, seed).filter("mix_copies > 0")
     copies = F.explode(F.sequence(F.lit(0).cast("long"), F.col("mix_copies") - 1))
-    return taken.select(*docs.columns, copies.alias("mix_copy"))
+    copied = taken.select(*docs.columns, copies.alias("mix_copy"))
+    return copied.withColumnsRenamed(back)

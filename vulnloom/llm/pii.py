@@ -12,7 +12,8 @@ the labels that the fixed patterns give, and a group-by adds at most a few thous
 The fixed patterns are matched in time linear in the text: an address grows from its @, an ip from the start of its digits.
 
 Defined cases: a null or empty text has no spans; rows that repeat an id are scanned each; a null id is kept; if nothing is
-labelled in training nothing is added to the patterns' spans; an empty table gives an empty result; other columns pass through.
+labelled in training nothing is added to the patterns' spans; an empty table gives an empty result; other columns pass
+through, but ``scan`` replaces those named base or spans.
 """
 
 from __future__ import annotations
@@ -295,6 +296,7 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("sto
 
 def scan(docs: DataFrame, model: Model | None = None, options: PiiOptions = PiiOptions()) -> DataFrame:
     """``docs`` with ``base`` and ``spans``: arrays of (kind, start, stop) in code points, by kind as listed, then start."""
+    docs = docs.drop("base", "spans")
     shared = docs.sparkSession.sparkContext.broadcast(train(docs) if model is None else model)
     spot = docs.columns.index("text")
 

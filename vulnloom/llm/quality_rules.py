@@ -10,7 +10,7 @@ exploded lines again, in a join that Spark may split at a hot line.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; rows
 that repeat an id are judged by their own text, and lines removed from any of them count for the id; an empty
-table gives an empty result; other columns pass through.
+table gives an empty result; other columns pass through, but ``measure`` and ``judge`` replace those of their own names.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import SPACE_RUN, SPACES, let, passing, words
+from vulnloom.llm.common import SPACE_RUN, SPACES, aside, let, passing, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MEASURES = ("word_chars", "n_symbols", "n_dup_lines", "n_words", "n_repeat_words")
+VERDICTS = ("n_removed_words", "base_failed", "kept")
 
 
 @dataclass(frozen=True)
@@ -82,6 +84,7 @@ def _counts(text: Column, n: int) -> Column:
 
 def measure(docs: DataFrame, n: int = 5) -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words (all long)."""
+    docs = docs.drop(*MEASURES)
     text = F.coalesce(docs["text"], F.lit(""))
     return docs.withColumns(
         {
@@ -118,6 +121,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", limits: LineLimits = L
 
 def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """``docs`` with the measures, base_failed, n_removed_words and kept."""
+    docs = docs.drop(*MEASURES, *VERDICTS)
     frequent = frequent_lines(docs, host, limits).alias("f")
     rows = line_rows(docs, host).alias("r")
     hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.doc_id") != F.col("f.first_doc")))
@@ -134,6 +138,8 @@ def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits
 
 def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, in ``docs``' columns, without the lines that were frequent in their host."""
+    columns = docs.columns
+    docs, back = aside(docs, *MEASURES)
     frequent = frequent_lines(docs, host, limits).alias("f")
     rows = line_rows(docs, host).alias("r")
     hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.doc_id") != F.col("f.first_doc")))
@@ -145,6 +151,6 @@ def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits
     left = F.size(words(F.col("text")))
     cleaned = joined.withColumn("text", text).withColumn("_left", left)
     passed = passing(cleaned, (F.col("_left") >= limits.min_words) & (F.col("_left") >= limits.min_left * F.col("n_words")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in columns:
         passed = passed.withColumn("n_chars", F.length("text").cast("long"))
-    return passed.select(*docs.columns)
+    return passed.select(*docs.columns).withColumnsRenamed(back)

@@ -9,7 +9,8 @@ All of it is DataFrame functions, evaluated row by row: ``split`` gives the stre
 ``regexp_extract_all`` the matches, and their lengths give positions in code points.  Applying shuffles nothing.
 
 Defined cases: a null text is an empty one and has no spans; a null id is kept; rows that repeat an id are scanned
-each by itself; an empty table gives an empty result, and training on one gives the untrained (uniform) model.
+each by itself; an empty table gives an empty result, and training on one gives the untrained (uniform) model; other
+columns pass through, but ``scan`` replaces those named base, added or spans.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import words
+from vulnloom.llm.common import aside, words
 
 #: The base patterns (kind, expression, shortest accepted length of the value).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -156,6 +157,7 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, ratios: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs``' columns, each span of the text replaced by ``mark`` (overlapping spans once)."""
+    docs, back = aside(docs, "base", "added", "spans", "_tokens", "_spans")
     scanned = scan(docs, ratios)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
@@ -165,4 +167,4 @@ def redact(docs: DataFrame, ratios: list[float] | None = None, mark: str = "[SEC
         return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], gap, F.when(fresh, F.lit(mark)).otherwise("")).alias("out"))
 
     done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns)
+    return scanned.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns).withColumnsRenamed(back)

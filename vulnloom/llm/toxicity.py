@@ -11,7 +11,7 @@ trains dictionaries (in one task, ``windows`` windows a document), half calibrat
 
 Defined cases: a null or empty text has no window and gets the score of no evidence; documents without labels do not
 train; if either label is missing, every score is the share of toxic labels (0 without labels); rows that repeat an id are
-scored each; an empty table gives an empty result; other columns pass through.
+scored each; an empty table gives an empty result; other columns pass through, but score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -164,6 +164,7 @@ def calibrate(ordinary: bytes, toxic: bytes, x: np.ndarray, y: np.ndarray) -> Mo
 
 def score(docs: DataFrame, model: Model, options: ToxicityOptions = ToxicityOptions()) -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on), from ``text`` alone."""
+    docs = docs.drop("score", "predicted")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     spot = docs.columns.index("text")
 
