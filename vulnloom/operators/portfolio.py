@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
 
 
+def _mean_risk() -> Column:
+    """Scores have two decimals: summed as such, so the mean's rounding does not hang on the order of rows."""
+    return F.round(F.sum(F.col("risk_score").cast("decimal(12,2)")) / F.count("risk_score"), 4).cast("double")
+
+
 def by_project(alerts: DataFrame, n: int = 12) -> DataFrame:
-    one = alerts.groupBy("project").agg(F.count("*").alias("alerts"), F.round(F.sum("risk_score"), 2).alias("total_risk"), F.round(F.avg("risk_score"), 4).alias("avg_risk"))
+    one = alerts.groupBy("project").agg(F.count("*").alias("alerts"), F.round(F.sum("risk_score"), 2).alias("total_risk"), _mean_risk().alias("avg_risk"))
     return one.orderBy(F.desc("total_risk"), "project").limit(n)
 
 
@@ -45,7 +50,7 @@ def heatmap(alerts: DataFrame, projects: DataFrame) -> DataFrame:
 def kpis(alerts: DataFrame) -> DataFrame:
     return alerts.agg(
         F.count("*").alias("alerts"), F.count_distinct("project").alias("projects"), F.count_distinct("vuln_id").alias("vulns"), F.count_if("kev").alias("kev"),
-        F.count_if(F.col("reachability_verdict") == "confirmed_reachable").alias("confirmed"), F.round(F.avg("risk_score"), 4).alias("avg_risk"), F.max("risk_score").alias("max_risk"),
+        F.count_if(F.col("reachability_verdict") == "confirmed_reachable").alias("confirmed"), _mean_risk().alias("avg_risk"), F.max("risk_score").alias("max_risk"),
     )
 
 
