@@ -101,7 +101,7 @@ def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
                         sketch[i] = np.bitwise_xor.reduce(odd.reshape(-1, SKETCH), axis=0)
                         if len(h) >= WIDE_FROM:
                             wide[i] = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-                        pool.append(h[: 2 * prefix_size(len(h), options.percent)])
+                        pool.append(h[: 2 * prefix_size(len(h), options.percent)].copy())
                         held += len(pool[-1])
                 longs = np.packbits(sketch, axis=1).view(np.int64)
                 ids = batch.column(0).slice(block.first, n)
