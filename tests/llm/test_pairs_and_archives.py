@@ -140,6 +140,26 @@ def test_decontamination(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {4, 5, 6, 7, 8}
 
 
+def test_decontamination_occurrences(spark):
+    """Items that a document holds several times, with other values each time, and items of one template."""
+    one = "A train leaves the city at 9 and travels 120 km to a town where 45 people have waited for 3 hours"
+    other = one.replace("9", "8").replace("120", "75").replace("45", "61").replace("3 hours", "2 hours")
+    third = one.replace("9", "5").replace("120", "31").replace("45", "17").replace("3 hours", "6 hours")
+    shifted = other.replace("travels", "slowly travels")
+    docs = {
+        1: f"{one}. {other}.",
+        2: f"{prose(1, 30)}. {other}. {prose(2, 30)}. {third}.",
+        3: f"{one}. {other}. {third}. {shifted}.",
+        4: prose(3, 60),
+        5: f"{other}. {prose(4, 30)}. {third.replace('people have', 'people there have')}.",
+    }
+    d = spark.createDataFrame([*docs.items(), (6, one), (6, other), (6, third)], "doc_id long, text string")
+    b = spark.createDataFrame([(1, one), (2, third)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.coverage, r.exact) for r in decontaminate.matches(d, b).collect()}
+    assert {k: v for k, v in got.items() if k[0] != 5} == {(1, 1): (1, True), (1, 2): (1, False), (2, 1): (1, False), (2, 2): (1, True), (3, 1): (1, True), (3, 2): (1, True), (6, 1): (1, True), (6, 2): (1, True)}
+    assert {k for k in got if k[0] == 5} == {(5, 1), (5, 2)}
+
+
 PAGES = "page_id long, url string, html string, digest string"
 
 

@@ -3,11 +3,15 @@
 Texts become templates: numbers, names and units turn into typed placeholders, everything else is compared in lower
 case without punctuation.  Windows of template tokens are hashed and joined with the windows of the benchmark; the
 values in the slots of a match then have to correspond one to one, which tells a re-parameterised question (every 3
-became a 7) from an accident.
+became a 7) from an accident.  They have to correspond within one occurrence: a document may hold an item twice, with other
+values each time.  An occurrence is a set of matches whose document position less item position is the same, or a
+run of such with steps of at most ``shift`` (words put in or left out); all matches of a document together are tried too,
+for an item whose pieces stand apart.
 
 The benchmark is a stated query set: its window hashes go to the workers in blocks of ``block`` hashes (8 bytes each), one
 scan of the documents a block, so neither side is limited.  A scan shuffles nothing; only hits (document window, hash, slot
-values) meet the benchmark's windows in a hash join.
+values) meet the benchmark's windows in a hash join.  Hits keep their positions, so a window that stands m times in a document and
+k times in an item gives m k rows.
 
 Defined cases: a null or empty text has no windows; an item of fewer than ``least_item`` template tokens is not searched
 (it would match ordinary text), one shorter than a window is searched whole; items with equal templates are all
@@ -22,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnloom.llm import textkit
@@ -48,8 +52,9 @@ _DIGIT[48:58] = True
 @dataclass(frozen=True)
 class TemplateOptions:
     """``window`` template tokens, of which ``least_literal`` are no placeholders; a document holds an item if
-    ``enough`` of its windows, or ``share`` of them where that is less, are found with slots that correspond for
-    ``consistent`` of their values."""
+    ``enough`` of its windows, or ``share`` of them where that is less, are found in one occurrence with slots that
+    correspond for ``consistent`` of their values.  ``shift``: template tokens that neighbouring matches of one occurrence may
+    be out of step (under ``least_item``, so that copies in a row stay apart)."""
 
     window: int = 8
     least_literal: int = 4
@@ -57,6 +62,7 @@ class TemplateOptions:
     enough: int = 6
     share: float = 0.5
     consistent: float = 0.75
+    shift: int = 3
     block: int = 1_000_000
 
 
@@ -174,14 +180,14 @@ def item_windows(benchmark: DataFrame, options: TemplateOptions = TemplateOption
 
 
 def _hits(docs: DataFrame, wanted: dict[int, np.ndarray], options: TemplateOptions) -> DataFrame:
-    """Windows of documents whose hash is one of ``wanted`` (sorted hashes by window size)."""
+    """Windows of documents whose hash is one of ``wanted`` (sorted hashes by window size); ``of`` tells texts of one id apart."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in textkit.blocks(batch.column(1)):
                 found = templates(block)
-                ids = batch.column(0).slice(block.first, len(block)).to_pylist()
+                ids, texts = (batch.column(k).slice(block.first, len(block)).to_pylist() for k in (0, 2))
                 rows = []
                 for size, hashes in shared.value.items():
                     own = textkit.window_hashes(found.token, size)
@@ -190,17 +196,33 @@ def _hits(docs: DataFrame, wanted: dict[int, np.ndarray], options: TemplateOptio
                     hit = np.flatnonzero(hashes[spot] == own)
                     row = np.searchsorted(found.bounds, hit, "right") - 1
                     inside = hit + size <= found.bounds[row + 1]
-                    rows += [(ids[r], size, k - int(found.bounds[r]), 0, int(own[k].view(np.int64)), _slots(found, k, size)) for k, r in zip(hit[inside].tolist(), row[inside].tolist(), strict=True) if ids[r] is not None]
+                    rows += [(ids[r], size, k - int(found.bounds[r]), texts[r], int(own[k].view(np.int64)), _slots(found, k, size)) for k, r in zip(hit[inside].tolist(), row[inside].tolist(), strict=True) if ids[r] is not None]
                 if rows:
                     yield _rows(rows)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, _DDL)
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(work, _DDL)
+
+
+def _occurrences(met: DataFrame, options: TemplateOptions) -> DataFrame:
+    """``met`` once for each set of matches that may be one occurrence: (kind, text, place) names the set.
+
+    Kind 1 has one place (document position less item position), kind 2 a run of places, kind 0 the whole document, in which
+    equal matches count once.
+    """
+    spot = lambda kind, text, place: F.struct(F.lit(kind).alias("kind"), text.alias("text"), place.alias("place"))
+    flat = lambda df, spots: df.withColumn("_spot", spots).select("doc_id", "item_id", "at", "of", "slots", "_spot.*")
+    near = Window.partitionBy("doc_id", "item_id", "text").orderBy("place")
+    apart = F.coalesce((F.col("place") - F.lag("place").over(near) > options.shift).cast("long"), F.lit(0))
+    runs = met.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(near))
+    aligned = flat(runs, F.explode(F.array(spot(1, F.col("text"), F.col("place")), spot(2, F.col("text"), F.col("_run")))))
+    nowhere = F.lit(0).cast("long")
+    return aligned.unionByName(flat(met.select("doc_id", "item_id", "at", "of", "slots").distinct(), spot(0, nowhere, nowhere)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, exact) of the items that documents hold.
 
-    ``exact``: all slot values are the item's own.
+    Of several occurrences the one with most windows is told; ``exact``: all its slot values are the item's own.
     """
     items = stored(item_windows(benchmark, options), "item-windows")
     blocks = -(-items.select("hash").distinct().count() // options.block)
@@ -212,22 +234,31 @@ def matches(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = Te
         hits = part if hits is None else hits.unionByName(part)
     if hits is None:
         hits = docs.sparkSession.createDataFrame([], _DDL)
-    hits = hits.groupBy("id", "size", "hash", "slots").agg(F.min("at").alias("at"))
     i, d = items.alias("i"), hits.alias("d")
     met = d.join(i, (F.col("d.hash") == F.col("i.hash")) & (F.col("d.size") == F.col("i.size")) & (F.size("d.slots") == F.size("i.slots")))
-    met = met.select(F.col("d.id").alias("doc_id"), F.col("i.id").alias("item_id"), F.col("i.at").alias("at"), F.col("i.of").alias("of"), F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"))
-    met = stored(met, "window-matches")
-    # The commonest value that a slot value became, over all windows of the pair, against all that it became.
-    pairs = met.select("doc_id", "item_id", F.explode("slots").alias("s")).groupBy("doc_id", "item_id", "s.a", "s.b").count()
-    per_value = pairs.groupBy("doc_id", "item_id", "a").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("own"))
-    slots = per_value.groupBy("doc_id", "item_id").agg(F.sum("most").alias("most"), F.sum("all").alias("all"), F.sum("own").alias("own"))
-    counted = met.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_windows"), F.max("of").alias("item_windows"))
-    joined = counted.join(slots, ["doc_id", "item_id"], "left")
+    met = met.select(
+        F.col("d.id").alias("doc_id"),
+        F.col("i.id").alias("item_id"),
+        F.col("d.of").alias("text"),
+        F.col("i.at").alias("at"),
+        F.col("i.of").alias("of"),
+        (F.col("d.at") - F.col("i.at")).alias("place"),
+        F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
+    )
+    tried = _occurrences(stored(met, "window-matches"), options)
+    key = ["doc_id", "item_id", "kind", "text", "place"]
+    # The commonest value that a slot value became, over all windows of the occurrence, against all that it became.
+    pairs = tried.select(*key, F.explode("slots").alias("s")).groupBy(*key, "s.a", "s.b").count()
+    per_value = pairs.groupBy(*key, "a").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("own"))
+    slots = per_value.groupBy(*key).agg(F.sum("most").alias("most"), F.sum("all").alias("all"), F.sum("own").alias("own"))
+    counted = tried.groupBy(*key).agg(F.countDistinct("at").alias("n_windows"), F.max("of").alias("item_windows"))
+    joined = counted.join(slots, key, "left")
     enough = F.col("n_windows") >= F.least(F.lit(options.enough), F.ceil(F.col("item_windows") * options.share))
     consistent = F.coalesce(F.col("most") >= options.consistent * F.col("all"), F.lit(True))
-    return joined.filter(enough & consistent).select(
-        "doc_id", "item_id", "n_windows", "item_windows", (F.col("n_windows") / F.col("item_windows")).alias("coverage"), F.coalesce(F.col("own") == F.col("all"), F.lit(True)).alias("exact")
-    )
+    exact = F.coalesce(F.col("own") == F.col("all"), F.lit(True))
+    best = F.max(F.struct((F.col("n_windows") / F.col("item_windows")).alias("coverage"), exact.alias("exact"), "n_windows", "item_windows"))
+    found = joined.filter(enough & consistent).groupBy("doc_id", "item_id").agg(best.alias("best"))
+    return found.select("doc_id", "item_id", "best.n_windows", "best.item_windows", "best.coverage", "best.exact")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
