@@ -160,6 +160,27 @@ def test_decontamination_occurrences(spark):
     assert {k for k in got if k[0] == 5} == {(5, 1), (5, 2)}
 
 
+def test_decontamination_verbatim(spark):
+    """Items that are no templates, rich in numbers, names and units or short, are found where they stand verbatim."""
+    items = {
+        1: "Compute 12 * 7 + 3 - 9",
+        2: "3 7 12 45 61 8 99 23 51 17 4 76 31 88 2",
+        3: "What is 6 x 7?",
+        4: "A tank holds 5 kg 7 m 12 km 9 mg 14 cm 3 ft 8 lb 6 oz of salt and water when it is full to the brim today",
+        5: "It met Alice, Robert, Maria, 4 kg, 7 lb, Peter, 9 oz, Susan, 12 km, Tom",
+    }
+    d = {k: f"{prose(k, 30)}. {t}. {prose(k + 20, 30)}" for k, t in items.items()}
+    d |= {10 + k: f"{prose(k, 30)} {t.lower()} {prose(k + 20, 30)}" for k, t in items.items()}
+    d |= {21: prose(9, 30) + " compute 13 * 7 + 3 - 9", 22: "3 7 12 45 61 9 99 23 51 18 4 76 31 89 2", 23: "what is 6 x 8?", 24: "", 25: None}
+    d |= {26: items[4].replace("6 oz", "7 oz")}
+    docs = spark.createDataFrame(list(d.items()), "doc_id long, text string")
+    b = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    for options in (decontaminate.TemplateOptions(), decontaminate.TemplateOptions(block=5)):
+        got = {(r.doc_id, r.item_id): (r.coverage, r.exact) for r in decontaminate.matches(docs, b, options).collect()}
+        assert {k: v for k, v in got.items() if k[0] != 26} == {(k + n, k): (1, True) for k in items for n in (0, 10)}
+        assert {k: v[1] for k, v in got.items() if k[0] == 26} == {(26, 4): False}
+
+
 PAGES = "page_id long, url string, html string, digest string"
 
 

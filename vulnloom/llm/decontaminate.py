@@ -8,13 +8,18 @@ values each time.  An occurrence is a set of matches whose document position les
 run of such with steps of at most ``shift`` (words put in or left out); all matches of a document together are tried too,
 for an item whose pieces stand apart.
 
+A window of few literals (a row of numbers, names and units) would match much as a template, so it is not searched as one.
+Items that have such windows, or are short, are searched word by word too: windows of their words as they stand (in lower
+case, without punctuation) are hashed and joined, and a verbatim copy is found that way.
+
 The benchmark is a stated query set: its window hashes go to the workers in blocks of ``block`` hashes (8 bytes each), one
 scan of the documents a block, so neither side is limited.  A scan shuffles nothing; only hits (document window, hash, slot
 values) meet the benchmark's windows in a hash join.  Hits keep their positions, so a window that stands m times in a document and
 k times in an item gives m k rows.
 
-Defined cases: a null or empty text has no windows; an item of fewer than ``least_item`` template tokens is not searched
-(it would match ordinary text), one shorter than a window is searched whole; items with equal templates are all
+Defined cases: a null or empty text has no windows; an item of fewer than ``least_item`` template tokens is searched
+verbatim only, one of fewer than ``least_words`` words not at all (it would match ordinary text); one shorter than a window is
+searched whole; operators such as + are punctuation; items with equal templates are all
 reported; rows that repeat an id are searched each and reported once; an empty table on either side gives an empty
 result; a null id is not reported; other columns are ignored.
 """
@@ -54,11 +59,13 @@ class TemplateOptions:
     """``window`` template tokens, of which ``least_literal`` are no placeholders; a document holds an item if
     ``enough`` of its windows, or ``share`` of them where that is less, are found in one occurrence with slots that
     correspond for ``consistent`` of their values.  ``shift``: template tokens that neighbouring matches of one occurrence may
-    be out of step (under ``least_item``, so that copies in a row stay apart)."""
+    be out of step (under ``least_item``, so that copies in a row stay apart).  Items of ``least_words`` words may be
+    searched verbatim."""
 
     window: int = 8
     least_literal: int = 4
     least_item: int = 5
+    least_words: int = 3
     enough: int = 6
     share: float = 0.5
     consistent: float = 0.75
@@ -68,12 +75,17 @@ class TemplateOptions:
 
 @dataclass
 class Templates:
-    """Template tokens of a block's rows: hash, whether a placeholder, hash of the text behind it; row bounds."""
+    """Template tokens of a block's rows: hash, whether a placeholder, hash of the text behind it; row bounds.
+
+    ``word``, ``word_bounds``: the words as they stand, hashed, and their row bounds.
+    """
 
     token: np.ndarray
     slot: np.ndarray
     value: np.ndarray
     bounds: np.ndarray
+    word: np.ndarray
+    word_bounds: np.ndarray
 
 
 def templates(block: textkit.Block) -> Templates:
@@ -122,7 +134,7 @@ def templates(block: textkit.Block) -> Templates:
     later[words.bounds[:-1][words.bounds[:-1] < len(starts)]] = False
     keep = np.flatnonzero(~later)
     value = np.add.reduceat(literal * np.uint64(0x9E3779B97F4A7C15), keep) if len(keep) else literal
-    return Templates(token[keep], slot[keep], value, np.searchsorted(keep, words.bounds))
+    return Templates(token[keep], slot[keep], value, np.searchsorted(keep, words.bounds), literal, words.bounds)
 
 
 def _unit_hashes() -> np.ndarray:
@@ -160,7 +172,10 @@ _DDL = "id long, size int, at long, of long, hash long, slots array<long>"
 
 
 def item_windows(benchmark: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
-    """Windows of each item: id, size, at (its number), of (how many the item has), hash, slots."""
+    """Windows of each item: id, size, at (its number), of (how many the item has), hash, slots.
+
+    Windows of words as they stand have their size negated and no slots.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,11 +184,19 @@ def item_windows(benchmark: DataFrame, options: TemplateOptions = TemplateOption
                 ids = batch.column(0).slice(block.first, len(block)).to_pylist()
                 lengths = np.diff(found.bounds)
                 rows = []
+                verbatim = lengths < options.least_item
                 for size in {min(options.window, int(x)) for x in lengths if x >= options.least_item}:
                     for i, a, hashes, fit in _windows(found, size, options):
                         if min(options.window, lengths[i]) == size and ids[i] is not None:
                             spots = np.flatnonzero(fit).tolist()
+                            verbatim[i] = len(spots) < len(fit)
                             rows += [(ids[i], size, k, len(spots), int(hashes[k].view(np.int64)), _slots(found, a + k, size)) for k in spots]
+                words = np.diff(found.word_bounds)
+                for i in np.flatnonzero(verbatim & (words >= options.least_words)).tolist():
+                    if ids[i] is not None:
+                        size = min(options.window, int(words[i]))
+                        hashes = textkit.window_hashes(found.word[found.word_bounds[i] : found.word_bounds[i + 1]], size)
+                        rows += [(ids[i], -size, k, len(hashes), h, []) for k, h in enumerate(hashes.view(np.int64).tolist())]
                 yield _rows(rows)
 
     return benchmark.select(F.col("item_id").cast("long"), "text").mapInArrow(work, _DDL)
@@ -190,13 +213,15 @@ def _hits(docs: DataFrame, wanted: dict[int, np.ndarray], options: TemplateOptio
                 ids, texts = (batch.column(k).slice(block.first, len(block)).to_pylist() for k in (0, 2))
                 rows = []
                 for size, hashes in shared.value.items():
-                    own = textkit.window_hashes(found.token, size)
+                    tokens, bounds = (found.token, found.bounds) if size > 0 else (found.word, found.word_bounds)
+                    own = textkit.window_hashes(tokens, abs(size))
                     spot = np.searchsorted(hashes, own)
                     spot[spot == len(hashes)] = 0
                     hit = np.flatnonzero(hashes[spot] == own)
-                    row = np.searchsorted(found.bounds, hit, "right") - 1
-                    inside = hit + size <= found.bounds[row + 1]
-                    rows += [(ids[r], size, k - int(found.bounds[r]), texts[r], int(own[k].view(np.int64)), _slots(found, k, size)) for k, r in zip(hit[inside].tolist(), row[inside].tolist(), strict=True) if ids[r] is not None]
+                    row = np.searchsorted(bounds, hit, "right") - 1
+                    inside = hit + abs(size) <= bounds[row + 1]
+                    slots = lambda k: _slots(found, k, size) if size > 0 else []  # noqa: E731, B023
+                    rows += [(ids[r], size, k - int(bounds[r]), texts[r], int(own[k].view(np.int64)), slots(k)) for k, r in zip(hit[inside].tolist(), row[inside].tolist(), strict=True) if ids[r] is not None]
                 if rows:
                     yield _rows(rows)
 
@@ -210,19 +235,19 @@ def _occurrences(met: DataFrame, options: TemplateOptions) -> DataFrame:
     equal matches count once.
     """
     spot = lambda kind, text, place: F.struct(F.lit(kind).alias("kind"), text.alias("text"), place.alias("place"))
-    flat = lambda df, spots: df.withColumn("_spot", spots).select("doc_id", "item_id", "at", "of", "slots", "_spot.*")
-    near = Window.partitionBy("doc_id", "item_id", "text").orderBy("place")
+    flat = lambda df, spots: df.withColumn("_spot", spots).select("doc_id", "item_id", "size", "at", "of", "slots", "_spot.*")
+    near = Window.partitionBy("doc_id", "item_id", "size", "text").orderBy("place")
     apart = F.coalesce((F.col("place") - F.lag("place").over(near) > options.shift).cast("long"), F.lit(0))
     runs = met.withColumn("_apart", apart).withColumn("_run", F.sum("_apart").over(near))
     aligned = flat(runs, F.explode(F.array(spot(1, F.col("text"), F.col("place")), spot(2, F.col("text"), F.col("_run")))))
     nowhere = F.lit(0).cast("long")
-    return aligned.unionByName(flat(met.select("doc_id", "item_id", "at", "of", "slots").distinct(), spot(0, nowhere, nowhere)))
+    return aligned.unionByName(flat(met.select("doc_id", "item_id", "size", "at", "of", "slots").distinct(), spot(0, nowhere, nowhere)))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
     """(doc_id, item_id, n_windows, item_windows, coverage, exact) of the items that documents hold.
 
-    Of several occurrences the one with most windows is told; ``exact``: all its slot values are the item's own.
+    Of several occurrences the one with most windows is told; ``exact``: all slot values in the windows found are the item's own.
     """
     items = stored(item_windows(benchmark, options), "item-windows")
     blocks = -(-items.select("hash").distinct().count() // options.block)
@@ -239,6 +264,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = Te
     met = met.select(
         F.col("d.id").alias("doc_id"),
         F.col("i.id").alias("item_id"),
+        F.col("d.size").alias("size"),
         F.col("d.of").alias("text"),
         F.col("i.at").alias("at"),
         F.col("i.of").alias("of"),
@@ -246,7 +272,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = Te
         F.arrays_zip(F.col("i.slots").alias("a"), F.col("d.slots").alias("b")).alias("slots"),
     )
     tried = _occurrences(stored(met, "window-matches"), options)
-    key = ["doc_id", "item_id", "kind", "text", "place"]
+    key = ["doc_id", "item_id", "size", "kind", "text", "place"]
     # The commonest value that a slot value became, over all windows of the occurrence, against all that it became.
     pairs = tried.select(*key, F.explode("slots").alias("s")).groupBy(*key, "s.a", "s.b").count()
     per_value = pairs.groupBy(*key, "a").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("own"))
