@@ -72,6 +72,19 @@ def test_jaccard_odd(spark, odd_docs):
     assert jaccard_join.keep_first(odd_docs).columns == odd_docs.columns
 
 
+def test_jaccard_repeated_ids(spark):
+    """An id with two texts links by each of them; equal rows of an id are kept once."""
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    near = b + " more"
+    rows = [(5, a), (5, b), (9, b), (12, near), (20, c), (20, c), (30, prose(4, 60)), (30, None), (31, ""), (40, c + " more"), (None, prose(6, 60)), (30, prose(5, 60)), (29, prose(5, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for flipped in (rows, rows[::-1]):
+        got = {(r.doc_id, r.component_id) for r in jaccard_join.components(spark.createDataFrame(flipped, docs.schema).coalesce(1)).collect()}
+        assert got == {(5, 5), (9, 5), (12, 5), (20, 20), (40, 20), (29, 29), (30, 29), (31, 31), (None, None)}
+    kept = [tuple(r) for r in jaccard_join.keep_first(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (20, c), (29, prose(5, 60)), (31, ""), (None, prose(6, 60))], key=str)
+
+
 def test_jaccard_split_key(spark):
     """A near copy alone in its part of a key, whose other documents are copies that speak once a task."""
     options = jaccard_join.JoinOptions()

@@ -23,8 +23,9 @@ Step 3 makes the result whole; step 2 makes step 3 small.  Before the exact chec
 long sets) bound the size of the difference from below, which no pair at the threshold can exceed.
 
 Defined cases: a document without words (or null text) has an empty set and is its own component; fewer than five words
-are one shingle; a null id has a null component; rows that repeat an id are one document, and where their texts differ it
-is compared by one of them; an empty table gives an empty result; other columns are ignored.
+are one shingle; a null id has a null component; rows that repeat an id are one document, which is linked by each of its
+texts (where texts of an id differ, the join runs on keys of id and text, and the components that an id stands in are then
+connected); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnloom.llm import textkit
-from vulnloom.llm.common import stored
+from vulnloom.llm.common import drop_stored, stored
 from vulnloom.llm.components import connected
 
 SKETCH, LONGS = 1024, 16
@@ -265,9 +266,36 @@ def _linked(pairs: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFram
 
 def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
+    facts = stored(_facts(docs, options), "facts")
+    one_set = F.min(F.struct("n", "a", "b")) == F.max(F.struct("n", "a", "b"))
+    several = facts.filter("element IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(one_set.alias("one_set")).filter("NOT one_set")
+    if several.isEmpty():
+        return _components(docs, facts, options)
+    drop_stored(facts)
+    return _by_text(docs, options)
+
+
+def _by_text(docs: DataFrame, options: JoinOptions) -> DataFrame:
+    """``components`` where rows of an id differ: each (id, text) is a document to the join, and an id links its own."""
+    doc_id = F.col("doc_id").cast("long")
+    keyed = docs.select(doc_id.alias("doc_id"), F.when(doc_id.isNotNull(), F.xxhash64(doc_id, "text")).alias("key"), "text")
+    rows = keyed.select(F.col("key").alias("doc_id"), "text")
+    rows = _components(rows, stored(_facts(rows, options), "facts"), options)
+    ids = keyed.filter("key IS NOT NULL").select("key", "doc_id").distinct()
+    found = stored(rows.withColumnsRenamed({"doc_id": "key", "component_id": "part"}).join(ids, "key", "left"), "texts")
+    placed = found.filter("key IS NOT NULL").select("doc_id", "part").distinct()
+    least = placed.groupBy("doc_id").agg(F.min("part").alias("v"))
+    label = connected(placed.join(least, "doc_id").select(F.col("part").alias("u"), "v"))
+    whole = found.join(label, F.col("part") == F.col("node"), "left").withColumn("whole", F.coalesce("component", "part"))
+    whole = stored(whole.select("doc_id", "n_shingles", "whole"), "wholes")
+    first = whole.filter("doc_id IS NOT NULL").groupBy("whole").agg(F.min("doc_id").alias("component_id"))
+    return whole.join(first, "whole", "left").select("doc_id", "n_shingles", "component_id")
+
+
+def _components(docs: DataFrame, facts: DataFrame, options: JoinOptions) -> DataFrame:
+    """``components`` of documents whose rows of one id have one set; ``facts`` are theirs, stored."""
     percent = options.percent
     sketch = [f"s{k}" for k in range(LONGS)]
-    facts = stored(_facts(docs, options), "facts")
     often, seen = _often_elements(facts, options)
     own = facts.filter("element IS NULL").drop("element", "seen")
     classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in [*sketch, "wide"]])
@@ -336,7 +364,13 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
 def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """``docs`` without the rows whose component has a smaller id (rows of a null id stay).
 
+    Of rows that repeat an id and are equal in all columns one stays; rows of the id that differ stay, as one document.
     The ids that go are stored, so the join knows their size.
     """
     later = stored(components(docs, options).filter("component_id <> doc_id").select("doc_id").distinct(), "later")
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    again = stored(docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").select(*docs.columns).distinct()
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
