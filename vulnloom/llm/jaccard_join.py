@@ -17,7 +17,11 @@ From keys to components, without all pairs of a group:
 1. documents with equal sets are one class (one map-side combined group-by);
 2. each key's list is linked to one of its members as a star, hot keys in salted parts that are then linked in turn; of
    a document's star links the likeliest is checked exactly, and links that hold are contracted to components;
-3. lists that still hold several components give every pair across components, and these are checked exactly too.
+3. lists that still hold several components give pairs across components, and these are checked exactly too: a list of at
+   most ``list_rows`` sets gives every such pair.  The sets of longer lists are put in order anew, by how often their elements
+   are among *these* sets, and give new keys: what made the lists long (a passage that many documents hold) goes last.  A
+   pair all of whose lists were long has both its sets here and meets in a new list.  That is repeated while it at least
+   halves the sets in long lists; pairs grow with the rows of lists, not with the square of a list.
 
 Step 3 makes the result whole; step 2 makes step 3 small.  Before the exact check, parity sketches (1,024 bits, and 8,192 for
 long sets) bound the size of the difference from below, which no pair at the threshold can exceed.
@@ -52,7 +56,8 @@ WIDE, WIDE_FROM = 8192, 800
 class JoinOptions:
     """``percent``: the threshold; ``often_local``, ``often``: sightings that put an element last; ``often_most``: how many
     such elements the order may name (8 bytes each reach every worker; beyond, only the commonest are named);
-    ``salt_rows``: rows of a key that one part of it holds; ``ids_most``: ids sent to workers instead of a join."""
+    ``salt_rows``: rows of a key that one part of it holds; ``ids_most``: ids sent to workers instead of a join;
+    ``list_rows``: sets of a list that are paired as they are, longer lists are refined first."""
 
     percent: int = 80
     shingle: int = 5
@@ -61,6 +66,7 @@ class JoinOptions:
     often_most: int = 200_000
     salt_rows: int = 2048
     ids_most: int = 1_000_000
+    list_rows: int = 64
 
     def __post_init__(self):
         if not 50 < self.percent <= 100:
@@ -131,7 +137,12 @@ def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
 
 def _often_elements(facts: DataFrame, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
     """The elements that stand last in the order, by value, and how often each was seen (a lower bound)."""
-    seen = facts.filter("element IS NOT NULL").groupBy("element").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= options.often)
+    return _named(facts.filter("element IS NOT NULL"), options.often, options)
+
+
+def _named(sightings: DataFrame, often: int, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
+    """From (element, seen) rows: the elements seen ``often`` times in all, sorted, and how many times."""
+    seen = sightings.groupBy("element").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= often)
     top = seen.orderBy(F.desc("seen"), "element").limit(options.often_most).toPandas()
     top = top.sort_values("element", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
     return top["element"].to_numpy(np.int64).view(np.uint64).copy(), top["seen"].to_numpy(np.int64).copy()
@@ -156,6 +167,30 @@ def boundary(histogram: dict[int, int], percent: int) -> int:
     return min([0, 5, 8, 12, 16, 24, 32, 48, 64, 96, 128], key=cost)
 
 
+def _own_keys(h: np.ndarray, often: np.ndarray, seen: np.ndarray, bound: int, options: JoinOptions) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, their numbers of parts) of a set: 2-subsets of its prefix if it is small, prefix elements if others may look for it there.
+
+    The order: elements not in ``often`` by hash, then those by how often they were seen (in powers of two), then by hash.
+    """
+    n, p = len(h), prefix_size(len(h), options.percent)
+    spot = np.searchsorted(often, h)
+    spot[spot == len(often)] = 0
+    common = often[spot] == h if len(often) else np.zeros(n, bool)
+    rare = np.flatnonzero(~common)[: p + 1]
+    late = np.flatnonzero(common)
+    if len(rare) <= p and len(late):
+        late = late[np.argsort(np.floor(np.log2(seen[spot[late]])), kind="stable")]
+    order = np.concatenate([rare, late[: max(0, p + 1 - len(rare))]])
+    count = np.where(common[order], seen[spot[order]] if len(often) else 0, 0)
+    parts = 1 + count // options.salt_rows
+    if n < bound:
+        i, j = np.triu_indices(len(order), 1)
+        low, high = np.minimum(h[order[i]], h[order[j]]), np.maximum(h[order[i]], h[order[j]])
+        yield textkit.mix(low * np.uint64(0x9E3779B97F4A7C15) + high), np.minimum(parts[i], parts[j])
+    if 100 * n >= options.percent * bound:
+        yield h[order[:p]], parts[:p]
+
+
 def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, options: JoinOptions) -> DataFrame:
     """(key, doc_id, part, split): the prefix elements and 2-subsets of every document that can have a partner.
 
@@ -183,23 +218,8 @@ def _keys(docs: DataFrame, often: np.ndarray, seen: np.ndarray, bound: int, opti
                         continue
                     if len(met) < 200_000:
                         met.add(digest)
-                    p = prefix_size(n, options.percent)
-                    spot = np.searchsorted(often, h)
-                    spot[spot == len(often)] = 0
-                    common = often[spot] == h if len(often) else np.zeros(n, bool)
-                    rare = np.flatnonzero(~common)[: p + 1]
-                    order = np.concatenate([rare, np.flatnonzero(common)[: max(0, p + 1 - len(rare))]])
-                    count = np.where(common[order], seen[spot[order]] if len(often) else 0, 0)
-                    parts = 1 + count // options.salt_rows
                     where = int(textkit.mix(np.array([doc_id], np.int64).view(np.uint64))[0] >> np.uint64(1))
-                    if n < bound:
-                        i, j = np.triu_indices(len(order), 1)
-                        low, high = np.minimum(h[order[i]], h[order[j]]), np.maximum(h[order[i]], h[order[j]])
-                        keys = textkit.mix(low * np.uint64(0x9E3779B97F4A7C15) + high)
-                        both = np.minimum(parts[i], parts[j])
-                        out.append((keys, where % both, both > 1, doc_id))
-                    if 100 * n >= options.percent * bound:
-                        out.append((h[order[:p]], where % parts[:p], parts[:p] > 1, doc_id))
+                    out += [(keys, where % parts, parts > 1, doc_id) for keys, parts in _own_keys(h, often, seen, bound, options)]
                 if out:
                     sizes = [len(x[0]) for x in out]
                     yield pa.RecordBatch.from_arrays(
@@ -240,6 +260,38 @@ def _sets(docs: DataFrame, ids: DataFrame, options: JoinOptions) -> DataFrame:
     return plain.mapInArrow(work, "doc_id long, elements array<long>").dropDuplicates(["doc_id"])
 
 
+def _refined(sets: DataFrame, bound: int, options: JoinOptions) -> DataFrame:
+    """(key, rep) of the sets (doc_id, elements), in an order that puts last what tasks see in two of *these* sets or more."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool: list[np.ndarray] = []
+        for batch in batches:
+            pool.append(batch.column(0).flatten().to_numpy(zero_copy_only=False).copy())
+            if sum(map(len, pool)) > 2_000_000:
+                yield tell(pool)
+                pool = []
+        if pool:
+            yield tell(pool)
+
+    def tell(pool: list[np.ndarray]) -> pa.RecordBatch:
+        element, seen = np.unique(np.concatenate(pool), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(element[seen > 1]), pa.array(seen[seen > 1], pa.int64())], names=["element", "seen"])
+
+    shared = sets.sparkSession.sparkContext.broadcast(_named(sets.select("elements").mapInArrow(count, "element long, seen long"), 8, options))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rep, elements in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = np.sort(elements.values.to_numpy(zero_copy_only=False).view(np.uint64))
+                out += [(keys, rep) for keys, _ in _own_keys(h, *shared.value, bound, options)]
+            if out:
+                reps = np.repeat(np.array([rep for _, rep in out], np.int64), [len(keys) for keys, _ in out])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([keys for keys, _ in out]).view(np.int64)), pa.array(reps)], names=["key", "rep"])
+
+    return sets.select("doc_id", "elements").mapInArrow(work, "key long, rep long")
+
+
 # --- pairs --------------------------------------------------------------------------------------------------------
 
 
@@ -255,13 +307,15 @@ def _within(difference: Column, percent: int) -> Column:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """The pairs (u, v) whose sets reach the threshold."""
+    """The pairs (u, v) whose sets reach the threshold, stored."""
     ids = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     sets = stored(_sets(docs, ids, options), "sets")
     left = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("elements").alias("eu")), "u")
     both = left.join(sets.select(F.col("doc_id").alias("v"), F.col("elements").alias("ev")), "v")
     met = both.select("u", "v", (F.size("eu") + F.size("ev")).alias("total"), F.size(F.array_intersect("eu", "ev")).alias("common"))
-    return met.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * options.percent).select("u", "v")
+    linked = stored(met.filter(F.col("common") * 100 >= (F.col("total") - F.col("common")) * options.percent).select("u", "v"), "linked")
+    drop_stored(sets)
+    return linked
 
 
 def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
@@ -295,13 +349,19 @@ def _by_text(docs: DataFrame, options: JoinOptions) -> DataFrame:
 def _components(docs: DataFrame, facts: DataFrame, options: JoinOptions) -> DataFrame:
     """``components`` of documents whose rows of one id have one set; ``facts`` are theirs, stored."""
     percent = options.percent
+    tables = [facts]
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        tables.append(stored(df, name))
+        return tables[-1]
+
     sketch = [f"s{k}" for k in range(LONGS)]
     often, seen = _often_elements(facts, options)
     own = facts.filter("element IS NULL").drop("element", "seen")
     classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in [*sketch, "wide"]])
-    classes = stored(classes, "classes")
+    classes = keep(classes, "classes")
     members = own.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left")
-    members = stored(members.select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
+    members = keep(members.select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
     reps = members.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
     histogram = {r["n"]: r["count"] for r in classes.filter("n < 200").groupBy("n").count().collect()}
@@ -312,7 +372,7 @@ def _components(docs: DataFrame, facts: DataFrame, options: JoinOptions) -> Data
     keyed = _keys(docs, often, seen, bound, options)
     starred = keyed.select("key", "part", "split", "doc_id", F.count("*").over(here).alias("rows"), F.min(F.struct(F.xxhash64("doc_id", "key").alias("h"), "doc_id")).over(here).alias("centre"))
     lists = starred.filter("rows > 1 OR split").select("key", "split", "doc_id", F.col("centre.doc_id").alias("centre"), (F.col("rows") > 2).alias("many"))
-    lists = stored(lists, "lists")
+    lists = keep(lists, "lists")
 
     # Stars: members to their part's centre, and centres of a key's parts to the first of them.
     tops = lists.filter("split").select("key", "centre").distinct()
@@ -332,33 +392,54 @@ def _components(docs: DataFrame, facts: DataFrame, options: JoinOptions) -> Data
         large = large.filter(_within(apart, percent)).select("u", "v", (apart / (F.col("x.n") + F.col("y.n"))).alias("far"))
         return met.filter((F.col("nx") < WIDE_FROM) | (F.col("ny") < WIDE_FROM)).select("u", "v", "far").union(large)
 
-    likely = stored(plausible(stars), "stars")
+    likely = keep(plausible(stars), "stars")
     both = likely.select("u", "v", "far").union(likely.select("v", "u", "far"))
     best = both.groupBy("u").agg(F.min(F.struct("far", "v"))["v"].alias("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    best = stored(best, "best")
-    links = stored(_linked(best, docs, options), "linked")
+    best = keep(best, "best")
+    links = _linked(best, docs, options)
     label = connected(links)
 
     # What may still join components: likely star pairs across them, and all other pairs of lists of three and more.
     placed = reps.join(label, F.col("rep") == F.col("node"), "left").select("doc_id", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = stored(placed, "placed")
+    placed = keep(placed, "placed")
+    whole = placed.select("rep", "component").distinct()
     longer = lists.filter("many OR split").select("key", "doc_id")
-    named = longer.join(placed, "doc_id").select("key", "rep", "component")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("key")
+    named = keep(longer.join(placed, "doc_id").select("key", "rep", "component").distinct(), "named")
     folded = [reduce(lambda p, q: p.bitwiseXOR(q), [F.col(f"s{k + 4 * j}") for j in range(LONGS // 4)]).alias(f"f{k}") for k in range(4)]
-    rest = named.join(mixed, "key", "left_semi").distinct().join(classes.select("rep", "n", *folded), "rep")
-    one, two = rest.alias("x"), rest.alias("y")
     rough = reduce(add, [F.bit_count(F.col(f"x.f{k}").bitwiseXOR(F.col(f"y.f{k}"))) for k in range(4)])
-    across = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _within(rough, percent))
-    across = across.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()
-    spot = lambda c: placed.select(F.col("rep").alias(c), F.col("component").alias(f"c_{c}")).distinct()
+
+    def pairs(keys: DataFrame) -> DataFrame:
+        """(u, v): the pairs across components of the lists of ``keys``."""
+        rest = named.join(keys.select("key"), "key", "left_semi").join(classes.select("rep", "n", *folded), "rep")
+        one, two = rest.alias("x"), rest.alias("y")
+        met = one.join(two, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")) & _within(rough, percent))
+        return met.select(F.greatest("x.rep", "y.rep").alias("u"), F.least("x.rep", "y.rep").alias("v")).distinct()
+
+    across, before, sets = [], None, None
+    while True:
+        mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).filter("low <> high")
+        mixed = keep(mixed.select("key", "rows"), "mixed")
+        long = keep(named.join(mixed.filter(F.col("rows") > options.list_rows), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct(), "long")
+        sought = long.count()
+        if not sought or before is not None and 2 * sought > before:
+            across.append(keep(pairs(mixed), "across"))
+            break
+        across.append(keep(pairs(mixed.filter(F.col("rows") <= options.list_rows)), "across"))
+        sets = keep(_sets(docs, long, options) if sets is None else sets.join(long, "doc_id", "left_semi"), "sets")
+        named, before = keep(_refined(sets, bound, options).join(whole, "rep").select("key", "rep", "component"), "named"), sought
+    across = reduce(DataFrame.union, across).distinct()
+    spot = lambda c: whole.select(F.col("rep").alias(c), F.col("component").alias(f"c_{c}"))
     apart = likely.select("u", "v").join(spot("u"), "u").join(spot("v"), "v").filter("c_u <> c_v").select("u", "v")
     again = plausible(across).select("u", "v").union(apart).distinct().join(best, ["u", "v"], "left_anti")
-    more = stored(_linked(stored(again, "again"), docs, options), "linked")
+    more = _linked(keep(again, "again"), docs, options)
     label = connected(links.union(more))
 
     final = members.join(label, F.col("rep") == F.col("node"), "left")
-    return final.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
+    final = stored(final.select("doc_id", "n_shingles", component.alias("component_id")), "components")
+    for table in [*tables, links, more]:
+        drop_stored(table)
+    return final
 
 
 def keep_first(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
