@@ -74,6 +74,16 @@ def scope_score(scopes: Column) -> Column:
     return F.when(some("required", "runtime"), 1.0).when(some("optional", "dev", "test"), 0.3).otherwise(0.6)
 
 
+def scope_class(scope: Column) -> Column:
+    """2 for scopes that ship, 1 for those that do not, 0 for others: the greatest of a set decides its ``scope_score``."""
+    return F.when(scope.isin("required", "runtime"), 2).when(scope.isin("optional", "dev", "test"), 1).otherwise(0)
+
+
+def scopes_of(greatest: Column) -> Column:
+    """A set of scopes whose greatest ``scope_class`` is the one given."""
+    return F.when(greatest == 2, F.array(F.lit("required"))).when(greatest == 1, F.array(F.lit("dev"))).otherwise(F.array().cast("array<string>"))
+
+
 def reach_factor(verdict: Column) -> Column:
     return lookup(verdict, REACH_FACTOR, F.lit(0.5))
 

@@ -7,6 +7,8 @@ rounds is the longest depth, not the number of scans.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,27 +46,32 @@ def replace_virtual(heads: DataFrame, edges: DataFrame, valid: DataFrame) -> Dat
 
 def direct_dependencies(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(scan_id, node): the root's children after pruning; of scans whose root has none, the nodes nothing depends on."""
-    pruned = prune_flat(edges, roots)
+    return _direct(prune_flat(edges, roots), roots)
+
+
+def _direct(pruned: DataFrame, roots: DataFrame) -> DataFrame:
     led = pruned.join(roots.withColumnRenamed("root", "src"), ["scan_id", "src"], "left_semi")
     heads = sources_only(pruned, roots).join(led.select("scan_id"), "scan_id", "left_anti")
     return led.select("scan_id", F.col("dst").alias("node")).union(heads).distinct()
 
 
-def depths(edges: DataFrame, roots: DataFrame, most: int = 1000) -> DataFrame:
-    """(scan_id, node, depth): least number of links from the root (0); cycles are harmless."""
-    pruned = stored(prune_flat(edges, roots), "edges")
-    frontier = stored(direct_dependencies(edges, roots).withColumn("depth", F.lit(1)), "frontier")
-    has_edges = edges.select("scan_id").distinct()
-    start = roots.join(has_edges, "scan_id", "left_semi").select("scan_id", F.col("root").alias("node"), F.lit(0).alias("depth"))
-    frontier = stored(frontier.join(start.select("scan_id", "node"), ["scan_id", "node"], "left_anti"), "frontier")
+def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(scan_id, node, depth): least number of links from the root (0); cycles are harmless.
+
+    Edges are made and pruned once; rounds end when one reaches nothing new, however deep a graph is.
+    """
+    edges, roots = stored(edges, "edges"), stored(roots, "roots")
+    pruned = stored(prune_flat(edges, roots), "pruned")
+    start = roots.join(edges.select("scan_id").distinct(), "scan_id", "left_semi").select("scan_id", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    first = _direct(pruned, roots).join(start.select("scan_id", "node"), ["scan_id", "node"], "left_anti")
+    frontier = stored(first.withColumn("depth", F.lit(1)), "frontier")
     seen = start.union(frontier)
-    for depth in range(2, most):
+    for depth in count(2):
         step = frontier.join(pruned.withColumnRenamed("src", "node"), ["scan_id", "node"]).select("scan_id", F.col("dst").alias("node")).distinct()
         frontier = stored(step.join(seen, ["scan_id", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            break
+            return seen
         seen = seen.union(frontier)
-    return seen
 
 
 def shortest_chains(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = HOPS) -> DataFrame:

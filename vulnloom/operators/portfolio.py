@@ -8,13 +8,23 @@ from pyspark.sql import functions as F
 from vulnloom.functions import exprs as X
 
 
+def _cents() -> Column:
+    """Sum of scores in hundredths, as a whole number: exact, so nothing hangs on the order of rows."""
+    return F.sum(F.round(F.col("risk_score") * 100).cast("long"))
+
+
+def _total_risk() -> Column:
+    return _cents() / F.lit(100.0)
+
+
 def _mean_risk() -> Column:
-    """Scores have two decimals: summed as such, so the mean's rounding does not hang on the order of rows."""
-    return F.round(F.sum(F.col("risk_score").cast("decimal(12,2)")) / F.count("risk_score"), 4).cast("double")
+    """Mean score to four digits, rounded half up in whole numbers."""
+    n = F.count("risk_score")
+    return F.call_function("div", _cents() * 200 + n, n * 2) / F.lit(10000.0)
 
 
 def by_project(alerts: DataFrame, n: int = 12) -> DataFrame:
-    one = alerts.groupBy("project").agg(F.count("*").alias("alerts"), F.round(F.sum("risk_score"), 2).alias("total_risk"), _mean_risk().alias("avg_risk"))
+    one = alerts.groupBy("project").agg(F.count("*").alias("alerts"), _total_risk().alias("total_risk"), _mean_risk().alias("avg_risk"))
     return one.orderBy(F.desc("total_risk"), "project").limit(n)
 
 
@@ -28,7 +38,7 @@ def verdict_histogram(alerts: DataFrame) -> DataFrame:
 
 def by_vuln(alerts: DataFrame, n: int = 10) -> DataFrame:
     one = alerts.groupBy("vuln_id").agg(
-        F.max("risk_score").alias("max_risk"), F.round(F.sum("risk_score"), 2).alias("total_risk"), F.count("*").alias("alerts"), F.count_distinct("project").alias("projects"),
+        F.max("risk_score").alias("max_risk"), _total_risk().alias("total_risk"), F.count("*").alias("alerts"), F.count_distinct("project").alias("projects"),
         F.max("cvss").alias("max_cvss"), F.bool_or("kev").alias("kev"), F.count_if(X.is_reachable(F.col("reachability_verdict"))).alias("reachable"),
     )
     return one.orderBy(F.desc("max_risk"), F.desc("projects"), F.desc_nulls_last("max_cvss"), "vuln_id").limit(n)
@@ -36,7 +46,7 @@ def by_vuln(alerts: DataFrame, n: int = 10) -> DataFrame:
 
 def by_dependency(alerts: DataFrame, n: int = 10) -> DataFrame:
     rows = alerts.select("project", "risk_score", F.explode("all_components").alias("component"))
-    one = rows.groupBy("component").agg(F.round(F.sum("risk_score"), 2).alias("risk"), F.count("*").alias("alerts"), F.count_distinct("project").alias("projects"))
+    one = rows.groupBy("component").agg(_total_risk().alias("risk"), F.count("*").alias("alerts"), F.count_distinct("project").alias("projects"))
     return one.orderBy(F.desc("risk"), F.desc("alerts"), "component").limit(n)
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
 from vulnloom.operators.cases import CLOSED
+from vulnloom.sources.shared import stored
 
 TIER_ORDER = {"fix_now": 0, "plan_remediation": 1, "mitigate": 2, "monitor": 3, "accept": 4}
 AREA_ALL = "Repository-Wide Exposure"
@@ -140,8 +141,18 @@ def evidence_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+REPORT_COLUMNS = (
+    "project", "vuln_id", "component_id", "component_name", "component_version", "status", "decision_tier", "kev", "severity", "reachability_verdict", "risk_score", "cvss", "closest_depth",
+    "has_fix", "fix_versions", "call_locations", "evidence_scope",
+)
+
+
 def stakeholder_report(cases: DataFrame) -> DataFrame:
-    """(project, report): posture, counts, impact, areas, first clusters and actions as one JSON text a project."""
+    """(project, report): posture, counts, impact, areas, first clusters and actions as one JSON text a project.
+
+    Six aggregates read the cases, which are therefore stored once.
+    """
+    cases = stored(cases.select(*REPORT_COLUMNS), "cases")
     counts = action_counts(cases)
     listed = lambda df, cols, name: df.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     areas = listed(affected_areas(cases), ("rank", "title", "cases", "vulns", "focus"), "areas")
@@ -156,7 +167,8 @@ def stakeholder_report(cases: DataFrame) -> DataFrame:
 
 def developer_report(cases: DataFrame, backlog: int = 8) -> DataFrame:
     """(project, report): clusters to fix now with their places, the backlog of planned upgrades, and evidence counts."""
-    grouped = clusters(cases)
+    cases = stored(cases.select(*REPORT_COLUMNS), "cases")
+    grouped = stored(clusters(cases), "clusters")
     listed = lambda df, cols, name: df.groupBy("project").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias(name))
     urgent = listed(top_clusters(grouped.filter("tier = 'fix_now'")), ("rank", "component", "version", "verdict", "places", "target_version", "vulns"), "immediate")
     later = listed(top_clusters(grouped.filter("tier IN ('plan_remediation', 'mitigate')"), backlog), ("rank", "component", "version", "tier", "target_version"), "backlog")
