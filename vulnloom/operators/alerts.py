@@ -35,19 +35,14 @@ def exposures(g: Graph, scans: DataFrame | None = None) -> DataFrame:
 def _alert_columns() -> list[Column]:
     return [
         F.min("vuln").alias("internal_id"),
-        F.collect_set("name").alias("all_components"),
-        F.collect_set("component_id").alias("all_component_ids"),
-        F.collect_set("version").alias("all_versions"),
-        F.count_distinct("component_id").alias("component_count"),
+        F.collect_list(F.struct("component_id", "name", "version", "scope", "fix_versions")).alias("_parts"),
         F.max("cvss").alias("cvss"),
         F.max("epss").alias("epss"),
         F.max("kev").alias("kev"),
         F.min("cwe").alias("cwe"),
         F.min("published").alias("published"),
         F.max("modified").alias("modified"),
-        F.array_sort(F.flatten(F.collect_set("fix_versions"))).alias("fix_versions"),
         F.min("depth").alias("closest_depth"),
-        F.collect_set("scope").alias("all_scopes"),
     ]
 
 
@@ -55,7 +50,18 @@ ALERT_KEYS = ("project", "scan_id", "generated_at", "source_commit", "vuln_id")
 
 
 def group_alerts(rows: DataFrame, keys: tuple[str, ...] = ALERT_KEYS) -> DataFrame:
-    return rows.groupBy(*keys).agg(*_alert_columns())
+    """One row per alert, in one aggregate: an alert's few components are gathered once, and every set is taken from them."""
+    one = rows.groupBy(*keys).agg(*_alert_columns())
+    found = lambda c: F.array_distinct(F.array_compact(F.transform("_parts", lambda x: x[c])))
+    sets = {
+        "all_components": found("name"),
+        "all_component_ids": found("component_id"),
+        "all_versions": found("version"),
+        "component_count": F.size(found("component_id")).cast("long"),
+        "fix_versions": F.array_sort(F.flatten(found("fix_versions"))),
+        "all_scopes": found("scope"),
+    }
+    return one.withColumns(sets).drop("_parts")
 
 
 def merged_verdicts(reach: DataFrame, ranks: dict[str, int] = X.VERDICT_RANK) -> DataFrame:
@@ -93,6 +99,22 @@ def by_risk(df: DataFrame) -> list[Column]:
     return [F.col("risk_score").desc_nulls_last(), F.col("closest_depth").asc_nulls_last(), F.col("published").desc_nulls_last(), F.col("project"), F.col("vuln_id")]
 
 
+def top_alerts(g: Graph, n: int = 20, weights: X.RiskWeights = X.RiskWeights()) -> DataFrame:
+    """The ``n`` alerts first by risk: ranked on what the score needs alone, then made in full for their scans."""
+    keys = ("project", "scan_id", "vuln_id")
+    narrow = exposures(g).groupBy(*keys).agg(
+        F.min("vuln").alias("internal_id"), F.max("cvss").alias("cvss"), F.max("epss").alias("epss"), F.max("kev").alias("kev"),
+        F.min("published").alias("published"), F.min("depth").alias("closest_depth"), F.max(X.scope_class(F.col("scope"))).alias("_scope"),
+    )
+    narrow = narrow.withColumn("all_scopes", X.scopes_of(F.col("_scope"))).drop("_scope")
+    ranked = with_reachability(narrow, g.reachability.select("project", "vuln_id", "verdict", "seq", F.array().cast("array<string>").alias("call_locations")), weights)
+    first = [tuple(r) for r in ranked.orderBy(*by_risk(ranked)).select(*keys).limit(n).collect()]
+    wanted = g.sboms.sparkSession.createDataFrame(first, "project string, scan_id string, vuln_id string")
+    scans = latest_sboms(g.sboms).filter(F.col("scan_id").isin([r[1] for r in first]))
+    full = alerts(g, weights, scans).join(wanted, list(keys), "left_semi")
+    return full.orderBy(*by_risk(full)).limit(n)
+
+
 def enterprise_alerts(g: Graph, projects: list[str] | None = None) -> DataFrame:
     """Alerts of several projects; a latest scan without findings is kept as one row without a vulnerability."""
     scans = latest_sboms(g.sboms)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
@@ -48,7 +48,7 @@ def _alerts(g: Graph) -> DataFrame:
 
 
 ALERT_ORDER = "risk_score DESC NULLS LAST, closest_depth ASC NULLS LAST, published DESC NULLS LAST, project, vuln_id"
-register("alerts_top", lambda g: (lambda a: a.orderBy(*alerts.by_risk(a)).limit(20))(_alerts(g)), O.over(f"SELECT {O.ALERT_OUT} FROM alerts ORDER BY {ALERT_ORDER} LIMIT 20", O.ALERTS))
+register("alerts_top", lambda g: flat(alerts.top_alerts(g, 20)).select(*ALERT_COLUMNS), O.over(f"SELECT {O.ALERT_OUT} FROM alerts ORDER BY {ALERT_ORDER} LIMIT 20", O.ALERTS))
 register("alerts_all", _alerts, O.over(f"SELECT {O.ALERT_OUT} FROM alerts", O.ALERTS))
 register(
     "alerts_enterprise",
@@ -183,38 +183,52 @@ FROM found f JOIN targets t ON f.scan_id = t.scan_id AND f.target = t.component_
 )
 
 
-# --- the predicate language ---------------------------------------------------------------------------------------
+# --- predicates over workbench rows -------------------------------------------------------------------------------
 
+R, ALL, ANY, NOT = predicates.rule, predicates.all_of, predicates.any_of, predicates.negated
 PREDICATES = {
-    "in_and_boolean": ('severity in ("Critical", "high") AND fix_available = true', "lower(severity) IN ('critical', 'high') AND fix_available"),
-    "not_precedence": ('NOT (project = "Customer#000000001") AND (kev = true OR risk_score >= 60)', "project <> 'Customer#000000001' AND (kev OR coalesce(risk_score >= 60, false))"),
-    "contains_any_or": ('all_scopes contains_any ("Required", "runtime") OR cwe contains "cwe-22"', "list_has_any(all_scopes, ['required', 'runtime']) OR list_contains(cwe, 'CWE-22')"),
-    "contains_all": ('all_scopes contains_all ["required", "dev"]', "list_has_all(all_scopes, ['required', 'dev'])"),
-    "date_after": ('published >= "2023-01-05" AND modified < "2025-06-01T00:00:00Z"', "published >= '2023-01-05' AND modified < '2025-06-01'"),
-    "exists_list": ("cwe exists AND call_locations_count >= 1", "len(cwe) > 0 AND call_locations_count >= 1"),
-    "missing_number": ("NOT (cvss > 5)", "NOT coalesce(cvss > 5, false)"),
-    "missing_unequal": ("cvss != 3.7", "cvss IS DISTINCT FROM 3.7::DOUBLE"),
-    "starts_ends": ('vuln_id starts_with "cve-" AND project ends_with "3"', "starts_with(lower(vuln_id), 'cve-') AND ends_with(lower(project), '3')"),
-    "text_contains": ("language contains build OR NOT language exists", "contains(lower(language), 'build')"),
-    "number_in": ("closest_depth in (1, 3,) AND epss < 0.5", "closest_depth IN (1, 3) AND coalesce(epss < 0.5, false)"),
-    "unknown_field": ('owner = "me" OR is_reachable = true', "is_reachable"),
-    "case_minded": ('severity = "CRITICAL" OR severity = "high"', "severity = 'high'"),
-    "kind_mismatch": ('cvss > "high" OR kev > 0 OR project < "Customer#000000010"', "project < 'Customer#000000010'"),
-    "null_equal": ("epss = null", "epss IS NULL"),
+    "in_and_boolean": (ALL(R("severity", "in", ["Critical", "high"]), R("fix_available", "=", True)), "lower(severity) IN ('critical', 'high') AND fix_available"),
+    "not_precedence": (
+        ALL(NOT(R("project", "=", "Customer#000000001")), ANY(R("kev", "=", True), R("risk_score", ">=", 60))),
+        "project <> 'Customer#000000001' AND (kev OR coalesce(risk_score >= 60, false))",
+    ),
+    "contains_any_or": (ANY(R("all_scopes", "contains_any", ["Required", "runtime"]), R("cwe", "contains", "cwe-22")), "list_has_any(all_scopes, ['required', 'runtime']) OR list_contains(cwe, 'CWE-22')"),
+    "contains_all": (R("all_scopes", "contains_all", ["required", "dev"]), "list_has_all(all_scopes, ['required', 'dev'])"),
+    "date_after": (ALL(R("published", ">=", "2023-01-05"), R("modified", "<", "2025-06-01T00:00:00Z")), "published >= '2023-01-05' AND modified < '2025-06-01'"),
+    "exists_list": (ALL(R("cwe", "exists"), R("call_locations_count", ">=", 1)), "len(cwe) > 0 AND call_locations_count >= 1"),
+    "missing_number": (NOT(R("cvss", ">", 5)), "NOT coalesce(cvss > 5, false)"),
+    "missing_unequal": (R("cvss", "!=", 3.7), "cvss IS DISTINCT FROM 3.7::DOUBLE"),
+    "starts_ends": (ALL(R("vuln_id", "starts_with", "cve-"), R("project", "ends_with", "3")), "starts_with(lower(vuln_id), 'cve-') AND ends_with(lower(project), '3')"),
+    "text_contains": (ANY(R("language", "contains", "build"), NOT(R("language", "exists"))), "contains(lower(language), 'build')"),
+    "number_in": (ALL(R("closest_depth", "in", [1, 3]), R("epss", "<", 0.5)), "closest_depth IN (1, 3) AND coalesce(epss < 0.5, false)"),
+    "unknown_field": (ANY(R("owner", "=", "me"), R("is_reachable", "=", True)), "is_reachable"),
+    "case_minded": (ANY(R("severity", "=", "CRITICAL"), R("severity", "=", "high")), "severity = 'high'"),
+    "kind_mismatch": (ANY(R("cvss", ">", "high"), R("kev", ">", 0), R("project", "<", "Customer#000000010")), "project < 'Customer#000000010'"),
+    "null_equal": (R("epss", "=", None), "epss IS NULL"),
 }
-for _name, (_text, _sql) in PREDICATES.items():
-    register(f"predicate_{_name}", lambda g, t=_text: flat(predicates.where(alerts.workbench_rows(g, F.lit(NOW).cast("timestamp")), t), ()), O.over(f"SELECT {O.WORKBENCH_OUT} FROM workbench WHERE {_sql}", O.WORKBENCH_CTE))
+for _name, (_form, _sql) in PREDICATES.items():
+    register(f"predicate_{_name}", lambda g, f=_form: flat(predicates.where(alerts.workbench_rows(g, F.lit(NOW).cast("timestamp")), f), ()), O.over(f"SELECT {O.WORKBENCH_OUT} FROM workbench WHERE {_sql}", O.WORKBENCH_CTE))
 
 
 # --- cases, states and snapshots ----------------------------------------------------------------------------------
 
 
+def _share(text: Column) -> Column:
+    """A number from 0 to 16,777,215 that depends on a text alone."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 6), 16, 10).cast("int")
+
+
+def _alert_keys(g: Graph) -> DataFrame:
+    """(project, vuln_id, component_id): each alert with its first component."""
+    return alerts.exposures(g).groupBy("project", "vuln_id").agg(F.min("component_id").alias("component_id"))
+
+
 def _states(g: Graph) -> DataFrame:
     """Stored states of every third alert of the test tables, some in outdated words, some for a whole vulnerability."""
-    a = alerts.group_alerts(alerts.exposures(g)).withColumn("component_id", F.element_at(F.array_sort("all_component_ids"), 1))
-    h = F.crc32(F.concat("project", "vuln_id").cast("binary")) % 9
+    h = _share(F.concat("project", "vuln_id")) % 9
     status = F.when(h == 0, "fix_planned").when(h == 3, "Verified_Closed").otherwise("in_progress")
-    return a.filter(h % 3 == 0).select("project", "vuln_id", F.when(h == 6, "").otherwise(F.col("component_id")).alias("component_id"), F.lit("monitor").alias("decision_tier"), status.alias("status"), F.lit("me").alias("owner"), F.lit(None).cast("string").alias("note"))
+    kept = _alert_keys(g).filter(h % 3 == 0)
+    return kept.select("project", "vuln_id", F.when(h == 6, "").otherwise(F.col("component_id")).alias("component_id"), F.lit("monitor").alias("decision_tier"), status.alias("status"), F.lit("me").alias("owner"), F.lit(None).cast("string").alias("note"))
 
 
 def _cases(g: Graph) -> DataFrame:
@@ -227,10 +241,9 @@ register("alert_cases", lambda g: _cases(g).select(*CASE_COLUMNS), O.over(f"SELE
 
 
 def _updates(g: Graph) -> DataFrame:
-    h = F.crc32(F.concat("project", "vuln_id").cast("binary")) % 5
-    rows = alerts.group_alerts(alerts.exposures(g)).withColumn("component_id", F.element_at(F.array_sort("all_component_ids"), 1))
+    h = _share(F.concat("project", "vuln_id")) % 5
     none = F.lit(None).cast("string")
-    return rows.filter(h == 0).select("project", "vuln_id", "component_id", none.alias("decision_tier"), F.lit("triaged").alias("status"), none.alias("owner"), F.lit("seen").alias("note"))
+    return _alert_keys(g).filter(h == 0).select("project", "vuln_id", "component_id", none.alias("decision_tier"), F.lit("triaged").alias("status"), none.alias("owner"), F.lit("seen").alias("note"))
 
 
 register(
@@ -242,7 +255,7 @@ register(
 FROM states o FULL JOIN (SELECT project, vuln_id, all_component_ids[1] AS component_id FROM alerts WHERE (HASH) % 5 = 0) n
   ON o.project = n.project AND o.vuln_id = n.vuln_id AND o.component_id = n.component_id""",
         CASES,
-    ).replace("(HASH)", O.CRC),
+    ).replace("(HASH)", O.SHARE),
 )
 register(
     "state_bootstrap",
@@ -295,12 +308,12 @@ def _runs(g: Graph) -> DataFrame:
 
 register(
     "baseline_run",
-    lambda g: cases.baseline_run(_runs(g), _runs(g).filter("crc32(cast(run_id as binary)) % 4 <> 0")),
+    lambda g: cases.baseline_run(_runs(g), _runs(g).filter(_share(F.col("run_id")) % 4 != 0)),
     O.over(
         """SELECT project, run_id, scan_id FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY generated_at DESC, run_id DESC) AS k FROM (
   SELECT *, row_number() OVER w AS n, first(scan_id) OVER w AS cur FROM (SELECT project, 'run-' || scan_id AS run_id, generated_at, scan_id FROM sboms)
   WINDOW w AS (PARTITION BY project ORDER BY generated_at DESC, run_id DESC)) WHERE n <= 10 AND scan_id <> cur AND (HASH) % 4 <> 0) WHERE k = 1"""
-    ).replace("(HASH)", O.crc("run_id")),
+    ).replace("(HASH)", O.share("run_id")),
 )
 
 # --- reports and portfolio ----------------------------------------------------------------------------------------
@@ -350,26 +363,81 @@ register(
     O.over("""SELECT count(*) AS total, count_if(kev) AS kev, count_if(len(fix_versions) > 0) AS with_fix, count_if(len(fix_versions) = 0) AS without_fix, max(cvss) AS max_cvss,
   count_if(len(call_locations) = 0) AS without_location FROM alerts""", O.ALERTS),
 )
-register("report_stakeholder", lambda g: reports.stakeholder_report(_cases(g)), None)
-register("report_developer", lambda g: reports.developer_report(_cases(g)), None)
+
+
+def _read(df: DataFrame, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Fields of JSON reports by path, typed."""
+    return df.select("project", *[F.get_json_object("report", path).cast(kind).alias(name) for name, (path, kind) in fields.items()])
+
+
+register(
+    "report_stakeholder",
+    lambda g: _read(
+        reports.stakeholder_report(_cases(g)),
+        {
+            "posture": ("$.posture.posture", "string"), "kev": ("$.posture.kev", "long"), "total": ("$.counts.total", "long"), "plan": ("$.counts.plan", "long"), "direct": ("$.impact.direct", "long"),
+            "area": ("$.areas[0].title", "string"), "area_vulns": ("$.areas[0].vulns", "string"), "area_focus": ("$.areas[1].focus", "string"), "component": ("$.priorities[0].component", "string"),
+            "component_cases": ("$.priorities[0].cases", "long"), "last_vulns": ("$.priorities[3].vulns", "string"), "actions": ("$.actions", "string"),
+        },
+    ),
+    O.over(
+        f"""SELECT p.project, posture, o.kev, n.total, n.plan, o.direct, a.title AS area, a.vulns AS area_vulns, b.focus AS area_focus, t.component, t.cases AS component_cases, u.vulns AS last_vulns,
+  array_to_string(list_filter([CASE WHEN n.fix_now > 0 THEN format('Fix {{}} reachable findings now', n.fix_now) END, CASE WHEN n.plan > 0 THEN format('Schedule {{}} upgrades', n.plan) END,
+    CASE WHEN n.mitigate > 0 THEN format('Put {{}} temporary controls in place', n.mitigate) END, CASE WHEN n.open > 0 THEN format('Review {{}} open findings', n.open) END], lambda x: x IS NOT NULL), '; ') AS actions
+FROM (SELECT DISTINCT project FROM cases) p
+LEFT JOIN (SELECT project, count(*) AS total, count_if(decision_tier = 'fix_now') AS fix_now, count_if(decision_tier = 'plan_remediation') AS plan, count_if(decision_tier = 'mitigate') AS mitigate,
+  count_if(NOT {CLOSED_SQL}) AS open FROM cases GROUP BY project) n ON n.project = p.project
+LEFT JOIN (SELECT *, CASE WHEN kev > 0 OR confirmed > 0 OR fix_now > 0 THEN 'elevated' WHEN critical_high > 0 OR likely > 0 THEN 'moderate' ELSE 'low' END AS posture FROM (
+  SELECT project, count_if(severity IN ('critical', 'high')) AS critical_high, count_if(kev) AS kev, count_if(reachability_verdict = 'confirmed_reachable') AS confirmed,
+    count_if(reachability_verdict = 'likely_reachable') AS likely, count_if(decision_tier = 'fix_now') AS fix_now, count_if(coalesce(closest_depth, 0) <= 1) AS direct FROM cases WHERE NOT {CLOSED_SQL} GROUP BY project)) o ON o.project = p.project
+LEFT JOIN areas a ON a.project = p.project AND a.rank = 1 LEFT JOIN areas b ON b.project = p.project AND b.rank = 2
+LEFT JOIN (SELECT c.*, r.rank FROM clusters c JOIN top_clusters r USING (project, component, version, area_key, tier)) t ON t.project = p.project AND t.rank = 1
+LEFT JOIN (SELECT c.*, r.rank FROM clusters c JOIN top_clusters r USING (project, component, version, area_key, tier)) u ON u.project = p.project AND u.rank = 4""",
+        CASES + O.AREAS + O.CLUSTERS + O.TOP_CLUSTERS,
+    ),
+)
+RANKED = f"""(SELECT *, row_number() OVER (PARTITION BY project, tier = 'fix_now' ORDER BY {O.TIER_RANK.format("tier")}, {O.EVIDENCE_RANK.format("verdict")} DESC, any_fix DESC, max_risk DESC NULLS LAST,
+  max_cvss DESC NULLS LAST, component, version, area_key) AS rank FROM clusters WHERE tier IN ('fix_now', 'plan_remediation', 'mitigate'))"""
+register(
+    "report_developer",
+    lambda g: _read(
+        reports.developer_report(_cases(g)),
+        {
+            "component": ("$.immediate[0].component", "string"), "verdict": ("$.immediate[0].verdict", "string"), "places": ("$.immediate[0].places", "string"), "second": ("$.immediate[1].vulns", "string"),
+            "later": ("$.backlog[0].component", "string"), "later_tier": ("$.backlog[0].tier", "string"), "last": ("$.backlog[7].version", "string"),
+            "production": ("$.evidence.production", "long"), "test": ("$.evidence.test", "long"), "mixed": ("$.evidence.mixed", "long"), "no_sink_data": ("$.evidence.no_sink_data", "long"),
+        },
+    ),
+    O.over(
+        f"""SELECT e.*, a.component, a.verdict, a.places, b.vulns AS second, c.component AS later, c.tier AS later_tier, d.version AS last
+FROM (SELECT project, count_if(evidence_scope = 'production') AS production, count_if(evidence_scope = 'test') AS test, count_if(evidence_scope = 'mixed') AS mixed,
+  count_if(reachability_verdict = 'no_sink_data') AS no_sink_data FROM cases GROUP BY project) e
+LEFT JOIN {RANKED} a ON a.project = e.project AND a.tier = 'fix_now' AND a.rank = 1 LEFT JOIN {RANKED} b ON b.project = e.project AND b.tier = 'fix_now' AND b.rank = 2
+LEFT JOIN {RANKED} c ON c.project = e.project AND c.tier <> 'fix_now' AND c.rank = 1 LEFT JOIN {RANKED} d ON d.project = e.project AND d.tier <> 'fix_now' AND d.rank = 8""",
+        CASES + O.AREAS + O.CLUSTERS,
+    ),
+)
+CENTS = "CAST(sum(CAST(round(risk_score * 100) AS BIGINT)) AS BIGINT)"
+TOTAL = f"{CENTS} / 100.0::DOUBLE"
+MEAN = f"(({CENTS} * 200 + count(risk_score)) // (count(risk_score) * 2)) / 10000.0::DOUBLE"
 PORTFOLIO_SEVERITY = "CASE WHEN cvss >= 9 THEN 'Critical' WHEN cvss >= 7 THEN 'High' WHEN cvss >= 4 THEN 'Medium' ELSE 'Low' END"
 register(
     "portfolio_projects",
     lambda g: portfolio.by_project(alerts.alerts(g)),
-    O.over("SELECT project, count(*) AS alerts, round(sum(risk_score), 2) AS total_risk, round(avg(risk_score), 4) AS avg_risk FROM alerts GROUP BY project ORDER BY total_risk DESC, project LIMIT 12", O.ALERTS),
+    O.over(f"SELECT project, count(*) AS alerts, {TOTAL} AS total_risk, {MEAN} AS avg_risk FROM alerts GROUP BY project ORDER BY total_risk DESC, project LIMIT 12", O.ALERTS),
 )
 register("portfolio_severities", lambda g: portfolio.severity_histogram(alerts.alerts(g)), O.over(f"SELECT {PORTFOLIO_SEVERITY} AS severity, count(*) AS alerts FROM alerts GROUP BY 1", O.ALERTS))
 register("portfolio_verdicts", lambda g: portfolio.verdict_histogram(alerts.alerts(g)), O.over("SELECT reachability_verdict, count(*) AS alerts FROM alerts GROUP BY 1", O.ALERTS))
 register(
     "portfolio_vulns",
     lambda g: portfolio.by_vuln(alerts.alerts(g)),
-    O.over("""SELECT vuln_id, max(risk_score) AS max_risk, round(sum(risk_score), 2) AS total_risk, count(*) AS alerts, count(DISTINCT project) AS projects, max(cvss) AS max_cvss, bool_or(kev) AS kev,
+    O.over(f"""SELECT vuln_id, max(risk_score) AS max_risk, {TOTAL} AS total_risk, count(*) AS alerts, count(DISTINCT project) AS projects, max(cvss) AS max_cvss, bool_or(kev) AS kev,
   count_if(reachability_verdict IN ('confirmed_reachable', 'likely_reachable')) AS reachable FROM alerts GROUP BY vuln_id ORDER BY max_risk DESC, projects DESC, max_cvss DESC NULLS LAST, vuln_id LIMIT 10""", O.ALERTS),
 )
 register(
     "portfolio_dependencies",
     lambda g: portfolio.by_dependency(alerts.alerts(g)),
-    O.over("""SELECT component, round(sum(risk_score), 2) AS risk, count(*) AS alerts, count(DISTINCT project) AS projects FROM (SELECT project, risk_score, unnest(all_components) AS component FROM alerts)
+    O.over(f"""SELECT component, {TOTAL} AS risk, count(*) AS alerts, count(DISTINCT project) AS projects FROM (SELECT project, risk_score, unnest(all_components) AS component FROM alerts)
 GROUP BY component ORDER BY risk DESC, alerts DESC, component LIMIT 10""", O.ALERTS),
 )
 register(
@@ -382,8 +450,8 @@ register(
 register(
     "portfolio_kpis",
     lambda g: portfolio.kpis(alerts.alerts(g)),
-    O.over("""SELECT count(*) AS alerts, count(DISTINCT project) AS projects, count(DISTINCT vuln_id) AS vulns, count_if(kev) AS kev, count_if(reachability_verdict = 'confirmed_reachable') AS confirmed,
-  round(avg(risk_score), 4) AS avg_risk, max(risk_score) AS max_risk FROM alerts""", O.ALERTS),
+    O.over(f"""SELECT count(*) AS alerts, count(DISTINCT project) AS projects, count(DISTINCT vuln_id) AS vulns, count_if(kev) AS kev, count_if(reachability_verdict = 'confirmed_reachable') AS confirmed,
+  {MEAN} AS avg_risk, max(risk_score) AS max_risk FROM alerts""", O.ALERTS),
 )
 register(
     "manager_brief",
@@ -434,7 +502,23 @@ register(
     O.over(f"""SELECT vuln_id, CASE ecosystem WHEN 'npm' THEN package_name WHEN 'pypi' THEN replace(package_name, '-', '_') ELSE split_part(package_name, ':', 1) END AS base, {CALLED} AS called,
   coalesce(function_name = 'parse', false) AS common, coalesce(call_pattern IN ('GET /admin', '.$ANY(...)'), false) AS weak, coalesce(call_pattern IN ('new Runner(...)', 'evalAll(...)'), false) AS raw FROM sinks"""),
 )
-register("sink_rules", lambda g: flat(rules.rules(g.sinks), ("patterns",)), None)
+register(
+    "sink_rules",
+    lambda g: flat(rules.rules(g.sinks), ("patterns",)),
+    O.over(f"""SELECT 'sbom-reach-' || replace(lower(vuln_id), '-', '_') || '-' || coalesce(name, 'any') || '-' || tier AS rule_id, vuln_id, package_name, function_name AS sink_function, tier, quality,
+  CASE ecosystem WHEN 'npm' THEN 'javascript,typescript' WHEN 'pypi' THEN 'python' ELSE 'java' END AS languages, seq,
+  replace(replace(array_to_string(CASE tier WHEN 'direct' THEN list_concat(CASE WHEN call_pattern IN ('new Runner(...)', 'evalAll(...)') AND call_pattern <> coalesce(name, '') || '()' THEN [call_pattern] ELSE CAST([] AS VARCHAR[]) END,
+      CASE ecosystem
+      WHEN 'npm' THEN ['const $MOD = require(''<pkg>''); ... $MOD.<fn>(...)', 'import $MOD from ''<pkg>''; ... $MOD.<fn>(...)', 'import * as $MOD from ''<pkg>''; ... $MOD.<fn>(...)',
+        'const {{ <fn> }} = require(''<pkg>''); ... <fn>(...)', 'import {{ <fn> }} from ''<pkg>''; ... <fn>(...)', 'require(''<pkg>'').<fn>(...)']
+      WHEN 'pypi' THEN ['import <pkg> ... <pkg>.<fn>(...)', 'import <pkg> as $MOD ... $MOD.<fn>(...)', 'from <pkg> import <fn> ... <fn>(...)', 'from <pkg> import <fn> as $FN ... $FN(...)']
+      ELSE ['$PKG.<fn>(...)'] END)
+    ELSE CASE ecosystem WHEN 'npm' THEN ['require(''<pkg>'')', 'import $X from ''<pkg>'''] WHEN 'pypi' THEN ['import <pkg>', 'from <pkg> import $X'] ELSE ['import <pkg>'] END END, '|'), '<pkg>', pkg), '<fn>', coalesce(name, '')) AS patterns
+FROM (SELECT *, unnest(CASE WHEN weak OR name IS NULL THEN ['import'] ELSE ['direct', 'import'] END) AS tier FROM (
+  SELECT *, CASE WHEN weak THEN 'weak' WHEN name IS NOT NULL AND name NOT IN ('parse', 'fetch') THEN 'strong' ELSE 'generic' END AS quality,
+    CASE ecosystem WHEN 'npm' THEN package_name WHEN 'pypi' THEN replace(package_name, '-', '_') ELSE split_part(package_name, ':', 1) END AS pkg FROM (
+    SELECT *, coalesce(function_name, {CALLED}) AS name, coalesce(call_pattern IN ('GET /admin', '.$ANY(...)'), false) AS weak FROM sinks)))"""),
+)
 register(
     "sink_rule_tiers",
     lambda g: rules.rules(g.sinks).groupBy("tier", "quality").agg(F.count("*").alias("n")),

@@ -122,14 +122,12 @@ found AS (
   FROM short s JOIN starts USING (scan_id, root))"""
 
 
-def crc(text: str) -> str:
-    """crc32 of a text, which DuckDB lacks: table-free, bit by bit over its bytes."""
-    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
-    return f"""(xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(0, octet_length(encode({text}))), lambda i: ascii(substr({text}, i + 1, 1))::BIGINT)),
-  lambda a, b: list_reduce(list_concat([xor(a, b)], [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: {step})), 4294967295))"""
+def share(text: str) -> str:
+    """A number from 0 to 16,777,215 that depends on a text alone."""
+    return f"('0x' || substr(md5({text}), 1, 6))::INT"
 
 
-CRC = crc("project || vuln_id")
+SHARE = share("project || vuln_id")
 
 TIER = """CASE WHEN reachability_verdict IN ('confirmed_reachable', 'likely_reachable') THEN 'fix_now' WHEN kev AND len(fix_versions) > 0 THEN 'plan_remediation' WHEN kev THEN 'mitigate'
   WHEN risk_score >= 65 AND len(fix_versions) > 0 THEN 'plan_remediation' WHEN risk_score >= 70 AND len(fix_versions) = 0 THEN 'mitigate' ELSE 'monitor' END"""
@@ -163,7 +161,7 @@ PREFERRED = """list_transform(list_sort(list_transform(fix_versions, lambda v: {
 STATES = f""",
 states AS (
   SELECT project, vuln_id, CASE WHEN h = 6 THEN '' ELSE all_component_ids[1] END AS component_id, 'monitor' AS decision_tier,
-    CASE h WHEN 0 THEN 'fix_planned' WHEN 3 THEN 'Verified_Closed' ELSE 'in_progress' END AS status, 'me' AS owner FROM (SELECT *, {CRC} % 9 AS h FROM alerts) WHERE h % 3 = 0)"""
+    CASE h WHEN 0 THEN 'fix_planned' WHEN 3 THEN 'Verified_Closed' ELSE 'in_progress' END AS status, 'me' AS owner FROM (SELECT *, {SHARE} % 9 AS h FROM alerts) WHERE h % 3 = 0)"""
 CASES = STATES + cases_cte("cases", "alerts", True)
 
 DELTA = """,

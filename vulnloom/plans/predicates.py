@@ -1,34 +1,54 @@
-"""The predicate language of the workbench: text to a typed tree to a Catalyst column.
+"""Predicates over workbench rows: a filter form as a Catalyst column.
 
-    severity in ("critical", "high") AND (kev = true OR risk_score >= 60) AND NOT cwe contains "CWE-79"
+    all_of(rule("severity", "in", ["critical", "high"]), any_of(rule("kev", "=", True), rule("risk_score", ">=", 60)), negated(rule("cwe", "contains", "CWE-79")))
 
-Precedence is NOT, AND, OR.  Comparisons are ``= != > >= < <=``, ``contains``, ``starts_with``, ``ends_with``, ``in``,
-``contains_any``, ``contains_all`` and ``exists``.  Logic is two-valued: a comparison with a missing value does not hold (but
-``!=`` does), so its NOT does.  Text is trimmed; ``=`` minds case, the textual operators do not.  A field's declared
-kind decides how it is compared; a comparison that its kind does not allow never holds.  Dates compare as UTC times.
+A form is what a filter dialog holds: rules {"field", "op", "value", "negate"} and groups {"join", "items", "negate"}.
+Operators are ``= != > >= < <=``, ``contains``, ``starts_with``, ``ends_with``, ``in``, ``contains_any``, ``contains_all`` and
+``exists``.  Logic is two-valued: a comparison with a missing value does not hold (but ``!=`` does), so its negation does.
+Text is trimmed; ``=`` minds case, the textual operators do not.  A field's declared kind decides how it is compared;
+a comparison that its kind does not allow never holds.  Dates compare as UTC times.
 
-Since a predicate becomes a column, Catalyst may push it through the query that makes the rows.
+There is no text language: a form becomes a column, which Catalyst may push through the query that makes the rows.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The fields of workbench rows by kind, and the operators that the form offers for each kind.
-KINDS = {
-    "string": "project vuln_id internal_id language package_manager",
-    "enum": "severity reachability_verdict",
-    "number": "cvss epss risk_score fix_versions_count component_count closest_depth published_days_ago modified_days_ago call_locations_count",
-    "boolean": "kev is_reachable is_runtime fix_available",
-    "date": "published modified",
-    "array_string": "fix_versions all_components all_component_ids all_scopes cwe call_locations",
+# The fields of workbench rows with their kinds, and the operators that a form offers for each kind.
+FIELDS = {
+    "project": "string",
+    "vuln_id": "string",
+    "internal_id": "string",
+    "language": "string",
+    "package_manager": "string",
+    "severity": "enum",
+    "reachability_verdict": "enum",
+    "cvss": "number",
+    "epss": "number",
+    "risk_score": "number",
+    "fix_versions_count": "number",
+    "component_count": "number",
+    "closest_depth": "number",
+    "published_days_ago": "number",
+    "modified_days_ago": "number",
+    "call_locations_count": "number",
+    "kev": "boolean",
+    "is_reachable": "boolean",
+    "is_runtime": "boolean",
+    "fix_available": "boolean",
+    "published": "date",
+    "modified": "date",
+    "fix_versions": "array_string",
+    "all_components": "array_string",
+    "all_component_ids": "array_string",
+    "all_scopes": "array_string",
+    "cwe": "array_string",
+    "call_locations": "array_string",
 }
-FIELDS = {name: kind for kind, names in KINDS.items() for name in names.split()}
 OPERATORS = {
     "string": ("=", "!=", "contains", "starts_with", "ends_with", "in", "exists"),
     "enum": ("=", "!=", "in", "exists"),
@@ -37,163 +57,38 @@ OPERATORS = {
     "date": ("=", "!=", ">", ">=", "<", "<=", "exists"),
     "array_string": ("contains", "contains_any", "contains_all", "exists"),
 }
-WORDS = ("and", "or", "not", "in", "contains", "contains_any", "contains_all", "starts_with", "ends_with", "exists", "true", "false", "null")
-
-
-class QueryError(ValueError):
-    """The text is not a predicate."""
-
-
-@dataclass(frozen=True)
-class Token:
-    kind: str  # string, number, word, name, operator, mark
-    value: Any
-
-
-_LEX = re.compile(
-    r"""\s*(?:(?P<string>"(?:\\.|[^"\\])*"|'(?:\\.|[^'\\])*')|(?P<number>-?\d+(?:\.\d+)?(?![\w.]))|(?P<name>[A-Za-z_][\w.]*)|(?P<operator>!=|>=|<=|=|>|<)|(?P<mark>[()\[\],]))"""
-)
-
-
-def tokens(text: str) -> list[Token]:
-    found, at = [], 0
-    text = text.rstrip()
-    while at < len(text):
-        m = _LEX.match(text, at)
-        if not m:
-            raise QueryError(f"cannot read {text[at:at + 20]!r}")
-        kind, raw = m.lastgroup, m.group(m.lastgroup)
-        if kind == "string":
-            found.append(Token("string", re.sub(r"\\(.)", r"\1", raw[1:-1])))
-        elif kind == "number":
-            found.append(Token("number", float(raw) if "." in raw else int(raw)))
-        elif kind == "name":
-            low = raw.lower()
-            found.append(Token("word", low) if low in WORDS else Token("name", raw))
-        else:
-            found.append(Token(kind, raw))
-        at = m.end()
-    return found
-
-
-@dataclass(frozen=True)
-class Compare:
-    field: str
-    op: str
-    value: Any = None
-
-
-@dataclass(frozen=True)
-class Not:
-    of: Any
-
-
-@dataclass(frozen=True)
-class All:
-    of: tuple
-
-
-@dataclass(frozen=True)
-class AnyOf:
-    of: tuple
-
-
-class _Reader:
-    def __init__(self, found: list[Token]):
-        self.found, self.at = found, 0
-
-    def peek(self) -> Token | None:
-        return self.found[self.at] if self.at < len(self.found) else None
-
-    def next(self) -> Token:
-        token = self.peek()
-        if token is None:
-            raise QueryError("the predicate ends too early")
-        self.at += 1
-        return token
-
-    def takes(self, kind: str, value: str) -> bool:
-        token = self.peek()
-        if token and token.kind == kind and token.value == value:
-            self.at += 1
-            return True
-        return False
-
-    def either(self) -> Any:
-        parts = [self.both()]
-        while self.takes("word", "or"):
-            parts.append(self.both())
-        return parts[0] if len(parts) == 1 else AnyOf(tuple(parts))
-
-    def both(self) -> Any:
-        parts = [self.single()]
-        while self.takes("word", "and"):
-            parts.append(self.single())
-        return parts[0] if len(parts) == 1 else All(tuple(parts))
-
-    def single(self) -> Any:
-        if self.takes("word", "not"):
-            return Not(self.single())
-        if self.takes("mark", "("):
-            inner = self.either()
-            if not self.takes("mark", ")"):
-                raise QueryError("a parenthesis is not closed")
-            return inner
-        field = self.next()
-        if field.kind != "name":
-            raise QueryError(f"{field.value!r} is not a field")
-        op = self.next()
-        if op.kind == "word" and op.value == "exists":
-            return Compare(field.value, "exists")
-        if op.kind != "operator" and not (op.kind == "word" and op.value in ("in", "contains", "contains_any", "contains_all", "starts_with", "ends_with")):
-            raise QueryError(f"{op.value!r} is not an operator")
-        value = self.value()
-        if op.value in ("in", "contains_any", "contains_all"):
-            if op.value == "in" and not isinstance(value, tuple):
-                raise QueryError("in needs a list")
-            value = value if isinstance(value, tuple) else (value,)
-        elif isinstance(value, tuple):
-            raise QueryError(f"{op.value} takes one value")
-        return Compare(field.value, op.value, value)
-
-    def value(self) -> Any:
-        token = self.next()
-        if token.kind == "mark" and token.value in "([":
-            close, items = ")" if token.value == "(" else "]", []
-            while not self.takes("mark", close):
-                items.append(self.value())
-                if not self.takes("mark", ",") and not (self.peek() and self.peek().value == close):
-                    raise QueryError("a list is not closed")
-            return tuple(items)
-        if token.kind == "word" and token.value in ("true", "false", "null"):
-            return {"true": True, "false": False, "null": None}[token.value]
-        if token.kind in ("string", "number", "name"):
-            return token.value
-        raise QueryError(f"{token.value!r} is not a value")
-
-
-def parse(text: str) -> Any:
-    reader = _Reader(tokens(text))
-    tree = reader.either()
-    if reader.peek() is not None:
-        raise QueryError(f"{reader.peek().value!r} is left over")
-    return tree
-
-
-# --- compiling ----------------------------------------------------------------------------------------------------
-
-
-def compiled(tree: Any, fields: dict[str, str] = FIELDS) -> Column:
-    """The tree as a boolean column that is never null."""
-    if isinstance(tree, Not):
-        return ~compiled(tree.of, fields)
-    if isinstance(tree, (All, AnyOf)):
-        parts = [compiled(x, fields) for x in tree.of]
-        out = parts[0]
-        for part in parts[1:]:
-            out = out & part if isinstance(tree, All) else out | part
-        return out
-    return F.coalesce(_leaf(tree, fields.get(tree.field)), F.lit(False))
+
+
+def rule(field: str, op: str, value: Any = None) -> dict:
+    return {"field": field, "op": op, "value": value}
+
+
+def all_of(*items: dict) -> dict:
+    return {"join": "and", "items": list(items)}
+
+
+def any_of(*items: dict) -> dict:
+    return {"join": "or", "items": list(items)}
+
+
+def negated(item: dict) -> dict:
+    return item | {"negate": not item.get("negate", False)}
+
+
+def condition(form: dict, fields: dict[str, str] = FIELDS) -> Column:
+    """The form as a boolean column that is never null; an empty group holds if all its (no) items must."""
+    if "items" in form:
+        conjunction = form.get("join", "and") == "and"
+        out = F.lit(conjunction)
+        for part in (condition(x, fields) for x in form["items"]):
+            out = out & part if conjunction else out | part
+    else:
+        out = F.coalesce(_leaf(form, fields.get(form["field"])), F.lit(False))
+    return ~out if form.get("negate") else out
+
+
+def where(df: DataFrame, form: dict, fields: dict[str, str] = FIELDS) -> DataFrame:
+    return df.filter(condition(form, fields))
 
 
 def _as_time(c: Column) -> Column:
@@ -220,12 +115,14 @@ def _same(field: str, kind: str | None, value: Any) -> Column:
     return F.lit(False)
 
 
-def _leaf(leaf: Compare, kind: str | None) -> Column:
-    col, op, value = F.col(leaf.field), leaf.op, leaf.value
+def _leaf(rule: dict, kind: str | None) -> Column:
+    col, op, value = F.col(rule["field"]), rule["op"], rule.get("value")
+    if op in ("contains_any", "contains_all") and not isinstance(value, (list, tuple)):
+        value = [value]
     if op == "=":
-        return _same(leaf.field, kind, value)
+        return _same(rule["field"], kind, value)
     if op == "!=":
-        return ~_same(leaf.field, kind, value)
+        return ~_same(rule["field"], kind, value)
     if kind is None:
         return F.lit(op == "contains_all" and not value)
     if op == "exists":
@@ -264,13 +161,6 @@ def _ordered(col: Column, kind: str, op: str, value: Any) -> Column:
     return {">": a > b, ">=": a >= b, "<": a < b, "<=": a <= b}[op]
 
 
-def where(df: DataFrame, text: str, fields: dict[str, str] = FIELDS) -> DataFrame:
-    return df.filter(compiled(parse(text), fields))
-
-
-# --- forms --------------------------------------------------------------------------------------------------------
-
-
 def quoted(value: Any) -> str:
     if isinstance(value, bool):
         return "true" if value else "false"
@@ -282,7 +172,7 @@ def quoted(value: Any) -> str:
 
 
 def text_of(node: dict, root: bool = True) -> str:
-    """The predicate of a form: groups {"join", "items", "negate"}, rules {"field", "op", "value", "negate"}."""
+    """The form as text, to be shown."""
     if "items" in node:
         parts = [text_of(x, False) for x in node["items"]]
         body = f" {node.get('join', 'and').upper()} ".join(p for p in parts if p)
