@@ -1,14 +1,16 @@
-"""What the corpus operators share: word patterns, the shared folder and tables written to it."""
+"""What the corpus operators share: word patterns, array expressions, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vulnloom.sources.shared import drop_stored, shared_dir, shared_path, stored
+
+__all__ = ["SPACES", "SPACE_RUN", "aside", "crc_mod", "drop_stored", "let", "passing", "running", "shared_dir", "shared_path", "stored", "table", "word_count", "words"]
+
 #: The six characters that separate words, and a run of them.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[ \t\n\x0B\f\r]+"
@@ -18,37 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where the session names none (single-machine tests), a fresh temporary folder is set.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vulnloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as a table in the shared folder and read back: lineage ends here."""
-    path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes the files behind a frame that ``stored`` returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none).  Words are runs of anything but SPACES."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
@@ -60,6 +31,22 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def running(values: Column, op: Callable[[Column, Column], Column] | None = None, chunk: int = 256) -> Column:
+    """Running sums of an array of longs (or what ``op`` makes of two).  An array that grows by one is copied each time, so
+    chunks are run by themselves and then shifted by what came before them."""
+    op = op or (lambda a, b: a + b)
+    last = lambda a: F.element_at(a, -1)
+
+    def plain(a: Column) -> Column:
+        begun = F.slice(a, 1, 1)
+        return F.aggregate(F.slice(a, 2, F.greatest(F.size(a) - 1, F.lit(0))), begun, lambda s, x: F.concat(s, F.array(op(last(s), x))))
+
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / chunk).cast("int")), lambda i: plain(F.slice(a, i * chunk + 1, chunk)))
+    before = lambda parts: F.concat(F.array(F.lit(None).cast("long")), let(F.transform(parts, last), plain))
+    shifted = lambda parts: F.zip_with(parts, F.slice(before(parts), 1, F.size(parts)), lambda p, o: F.when(o.isNull(), p).otherwise(F.transform(p, lambda x: op(o, x))))
+    return let(values, lambda a: F.when(F.size(a) <= chunk, plain(a)).otherwise(F.flatten(let(cut(a), shifted))))
+
+
 def passing(df: DataFrame, condition: Column) -> DataFrame:
     """``df.filter(condition)``, evaluated above the columns it names instead of with copies of their expressions."""
     return df.withColumn("_row", F.monotonically_increasing_id()).filter(condition & (F.col("_row") >= 0)).drop("_row")

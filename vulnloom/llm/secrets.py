@@ -6,7 +6,8 @@ strings, and long plain words of a bounded sample of documents label ordinary id
 63 x 63 log ratios, whatever the size of the input.
 
 All of it is DataFrame functions, evaluated row by row: ``split`` gives the stretches between matches and
-``regexp_extract_all`` the matches, and their lengths give positions in code points.  Applying shuffles nothing.
+``regexp_extract_all`` the matches, and running sums of their lengths give positions in code points, in time linear in
+text and matches (a megabyte of hashes takes a second or two).  Applying shuffles nothing.
 
 Defined cases: a null text is an empty one and has no spans; a null id is kept; rows that repeat an id are scanned
 each by itself; an empty table gives an empty result, and training on one gives the untrained (uniform) model; other
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import aside, words
+from vulnloom.llm.common import aside, let, running, words
 
 #: The base patterns (kind, expression, shortest accepted length of the value).
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -46,20 +47,15 @@ class MarkovLimits:
 
 def _spans(text: Column, pattern: str, rank: int, kind: str, may: Column, group: int = 0, least: int = 0) -> Column:
     """Array of (start, rank, stop, kind) of a pattern's matches, in order."""
-    between = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     found = F.regexp_extract_all(text, F.lit(f"({pattern})" if not group else pattern), F.lit(0 if group else 1))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    pairs = F.transform(found, lambda m, i: F.struct(F.get(between, i).alias("gap"), F.length(m).cast("long").alias("size"), F.length(F.get(values, i)).alias("value")))
-    empty = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("spans"))
-
-    def add(state: Column, m: Column) -> Column:
-        start = state["at"] + m["gap"]
-        stop = start + m["size"]
-        span = F.struct(start.alias("start"), F.lit(rank).alias("kind"), stop.alias("stop"), F.lit(kind).alias("kind_name"))
-        kept = F.when(m["value"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(stop.alias("at"), kept.alias("spans"))
-
-    return F.when(may, F.aggregate(pairs, empty, add, lambda s: s["spans"])).otherwise(F.array().cast(SPAN))
+    gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
+    sizes = F.transform(found, lambda m: F.length(m).cast("long"))
+    steps = F.filter(F.zip_with(gaps, sizes, lambda g, m: F.struct((g + m).alias("step"), m.alias("size"))), lambda x: x["size"].isNotNull())
+    ends = let(steps, lambda x: F.zip_with(x, running(F.transform(x, lambda y: y["step"])), lambda y, e: F.struct(y["size"].alias("size"), e.alias("stop"))))
+    kept = F.filter(F.zip_with(ends, values, lambda x, v: F.struct(x.alias("x"), F.length(v).alias("value"))), lambda x: x["value"] >= least)
+    span = lambda x: F.struct((x["x"]["stop"] - x["x"]["size"]).alias("start"), F.lit(rank).alias("kind"), x["x"]["stop"].alias("stop"), F.lit(kind).alias("kind_name"))
+    return F.when(may, F.transform(kept, span)).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
@@ -133,14 +129,24 @@ def random_spans(docs: DataFrame, ratios: list[float], limits: MarkovLimits = Ma
 
     def ratio(token: Column) -> Column:
         states = F.transform(F.split(token, ""), _state)
-        pairs = F.zip_with(F.slice(states, 1, F.size(states) - 1), F.slice(states, 2, F.size(states) - 1), lambda a, b: F.get(model, a * STATES + b))
+        pairs = let(states, lambda x: F.zip_with(F.slice(x, 1, F.size(x) - 1), F.slice(x, 2, F.size(x) - 1), lambda a, b: F.get(model, a * STATES + b)))
         return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
 
     scored = F.zip_with("_spans", F.transform("_tokens", ratio), lambda s, r: F.struct(s.alias("span"), r.alias("ratio")))
     size = lambda x: x["span"]["stop"] - x["span"]["start"] - 1
-    apart = lambda x: ~F.exists("base", lambda b: (b["start"] < x["span"]["stop"]) & (x["span"]["start"] < b["stop"]))
-    random = F.filter(scored, lambda x: (x["ratio"] > limits.total) & (x["ratio"] > limits.mean * size(x)) & apart(x))
-    return found.withColumn("added", F.transform(random, lambda x: x["span"])).drop("_tokens", "_spans")
+    random = F.filter(scored, lambda x: (x["ratio"] > limits.total) & (x["ratio"] > limits.mean * size(x)))
+    return found.withColumn("added", _apart(F.transform(random, lambda x: x["span"]), F.col("base"))).drop("_tokens", "_spans")
+
+
+def _apart(spans: Column, base: Column) -> Column:
+    """Those of ``spans`` that touch none of ``base``: in order of starts, no base span before reaches in, none begins inside."""
+    ordered = F.sort_array(F.concat(spans, base))
+    is_base = lambda x: x["kind"] < 3
+    reach = lambda x: running(F.transform(x, lambda y: F.when(is_base(y), y["stop"]).otherwise(F.lit(0).cast("long"))), F.greatest)
+    following = lambda x: F.reverse(running(F.reverse(F.transform(x, lambda y: F.when(is_base(y), y["start"]).otherwise(F.lit(1 << 62)))), F.least))
+    met = let(ordered, lambda x: F.zip_with(F.zip_with(x, reach(x), lambda y, r: F.struct(y.alias("y"), r.alias("r"))), following(x), lambda z, f: F.struct(z["y"].alias("y"), z["r"].alias("r"), f.alias("f"))))
+    clear = F.filter(met, lambda z: ~is_base(z["y"]) & (z["r"] <= z["y"]["start"]) & (z["f"] >= z["y"]["stop"]))
+    return F.when(F.size(base) == 0, spans).otherwise(F.transform(clear, lambda z: z["y"]))
 
 
 def scan(docs: DataFrame, ratios: list[float] | None = None, limits: MarkovLimits = MarkovLimits()) -> DataFrame:
@@ -157,14 +163,20 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, ratios: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs``' columns, each span of the text replaced by ``mark`` (overlapping spans once)."""
-    docs, back = aside(docs, "base", "added", "spans", "_tokens", "_spans")
-    scanned = scan(docs, ratios)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        gap = F.substring(F.col("text"), (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
-        fresh = s["start"] >= state["at"]
-        return F.struct(F.greatest(state["at"], s["stop"]).alias("at"), F.concat(state["out"], gap, F.when(fresh, F.lit(mark)).otherwise("")).alias("out"))
-
-    done = F.aggregate("spans", start, step, lambda s: F.concat(s["out"], F.substring(F.col("text"), (s["at"] + 1).cast("int"), F.length("text"))))
-    return scanned.withColumn("text", F.when(F.size("spans") > 0, done).otherwise(F.col("text"))).select(*docs.columns).withColumnsRenamed(back)
+    docs, back = aside(docs, "base", "added", "spans", "_tokens", "_spans", "_pieces")
+    step = 1024
+    scanned = scan(docs, ratios).withColumn("_pieces", F.regexp_extract_all("text", F.lit(f"(?s)(.{{1,{step}}})"), F.lit(1)))
+
+    def cut(start: Column, stop: Column) -> Column:
+        """Characters start to stop, found by the pieces they lie in."""
+        first = F.floor(start / step).cast("int")
+        held = F.array_join(F.slice("_pieces", first + 1, F.greatest(F.floor((stop - 1) / step).cast("int") - first + 1, F.lit(0))), "")
+        return F.when(stop <= start, "").otherwise(F.substring(held, (start % step + 1).cast("int"), (stop - start).cast("int")))
+
+    def done(spans: Column) -> Column:
+        reach = let(running(F.transform(spans, lambda s: s["stop"]), F.greatest), lambda r: F.concat(F.array(F.lit(0).cast("long")), r))
+        met = F.zip_with(spans, reach, lambda s, r: F.struct(s["start"].alias("start"), r.alias("reach")))
+        shown = F.transform(met, lambda x: F.when(x["start"].isNull(), cut(x["reach"], F.length("text").cast("long"))).when(x["start"] >= x["reach"], F.concat(cut(x["reach"], x["start"]), F.lit(mark))).otherwise(""))
+        return F.array_join(shown, "")
+
+    return scanned.withColumn("text", F.when(F.size("spans") > 0, done(F.col("spans"))).otherwise(F.col("text"))).select(*docs.columns).withColumnsRenamed(back)
