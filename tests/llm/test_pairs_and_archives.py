@@ -57,7 +57,7 @@ def near_copies(seed, n_groups=12):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, jaccard_join.JoinOptions()), (2, jaccard_join.JoinOptions(often_local=2, often=2, salt_rows=3, ids_most=3))])
+@pytest.mark.parametrize(("seed", "options"), [(1, jaccard_join.JoinOptions()), (2, jaccard_join.JoinOptions(often_local=2, often=2, salt_rows=3, ids_most=3)), (3, jaccard_join.JoinOptions(list_rows=2)), (4, jaccard_join.JoinOptions(often=10**9, list_rows=1, ids_most=3))])
 def test_jaccard_components(spark, seed, options):
     texts = near_copies(seed) | {1000: None, 1001: "", 1002: "a b", 1003: "A  b"}
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, rep string").repartition(3)
@@ -65,6 +65,23 @@ def test_jaccard_components(spark, seed, options):
     assert got == brute_components(texts)
 
 
+def test_jaccard_long_lists(spark):
+    """A passage that all documents hold and no task names: its lists are refined, and near copies beside it are still found."""
+    rng = random.Random(8)
+    passage, texts = prose(500, 60), {}
+    for k in range(60):
+        own = prose(600 + k, 70).split()
+        texts[2 * k] = f"{passage} {' '.join(own)}"
+        if k % 3 == 0:
+            own[rng.randrange(10, 60)] = "changed"
+            texts[2 * k + 1] = f"{' '.join(own)} {passage}"
+    texts |= {1000 + k: f"{passage} {prose(k, 12)}" for k in range(30)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    options = jaccard_join.JoinOptions(often=10**9, list_rows=8)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.components(df, options).collect()}
+    assert got == brute_components(texts)
+
+
 def test_jaccard_odd(spark, odd_docs):
     got = [(r.doc_id, r.component_id) for r in jaccard_join.components(odd_docs).collect()]
     assert sorted(got, key=str) == sorted([(1, 1), (2, 2), (3, 3), (4, 4), (4, 4), (5, 5), (6, 6), (None, None)], key=str)
@@ -76,13 +93,13 @@ def test_jaccard_repeated_ids(spark):
     """An id with two texts links by each of them; equal rows of an id are kept once."""
     a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
     near = b + " more"
-    rows = [(5, a), (5, b), (9, b), (12, near), (20, c), (20, c), (30, prose(4, 60)), (30, None), (31, ""), (40, c + " more"), (None, prose(6, 60)), (30, prose(5, 60)), (29, prose(5, 60))]
+    rows = [(5, a), (5, b), (9, b), (12, near), (20, c), (20, c), (30, prose(4, 60)), (30, None), (31, ""), (40, c + " more"), (None, prose(6, 60)), (30, prose(5, 60)), (29, prose(5, 60)), (None, a)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for flipped in (rows, rows[::-1]):
         got = {(r.doc_id, r.component_id) for r in jaccard_join.components(spark.createDataFrame(flipped, docs.schema).coalesce(1)).collect()}
         assert got == {(5, 5), (9, 5), (12, 5), (20, 20), (40, 20), (29, 29), (30, 29), (31, 31), (None, None)}
     kept = [tuple(r) for r in jaccard_join.keep_first(docs).collect()]
-    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (20, c), (29, prose(5, 60)), (31, ""), (None, prose(6, 60))], key=str)
+    assert sorted(kept, key=str) == sorted([(5, a), (5, b), (20, c), (29, prose(5, 60)), (31, ""), (None, prose(6, 60)), (None, a)], key=str)
 
 
 def test_jaccard_split_key(spark):
@@ -212,6 +229,19 @@ def test_archives_round_trip(spark):
     assert warc.read(spark, warc.write(pages.limit(0))).count() == 0
 
 
+def test_archives_spread(spark):
+    """Frames are read by several tasks however many bundles there are, and a very long payload survives."""
+    rows = [(k, "u", prose(k, 400), "d") for k in range(60)] + [(1000, "u", "<p>" + "x" * 3_000_000 + "</p>", "d")]
+    pages = spark.createDataFrame(rows, PAGES).repartition(4)
+    for bundle_bytes in (1 << 26, 10_000):
+        options = warc.BundleOptions(frame_bytes=3000, bundle_bytes=bundle_bytes)
+        index = warc.write(pages, options)
+        assert bundle_bytes > 1 << 20 or index.select("bundle").distinct().count() > 4
+        found = warc.read(spark, index)
+        assert found.groupBy(F.spark_partition_id()).count().count() > 2
+        assert {r.page_id: r.payload_bytes for r in found.collect()} == {r[0]: len(r[2]) for r in rows}
+
+
 SF = "/root/testdata/sf0.001"
 
 

@@ -7,7 +7,8 @@ frame and offset inside the frame.
 Plan: digests and sizes are computed in the JVM and grouped without the payloads; the decision (response or revisit) then
 meets the payloads by page, so a payload that a third of all pages share does not gather them.  Bundles are
 written by tasks to the shared folder, under a name of the attempt's own; the index is stored once, and only bundles that
-it names count, so a lost executor leaves at most an unreferenced file.
+it names count, so a lost executor leaves at most an unreferenced file.  Reading deals single frames to tasks, so neither a
+large bundle nor many small ones gather in one.
 
 Defined cases: a null html is an empty payload; a null url leaves the target header out; a null page_id is kept and never
 the response of others; rows that repeat a page_id get a record each, and of equal payloads those with the
@@ -23,7 +24,6 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
@@ -190,38 +190,69 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _INDEX, strict=True)], schema=_INDEX)
 
 
-def read(spark: SparkSession, index: DataFrame) -> DataFrame:
+def frames(index: DataFrame) -> DataFrame:
+    """(bundle, at, packed, plain): the frames of the bundles that ``index`` names, by the bundles' own seek tables."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                system, path = fs.FileSystem.from_uri(name)
+                with system.open_input_file(path) as handle:
+                    found = read_seek_table(handle)
+                columns = zip(*found, strict=True) if found else ([], [], [])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["bundle", "at", "packed", "plain"])
+
+    bundles = index.select("bundle").distinct()
+    # By another expression than the bundle itself, or the partitioning of distinct() would do and be gathered into few tasks.
+    bundles = bundles.repartition(_tasks(bundles.count(), bundles.sparkSession), F.xxhash64("bundle"))
+    return bundles.mapInArrow(work, "bundle string, at long, packed long, plain long")
+
+
+def _tasks(n: int, spark: SparkSession) -> int:
+    """A task each to the session's parallelism, then several a task, then a hundred each."""
+    return max(1, min(n, max(spark.sparkContext.defaultParallelism, n // 100)))
+
+
+def read(spark: SparkSession, index: DataFrame, options: BundleOptions = BundleOptions()) -> DataFrame:
     """All records of the bundles that ``index`` names: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Bundles are walked by their own seek tables.  Payloads of responses are digested anew; a mismatch is an error.
+    Frames are dealt to tasks one by one, about ``bundle_bytes`` of records a task, and fewer where there are cores for it.
+    Payloads of responses are digested anew; a mismatch is an error.
     """
 
     def page(name: str | None) -> int | None:
         return int(name[10:-1]) if name and name.startswith("<urn:page:") else None
 
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for names in frames:
-            for name in names["bundle"]:
-                system, path = fs.FileSystem.from_uri(name)
-                with system.open_input_file(path) as handle:
-                    for at, packed, plain in read_seek_table(handle):
-                        handle.seek(at)
-                        rows = []
-                        for r in decode_records(unpack.decompress(handle.read(packed), max_output_size=plain)):
-                            digest = base64.b32decode(r.headers["WARC-Payload-Digest"][5:]).hex()
-                            kind = r.headers["WARC-Type"]
-                            if kind == "response" and hashlib.sha1(r.payload).hexdigest() != digest:
-                                raise ValueError(f"payload of {r.headers['WARC-Record-ID']} is damaged")
-                            rows.append((page(r.headers["WARC-Record-ID"]), int(r.http["Content-Length"]), digest, kind, page(r.headers.get("WARC-Refers-To"))))
-                        frame = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                        yield frame.astype({"page_id": "Int64", "refers_to": "Int64"})
-
-    bundles = index.select("bundle").distinct()
-    # A task a bundle: their names are so few bytes that they would else be gathered into one task.
-    bundles = bundles.repartition(min(max(bundles.count(), 1), 100_000), "bundle")
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    return bundles.mapInPandas(work, schema)
+        for batch in batches:
+            opened, handle = None, None
+            for name, at, packed, plain in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if name != opened:
+                    if handle:
+                        handle.close()
+                    system, path = fs.FileSystem.from_uri(name)
+                    opened, handle = name, system.open_input_file(path)
+                handle.seek(at)
+                rows = []
+                for r in decode_records(unpack.decompress(handle.read(packed), max_output_size=plain)):
+                    digest = base64.b32decode(r.headers["WARC-Payload-Digest"][5:]).hex()
+                    kind = r.headers["WARC-Type"]
+                    if kind == "response" and hashlib.sha1(r.payload).hexdigest() != digest:
+                        raise ValueError(f"payload of {r.headers['WARC-Record-ID']} is damaged")
+                    rows.append((page(r.headers["WARC-Record-ID"]), int(r.http["Content-Length"]), digest, kind, page(r.headers.get("WARC-Refers-To"))))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), _READ.types, strict=True)], schema=_READ)
+            if handle:
+                handle.close()
+
+    found = stored(frames(index), "warc-frames")
+    n, size = found.agg(F.count("*"), F.coalesce(F.sum("plain"), F.lit(0))).first()
+    tasks = max(-(-size // options.bundle_bytes), min(n, spark.sparkContext.defaultParallelism), 1)
+    return found.repartition(tasks, F.xxhash64("bundle", "at")).sortWithinPartitions("bundle", "at").mapInArrow(work, READ)
+
+
+READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+_READ = pa.schema([(n, pa.string() if n in ("payload_digest", "record_type") else pa.int64()) for n in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")])
 
 
 def read_record(entry: dict) -> Record:
