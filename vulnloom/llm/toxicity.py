@@ -1,17 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on windows of ordinary text and one on windows of toxic text.  A window is
-compressed with the ordinary dictionary alone and with the toxic one put before it; what toxic text saves is its
-evidence.  (Behind both stands the same ordinary content, so that chance matches of everyday words cancel out; with two
-unrelated dictionaries they drown the few telling words.)  A document's savings - mean, largest, share of telling windows - are
-turned into a score by a calibration whose 0.5 is the threshold of best F1 on labelled documents the dictionaries have not seen.
+Two zstandard dictionaries are trained separately, one on windows of toxic text and one on windows of ordinary text.  A window
+is compressed with either; how much shorter the toxic one makes it is its evidence.  (A second measure puts the toxic
+dictionary before the ordinary one and compares with the ordinary one alone: the same ordinary content is then behind both, so
+chance matches of everyday words cancel out.)  A document's savings - mean, largest, share of telling windows - are turned into
+a score by a calibration whose 0.5 is the threshold of best F1 on labelled documents the dictionaries have not seen, false
+alarms weighed by the share of toxic documents among all labels.
 
-Training takes a bounded sample, the ``per_class`` documents of each label with the smallest hash of their id; half of it
-trains dictionaries (in one task, ``windows`` windows a document), half calibrates.  Scoring is one narrow pass over whole texts.
+Training takes a bounded sample, the ``per_class`` documents of each label with the smallest hash of their id, with their whole
+texts; half of it trains dictionaries (one task a label), half calibrates.  Scoring is one narrow pass over whole texts.
 
 Defined cases: a null or empty text has no window and gets the score of no evidence; documents without labels do not
-train; if either label is missing, every score is the share of toxic labels (0 without labels); rows that repeat an id are
-scored each; an empty table gives an empty result; other columns pass through, but score and predicted are replaced.
+train; if either label is missing, every score is the share of toxic labels (0 without labels); of windows too few to train
+on, zstandard refuses, and the windows themselves are the dictionary; rows that repeat an id (or have none) are scored each; an
+empty table gives an empty result; other columns pass through, but score and predicted are replaced.
 """
 
 from __future__ import annotations
@@ -27,13 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-FEATURES = 6
+FEATURES = 9
 
 
 @dataclass(frozen=True)
 class ToxicityOptions:
     per_class: int = 3000
-    windows: int = 40
     words: int = 10
     ordinary_size: int = 32768
     toxic_size: int = 2048
@@ -77,40 +78,46 @@ class Evidence:
 
     def __init__(self, ordinary: bytes, toxic: bytes, words: int):
         self.words = words
-        self.plain, self.joint = compressor(ordinary), compressor(toxic + ordinary)
+        self.plain, self.toxic, self.joint = compressor(ordinary), compressor(toxic), compressor(toxic + ordinary)
 
     def features(self, text: str | None) -> list[float]:
-        saved = np.array([len(self.plain.compress(w)) - len(self.joint.compress(w)) for w in windows(text, self.words)], float)
-        if not len(saved):
+        sizes = np.array([(len(self.plain.compress(w)), len(self.toxic.compress(w)), len(self.joint.compress(w))) for w in windows(text, self.words)], float)
+        if not len(sizes):
             return [0.0] * FEATURES
+        apart, saved = sizes[:, 0] - sizes[:, 1], sizes[:, 0] - sizes[:, 2]
         top = np.sort(saved)[-3:]
-        return [saved.mean(), saved.max(), top.mean(), np.maximum(saved - 2, 0).mean(), (saved >= 3).mean(), np.log1p((saved >= 3).sum())]
+        return [
+            apart.mean(), apart.max(), np.sort(apart)[-3:].mean(),
+            saved.mean(), saved.max(), top.mean(), np.maximum(saved - 2, 0).mean(), (saved >= 3).mean(), np.log1p((saved >= 3).sum()),
+        ]
 
 
-def _sample(docs: DataFrame, labels: DataFrame, options: ToxicityOptions) -> DataFrame:
-    """(doc_id, toxic, half, text) of the bounded sample; the ids, not the documents, are ranked and sent out."""
-    known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+def _known(labels: DataFrame) -> DataFrame:
+    """(_id, toxic 0 or 1) of the labels."""
+    return labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").select(F.col("doc_id").alias("_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+
+
+def _sample(docs: DataFrame, known: DataFrame, options: ToxicityOptions) -> DataFrame:
+    """(toxic, dictionary, text) of the bounded sample; the ids, not the documents, are ranked and sent out."""
     picked = None
     for label in (0, 1):
         one = known.filter(F.col("toxic") == label).orderBy(F.xxhash64("_id"), "_id").limit(options.per_class)
         picked = one if picked is None else picked.union(one)
     half = (F.xxhash64("_id", F.lit("half")) % 2 == 0).alias("dictionary")
     met = docs.select("doc_id", "text").join(F.broadcast(picked.select("_id", "toxic", half)), F.col("doc_id") == F.col("_id"))
-    return met.select("doc_id", "toxic", "dictionary", "text")
+    return met.select("toxic", "dictionary", "text")
 
 
 def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = ToxicityOptions()) -> Model:
     """A model from labelled documents: ``labels`` (doc_id, toxic), ``docs`` (doc_id, text)."""
-    sample = _sample(docs, labels, options)
-    words, per = options.words, options.windows
+    known = _known(labels)
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    sample = _sample(docs, known, options)
+    words = options.words
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for doc_id, toxic, text in zip(frame["doc_id"], frame["toxic"], frame["text"], strict=True):
-                own = sorted(set(windows(text, words)))
-                order = np.random.default_rng(int(doc_id) & 0x7FFFFFFF).permutation(len(own))[:per]
-                rows += [(toxic, own[i]) for i in order]
+            rows = [(toxic, w) for toxic, text in zip(frame["toxic"], frame["text"], strict=True) for w in set(windows(text, words))]
             yield pd.DataFrame(rows, columns=["toxic", "w"])
 
     def make(frame: pd.DataFrame) -> pd.DataFrame:
@@ -119,12 +126,11 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
         toxic = int(frame["toxic"].iloc[0])
         return pd.DataFrame({"toxic": [toxic], "content": [dictionary([own[i] for i in order], options.toxic_size if toxic else options.ordinary_size)]})
 
-    cuts = sample.filter("dictionary").select("doc_id", "toxic", "text").mapInPandas(cut, "toxic int, w binary").distinct()
+    cuts = sample.filter("dictionary").select("toxic", "text").mapInPandas(cut, "toxic int, w binary").distinct()
     made = {r["toxic"]: bytes(r["content"]) for r in cuts.groupBy("toxic").applyInPandas(make, "toxic int, content binary").collect()}
     rest = sample.filter("NOT dictionary").select("toxic", "text")
     if len(made) < 2:
-        share = rest.agg(F.avg("toxic")).first()[0]
-        return Model(constant=float(share or 0.0))
+        return Model(constant=float(share))
     ordinary, toxic = made[0], made[1]
 
     def measure(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -136,13 +142,13 @@ def train(docs: DataFrame, labels: DataFrame, options: ToxicityOptions = Toxicit
 
     schema = ", ".join(f"f{k} double" for k in range(FEATURES)) + ", toxic int"
     measured = rest.mapInPandas(measure, schema).toPandas()
-    return calibrate(ordinary, toxic, measured[[f"f{k}" for k in range(FEATURES)]].to_numpy(), measured["toxic"].to_numpy())
+    return calibrate(ordinary, toxic, measured[[f"f{k}" for k in range(FEATURES)]].to_numpy(), measured["toxic"].to_numpy(), float(share))
 
 
-def calibrate(ordinary: bytes, toxic: bytes, x: np.ndarray, y: np.ndarray) -> Model:
-    """Ridge logistic regression by Newton steps, shifted so that 0.5 is the threshold of best F1."""
+def calibrate(ordinary: bytes, toxic: bytes, x: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """Ridge logistic regression by Newton steps, shifted so that 0.5 is the threshold of best F1 where ``share`` is toxic."""
     if len(set(y.tolist())) < 2:
-        return Model(constant=float(y.mean()) if len(y) else 0.0)
+        return Model(constant=share)
     centre, scale = x.mean(axis=0), x.std(axis=0) + 1e-6
     a = np.column_stack([(x - centre) / scale, np.ones(len(x))])
     w = np.zeros(a.shape[1])
@@ -153,8 +159,8 @@ def calibrate(ordinary: bytes, toxic: bytes, x: np.ndarray, y: np.ndarray) -> Mo
         w = w + np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]) + ridge + 1e-9 * np.eye(len(w)), a.T @ (y - p) - ridge @ w)
     order = np.argsort(-(a @ w), kind="stable")
     hits = np.cumsum(y[order])
-    # Labels are sampled evenly, so false alarms weigh as they would in a corpus with a tenth of toxic documents.
-    alarms = np.cumsum(1 - y[order]) * 9 * max(y.sum(), 1) / max((1 - y).sum(), 1)
+    # The sample has its own share of toxic documents: false alarms weigh as they would among all labels.
+    alarms = np.cumsum(1 - y[order]) * (1 - share) / share * y.sum() / (1 - y).sum()
     f1 = 2 * hits / (hits + alarms + y.sum())
     k = int(f1.argmax())
     z = (a @ w)[order]
