@@ -48,18 +48,24 @@ class Model:
 
 
 def codewords(n: int) -> np.ndarray:
-    """n rows of +-1 bits: exhaustive to seven languages, beyond that a hashed code of 12 bits a doubling."""
+    """n rows of +-1 bits: exhaustive to seven languages, beyond that a drawn code of 12 bits a doubling or more."""
     if n <= 1:
         return np.ones((n, 1))
     if n <= 7:
         columns = np.arange(1, 2 ** (n - 1))
         rows = (columns[None, :] >> np.arange(n - 1)[:, None]) & 1
         return np.vstack([np.zeros((1, len(columns))), rows]) * 2 - 1
-    bits = 12 * int(np.ceil(np.log2(n)))
-    codes = [((textkit.mix(np.arange(n * bits, dtype=np.uint64) + np.uint64(s << 32)) >> np.uint64(40)) & np.uint64(1)).reshape(n, bits).astype(float) * 2 - 1 for s in range(1, 21)]
-    apart = lambda c: min((bits - c[i] @ c[j]) / 2 for i in range(n) for j in range(i))
-    best = max(codes, key=apart)
-    return best[:, np.abs(best.sum(axis=0)) < n]
+    # Any two words differ in a quarter of their bits at least: codes are drawn, and grow, until that holds.
+    bits, seed = 12 * int(np.ceil(np.log2(n))), 0
+    while True:
+        seed += 1
+        drawn = textkit.mix(np.arange(n * bits, dtype=np.uint64) + np.uint64(seed << 32)) >> np.uint64(40)
+        code = (drawn & np.uint64(1)).reshape(n, bits).astype(float) * 2 - 1
+        code = code[:, np.abs(code.sum(axis=0)) < n]
+        apart = (code.shape[1] - code @ code.T) / 2
+        if (apart[~np.eye(n, dtype=bool)] * 4 >= bits).all():
+            return code
+        bits += seed % 20 == 0
 
 
 def _grams(block: textkit.Block) -> np.ndarray:

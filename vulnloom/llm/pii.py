@@ -2,8 +2,8 @@
 
 Nodes are the tokens of a document that hold a digit or an @; labels are none, email, ip, card and phone.  Neighbouring
 tokens share a transition potential; equal tokens anywhere in the document (by their digits, or their letters) share a
-skip potential, each occurrence linked to the next, so links grow with the tokens.  Loopy sum-product message passing
-spreads labels over both; tokens that the fixed patterns label are observed.  A document's graph is part of one union
+skip potential: each occurrence is linked to the one before and to the first, so any two are two links apart and links grow
+with the tokens.  Loopy sum-product message passing, run until messages no longer change, spreads labels over both; tokens that the fixed patterns label are observed.  A document's graph is part of one union
 graph per block of texts, so the passing is a few array operations whatever the number and size of the documents.
 
 Training is piecewise and covers all documents: tasks count features, transitions and agreements of skip links under
@@ -56,7 +56,10 @@ class Model:
 
 @dataclass(frozen=True)
 class PiiOptions:
-    rounds: int = 8
+    """``rounds``: a stop for graphs whose messages keep turning; ``still``: the change below which they have settled."""
+
+    rounds: int = 100
+    still: float = 1e-3
     damping: float = 0.3
     belief: float = 0.9
 
@@ -110,7 +113,7 @@ class Graph:
 
 def _shape(token: str) -> str:
     """Runs of digits by their length to 20, runs of letters as one letter, the rest as it is."""
-    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"<{min(len(m.group()), 20)}>", token[:200]))
+    return re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"<{min(len(m.group()), 20)}>", token))
 
 
 def _bucket(name: str, value: str) -> int:
@@ -122,6 +125,8 @@ _SEEN: dict[tuple[str, str], int] = {}
 
 
 def bucket(name: str, value: str) -> int:
+    if len(value) > 100:
+        return _bucket(name, value)
     if (found := _SEEN.get((name, value))) is None:
         if len(_SEEN) > 50_000:
             _SEEN.clear()
@@ -133,6 +138,7 @@ def add_document(graph: Graph, row: int, text: str, spans: list[Span]) -> None:
     """The document's tokens and links; ``spans`` label the tokens they touch."""
     ordered = sorted((s, e, k) for k, s, e in spans)
     covered, at, reach = [], 0, 0
+    first: dict[str, int] = {}
     last: dict[str, int] = {}
     before, word = -1, -2
     for number, m in enumerate(WORD.finditer(text)):
@@ -164,6 +170,9 @@ def add_document(graph: Graph, row: int, text: str, spans: list[Span]) -> None:
         key = digits if len(digits) >= 7 else token.lower()
         if key in last:
             graph.skip.append((last[key], node))
+            if first[key] != last[key]:
+                graph.skip.append((first[key], node))
+        first.setdefault(key, node)
         last[key] = before = node
         word = number
 
@@ -252,7 +261,9 @@ def beliefs(graph: Graph, model: Model, options: PiiOptions = PiiOptions()) -> n
             out = total[source] - message[back]
             out = np.logaddexp.reduce(out[:, :, None] + potential, axis=1)
             out -= np.logaddexp.reduce(out, axis=1, keepdims=True)
-            message = options.damping * message + (1 - options.damping) * out
+            before, message = message, options.damping * message + (1 - options.damping) * out
+            if np.abs(np.exp(message) - np.exp(before)).max() < options.still:
+                break
         total = unary.copy()
         np.add.at(total, target, message)
     return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
