@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import collections
 import random
 import re
 import zlib
@@ -27,6 +28,36 @@ def counts(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered)
 
 
+def brute_kept(rows, limits):
+    """(n_removed_words, kept) of each row (doc_id, source, text), by the plain rule."""
+    norm = lambda x: re.sub("[ \t\x0b\x0c\r]+", " ", x.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789", "abcdefghijklmnopqrstuvwxyz000000000"))).strip(" ")
+    own = lambda t: [x for x in (t or "").split("\n") if WORD.search(x)]
+    hosts = collections.Counter(s for _, s, _ in rows)
+    docs = collections.defaultdict(list)
+    for i, s, t in rows:
+        for key in {norm(x) for x in own(t)}:
+            docs[s, key].append((i is None, i or 0))
+    frequent = {k: min(v) for k, v in docs.items() if len(v) > min(max(hosts[k[0]] * limits.share, limits.min_docs), limits.max_docs)}
+    out = []
+    for i, s, t in rows:
+        n, gone = counts(t)[0], sum(len(WORD.findall(x)) for x in own(t) if (s, norm(x)) in frequent and (not limits.spare_first or frequent[s, norm(x)] != (i is None, i or 0)))
+        failed = n < 10 or 100 * counts(t)[4] > 20 * n
+        out.append((i, gone, not failed and n - gone >= limits.min_words and n - gone >= limits.min_left * n))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("limits", [quality_rules.LineLimits(), quality_rules.LineLimits(share=0.4), quality_rules.LineLimits(max_docs=6, min_docs=2, spare_first=False)])
+def test_frequent_lines_by_brute_force(spark, limits):
+    rng = random.Random(5)
+    stock = [prose(900 + k, rng.randint(3, 14)) for k in range(12)]
+    rows = [(k, rng.choice(["a", "a", "a", "b", None]), "\n".join(rng.sample(stock, rng.randint(0, 4)) + [prose(k, rng.randint(1, 30))])) for k in range(90)]
+    rows += [(200 + k, "a", rows[0][2]) for k in range(15)] + [(300, "b", None), (301, None, ""), (None, "a", rows[1][2])]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    got = [(r.doc_id, r.n_removed_words, r.kept) for r in quality_rules.judge(df, "source", limits).collect()]
+    assert sorted(got, key=str) == brute_kept(rows, limits)
+    assert {r.doc_id for r in quality_rules.clean(df, "source", limits).collect()} == {i for i, _, kept in brute_kept(rows, limits) if kept}
+
+
 def test_measures(spark):
     rng = random.Random(1)
     texts = [" ".join(rng.choice(["a", "b", "c#", "dé", "<e>\n", "\tf\n\n"]) for _ in range(rng.randint(0, 60))) for _ in range(150)] + [None, "", "x\n\nx\nx y\x0b z"]
@@ -40,7 +71,8 @@ def test_frequent_lines(spark):
     rows = [(k, "s", f"Same Line 7 here\n{own(k)}") for k in range(40)] + [(100 + k, "s", "same  line 9 HERE\nsame line 1 here") for k in range(3)] + [(200, "t", "same line 7 here\n" + own(999))]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string")
     limits = quality_rules.LineLimits(min_docs=30, share=0.1)
-    assert [tuple(r)[0:1] + (r.n_docs, r.first_doc) for r in quality_rules.frequent_lines(df, "source", limits).collect()] == [("s", 41, 0)]
+    found = quality_rules.frequent_lines(quality_rules.line_rows(df, "source"), df, "source", limits).collect()
+    assert [(r.host, r.n_docs, r["first"].doc_id) for r in found] == [("s", 43, 0)]
     got = {r.doc_id: (r.n_removed_words, r.kept) for r in quality_rules.judge(df, "source", limits).collect()}
     assert got[0] == (0, True) and got[1] == (4, True) and got[100][1] is False and got[200] == (0, True)
     cleaned = {r.doc_id: r.text for r in quality_rules.clean(df, "source", limits).collect()}

@@ -1,16 +1,16 @@
 """Quality rules: per-document rules, then cross-document line frequency.
 
-Normalised lines are hashed and counted by distinct documents per host; a line above its host's limit is removed
-from every document but the first that has it, and a document that removal leaves depleted is rejected.  Documents
-with equal texts count once, so a text that is merely copied does not make its own lines frequent.
+Normalised lines are hashed and counted by distinct documents per host; a line above its host's limit is removed from every
+document (but, unless ``spare_first`` is off, the first that has it, so that a text does not vanish because it was copied), and
+a document that removal leaves depleted is rejected.
 
-All of it is DataFrame functions.  Lines are exploded as (host, 64-bit hash, id) without their text; counting
-combines on the map side, so a line on a third of all documents is one row a task.  Only lines above the limit meet the
-exploded lines again, in a join that Spark may split at a hot line.
+All of it is DataFrame functions.  Texts are split once, into a stored table of (host, id, content, 64-bit hash) without the
+lines themselves; counting combines on the map side, so a line on a third of all documents is one row a task.  Only lines
+above the limit meet that table again, in a join that Spark may split at a hot line.
 
-Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; rows
-that repeat an id are judged by their own text, and lines removed from any of them count for the id; an empty
-table gives an empty result; other columns pass through, but ``measure`` and ``judge`` replace those of their own names.
+Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; each row counts
+as a document, also rows that repeat an id or have none, and is judged by its own text; an empty table gives an empty
+result; other columns pass through, but ``measure`` and ``judge`` replace those of their own names.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vulnloom.llm.common import SPACE_RUN, SPACES, aside, let, passing, words
+from vulnloom.llm.common import SPACE_RUN, SPACES, aside, let, passing, stored, words
 
 SYMBOLS = "#*$%&|<>"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -30,12 +30,15 @@ VERDICTS = ("n_removed_words", "base_failed", "kept")
 
 @dataclass(frozen=True)
 class LineLimits:
-    """A line is frequent in a host if more documents than both ``min_docs`` and ``share`` of the host's have it."""
+    """A line is frequent in a host if more of its documents have it than ``share`` of them, but at least ``min_docs`` and
+    at most ``max_docs``: the bounds keep a line's fate from hanging on the size of its host."""
 
-    min_docs: int = 30
+    min_docs: int = 5
+    max_docs: int = 100
     share: float = 0.02
     min_words: int = 10
     min_left: float = 0.2
+    spare_first: bool = True
 
 
 def normalised(line: Column) -> Column:
@@ -100,56 +103,66 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
+def _content(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def line_rows(docs: DataFrame, host: str) -> DataFrame:
-    """(host, doc_id, content, line, line_words) for every line with a word."""
-    one = F.transform(lines(docs["text"]), lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words(x)).alias("line_words")))
-    return docs.select(
-        F.col(host).alias("host"), "doc_id", F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("content"), F.explode(one).alias("x")
-    ).select("host", "doc_id", "content", "x.line", "x.line_words")
-
-
-def frequent_lines(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """(host, line, n_docs, first_doc) of the lines above their host's limit."""
-    per_text = line_rows(docs, host).groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
-    per_line = per_text.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
-    texts = docs.select(F.col(host).alias("host"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("content")).distinct()
-    hosts = texts.groupBy("host").agg(F.count("*").alias("host_docs"))
+    """(host, doc_id, content, line): the distinct lines of each document that have a word."""
+    hashes = F.array_distinct(F.transform(lines(docs["text"]), lambda x: F.xxhash64(normalised(x))))
+    return docs.select(F.col(host).alias("host"), "doc_id", _content(docs["text"]).alias("content"), F.explode(hashes).alias("line"))
+
+
+def frequent_lines(rows: DataFrame, docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
+    """(host, line, n_docs, first) of the lines above their host's limit; ``rows`` are the ``line_rows`` of ``docs``.
+
+    ``first``: the document (id, content) that is spared.
+    """
+    per_line = rows.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min(_document(rows)).alias("first"))
+    hosts = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"))
     many = per_line.filter(F.col("n_docs") > limits.min_docs).alias("l")
     met = many.join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
-    return met.filter(F.col("n_docs") > F.col("host_docs") * limits.share).select("l.host", "l.line", "l.n_docs", "l.first_doc")
+    most = F.least(F.greatest(F.col("host_docs") * limits.share, F.lit(float(limits.min_docs))), F.lit(float(limits.max_docs)))
+    return met.filter(F.col("n_docs") > most).select("l.host", "l.line", "l.n_docs", "l.first")
+
+
+def _document(rows: DataFrame) -> Column:
+    """A row's document, ids before none."""
+    return F.struct(rows["doc_id"].isNull().alias("none"), rows["doc_id"].alias("doc_id"), rows["content"].alias("content"))
+
+
+def _with_cuts(docs: DataFrame, host: str, limits: LineLimits) -> DataFrame:
+    """``docs`` with ``_cut``: the hashes of the lines to remove from it, null if none."""
+    rows = stored(line_rows(docs, host), "lines").alias("r")
+    frequent = stored(frequent_lines(rows, docs, host, limits), "frequent").alias("f")
+    hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")))
+    if limits.spare_first:
+        hit = hit.filter(~(F.col("r.doc_id").eqNullSafe(F.col("f.first.doc_id")) & (F.col("r.content") == F.col("f.first.content"))))
+    cut = hit.groupBy(F.col("r.doc_id").alias("_doc"), F.col("r.content").alias("_content")).agg(F.collect_set("r.line").alias("_cut"))
+    return docs.join(cut, docs["doc_id"].eqNullSafe(cut["_doc"]) & (_content(docs["text"]) == cut["_content"]), "left").drop("_doc", "_content")
 
 
 def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """``docs`` with the measures, base_failed, n_removed_words and kept."""
     docs = docs.drop(*MEASURES, *VERDICTS)
-    frequent = frequent_lines(docs, host, limits).alias("f")
-    rows = line_rows(docs, host).alias("r")
-    hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.doc_id") != F.col("f.first_doc")))
-    removed = hit.groupBy(F.col("r.doc_id").alias("_doc"), F.col("r.content").alias("_content")).agg(F.sum("line_words").alias("_removed"))
-    removed = removed.groupBy("_doc", "_content").agg(F.max("_removed").alias("_removed"))
-    measured = measure(docs).withColumn("_own", F.xxhash64(F.coalesce(docs["text"], F.lit(""))))
-    joined = measured.join(removed, (measured["doc_id"] == removed["_doc"]) & (measured["_own"] == removed["_content"]), "left")
-    cut = F.least(F.coalesce(F.col("_removed"), F.lit(0)), F.col("n_words")).cast("long")
-    judged = joined.withColumn("n_removed_words", cut).withColumn("base_failed", base_failed())
+    judged = measure(_with_cuts(docs, host, limits)).withColumn("base_failed", base_failed())
+    gone = F.filter(lines(F.col("text")), lambda x: F.array_contains("_cut", F.xxhash64(normalised(x))))
+    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda t, x: t + F.size(words(x)))
+    judged = judged.withColumn("n_removed_words", F.when(F.col("_cut").isNull(), F.lit(0).cast("long")).otherwise(removed))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < limits.min_words) | (left < limits.min_left * F.col("n_words"))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_doc", "_content", "_own", "_removed")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_cut")
 
 
 def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, in ``docs``' columns, without the lines that were frequent in their host."""
     columns = docs.columns
-    docs, back = aside(docs, *MEASURES)
-    frequent = frequent_lines(docs, host, limits).alias("f")
-    rows = line_rows(docs, host).alias("r")
-    hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")) & (F.col("r.doc_id") != F.col("f.first_doc")))
-    cut = hit.groupBy(F.col("r.doc_id").alias("_doc")).agg(F.collect_set("r.line").alias("_cut"))
-    measured = passing(measure(docs), ~base_failed())
-    joined = measured.join(cut, measured["doc_id"] == cut["_doc"], "left")
+    docs, back = aside(docs, *MEASURES, "_cut", "_left")
+    measured = passing(measure(_with_cuts(docs, host, limits)), ~base_failed())
     stays = lambda x: ~F.array_contains(F.col("_cut"), F.xxhash64(normalised(x)))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
     left = F.size(words(F.col("text")))
-    cleaned = joined.withColumn("text", text).withColumn("_left", left)
+    cleaned = measured.withColumn("text", text).withColumn("_left", left)
     passed = passing(cleaned, (F.col("_left") >= limits.min_words) & (F.col("_left") >= limits.min_left * F.col("n_words")))
     if "n_chars" in columns:
         passed = passed.withColumn("n_chars", F.length("text").cast("long"))

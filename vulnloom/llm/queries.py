@@ -123,12 +123,13 @@ grams AS (
 twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS n FROM grams) WHERE n > 1),
 covered AS (SELECT doc_id, CAST(count(DISTINCT j) AS BIGINT) AS n FROM (SELECT doc_id, unnest(generate_series(i, i + 4)) AS j FROM twice) GROUP BY doc_id),
 line AS (
-  SELECT doc_id, source, text, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
+  SELECT doc_id, source, len(regexp_extract_all(l, '[^\x20\x09-\x0D]+')) AS n,
     trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ') AS key
-  FROM (SELECT doc_id, source, text, unnest(lines) AS l FROM w)),
-per_line AS (SELECT source, key, count(DISTINCT text) AS n_docs, min(doc_id) AS first_doc FROM line GROUP BY source, key),
-host AS (SELECT source, count(DISTINCT text) AS host_docs FROM d GROUP BY source),
-frequent AS (SELECT p.* FROM per_line p JOIN host h ON p.source IS NOT DISTINCT FROM h.source WHERE n_docs > 30 AND n_docs > host_docs * 0.02::DOUBLE),
+  FROM (SELECT doc_id, source, unnest(lines) AS l FROM w)),
+per_line AS (SELECT source, key, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM line GROUP BY source, key),
+host AS (SELECT source, count(*) AS host_docs FROM d GROUP BY source),
+frequent AS (
+  SELECT p.* FROM per_line p JOIN host h ON p.source IS NOT DISTINCT FROM h.source WHERE n_docs > least(greatest(host_docs * 0.02::DOUBLE, 5), 100)),
 removed AS (
   SELECT l.doc_id, CAST(sum(l.n) AS BIGINT) AS n FROM line l JOIN frequent f ON l.key = f.key AND l.source IS NOT DISTINCT FROM f.source AND l.doc_id <> f.first_doc
   GROUP BY l.doc_id),
@@ -136,7 +137,7 @@ m AS (
   SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-    coalesce(c.n, 0) AS n_repeat_words, least(coalesce(r.n, 0), len(words)) AS n_removed_words
+    coalesce(c.n, 0) AS n_repeat_words, coalesce(r.n, 0) AS n_removed_words
   FROM w LEFT JOIN covered c USING (doc_id) LEFT JOIN removed r USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
