@@ -63,4 +63,5 @@ def test_landing(spark, tmp_path):
     for k in (1, 2):
         landing.land(spark, str(src), str(out), str(check)).awaitTermination()
         assert landing.imported(spark, str(out), "sboms").count() == k
+        assert {n: landing.imported(spark, str(out), n).count() for n in ("components", "has_component", "depends_on", "declared_in")} == {"components": 3 * k, "has_component": 3 * k, "depends_on": 2 * k, "declared_in": 2 * k}
         (src / "project=app" / "two.json").write_text(json.dumps(document("urn:2")))

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
-from vulnloom.operators import cases, paths, reports, rules, upserts
+from vulnloom.operators import cases, findings, paths, reports, rules, upserts
 from vulnloom.plans import predicates as P
+from vulnloom.sources import repositories
 
 ROWS = [
     ("alpha/repo", "critical", 9.8, 0.91, True, 92.4, "confirmed_reachable", True, 2, ["required", "runtime"], 1, ["CWE-79", "CWE-94"], "2026-01-10", 3),
@@ -66,6 +67,30 @@ def test_preferred_version(spark):
     assert [r[0] for r in df.select(X.preferred_version(F.col("v"))).collect()] == ["1.13.5", "1.2", None, None, "1.10.0"]
 
 
+def test_call_names(spark):
+    rows = [
+        ("new Runner(...)", "Runner", False), ("$OBJ.fetch(...)", "fetch", False), ("a.b-c.d (x)", "d", False), ("evalAll(...)", "evalAll", False), ("new  a.b(x)", None, False), ("()", None, False),
+        ("plain", None, False), (".$ANY(...)", None, True), ("GET /admin", None, True), ("GETS /admin", None, False), ("/x/y", None, True), ("an Endpoint here", None, True), ("endpoints", None, False),
+        ("@routes.get(x)", None, True), (None, None, False), ("", None, False),
+    ]
+    df = spark.createDataFrame(rows, "p string, name string, weak boolean")
+    assert [tuple(r) for r in df.select("p", rules.called_name(F.col("p")), rules.is_weak(F.col("p"))).collect()] == rows
+
+
+def test_raw_rows(spark):
+    rows = [("9.87654", "YES", " A  b\n c ", "2", {"id": "V", "cvss_score": "1"}), ("n/a", "0", "", "x", {"id": None, "cvss_score": "7"}), ("", None, "a POC", None, None)]
+    df = spark.createDataFrame([(a, b, c, [], d, tuple(v.values()) if v else None) for a, b, c, d, v in rows], "cvss string, kev string, detail_summary string, fix_versions array<string>, depth string, v struct<id:string,cvss_score:string>")
+    got = [(r.cvss, r.kev, r.impact_summary, r.depth, r.vulnerability, r.has_public_poc, r.project, r.fix_versions) for r in findings.evidence(df).collect()]
+    assert got == [(9.8765, True, "A b c", 2, "V", False, None, []), (None, False, None, None, None, None, None, []), (None, None, "a POC", None, None, True, None, [])]
+    assert df.select(findings.snippet(F.lit("abc  def ghi"), 8), findings.snippet(F.lit("abc def"), 7)).first() == ("abc d...", "abc def")
+
+
+def test_inside_tree(spark):
+    paths_ = [("a/b.py", True), ("../b", False), ("a/../b", False), ("/etc", False), ("C:\\x", False), ("a\\..\\b", False), ("a..b/c", True)]
+    df = spark.createDataFrame(paths_, "p string, ok boolean")
+    assert df.filter(repositories.inside_tree(F.col("p")) != F.col("ok")).count() == 0
+
+
 def test_weights():
     with pytest.raises(ValueError):
         X.RiskWeights(0.5, 0.5, 0.5, 0.5)

@@ -232,3 +232,9 @@ def version_key(version: Column) -> Column:
 
 def preferred_version(versions: Column) -> Column:
     return F.array_max(F.transform(F.filter(strings(versions), lambda v: F.length(F.trim(v)) > 0), version_key))["version"]
+
+
+def coarse_ecosystem(component_id: Column) -> Column:
+    """npm, pypi, cargo or other, by the beginning of a component's id."""
+    starts = lambda p: F.startswith(component_id, F.lit(p))
+    return F.when(starts("pkg:npm"), "npm").when(starts("pkg:pypi"), "pypi").when(starts("pkg:cargo"), "cargo").otherwise("other")

@@ -115,6 +115,21 @@ def top_alerts(g: Graph, n: int = 20, weights: X.RiskWeights = X.RiskWeights())
     return full.orderBy(*by_risk(full)).limit(n)
 
 
+def two_sources(stored_rows: DataFrame, landed: DataFrame) -> DataFrame:
+    """Reachability rows of the store with landed ones on top: their order continues the store's, so merges see them later.
+
+    Landed verdicts and locations may be missing; a missing verdict is no_sink_data.
+    """
+    columns = ["project", "vuln_id", F.coalesce("verdict", F.lit("no_sink_data")).alias("verdict"), X.strings(F.col("call_locations")).alias("call_locations"), "seq", "source"]
+    both = stored_rows.withColumn("source", F.lit(0)).select(*columns).unionByName(landed.withColumn("source", F.lit(1)).select(*columns))
+    return both.filter("vuln_id IS NOT NULL AND vuln_id <> ''").withColumn("seq", F.struct("source", "seq")).drop("source")
+
+
+def with_findings(rows: DataFrame) -> DataFrame:
+    """Enterprise rows without the ones that only say a scan has no finding."""
+    return rows.filter("NOT (vuln_id IS NULL AND internal_id IS NULL AND coalesce(component_count, 0) = 0)")
+
+
 def enterprise_alerts(g: Graph, projects: list[str] | None = None) -> DataFrame:
     """Alerts of several projects; a latest scan without findings is kept as one row without a vulnerability."""
     scans = latest_sboms(g.sboms)

@@ -97,6 +97,12 @@ def baseline_run(runs: DataFrame, snapshots: DataFrame, last: int = 10) -> DataF
     return fit.withColumn("k", F.row_number().over(newest)).filter("k = 1").select("project", "run_id", "scan_id")
 
 
+def recent_runs(runs: DataFrame, n: int) -> DataFrame:
+    """(project, run_id, scan_id, n): the newest runs of each project, numbered."""
+    newest = Window.partitionBy("project").orderBy(F.desc("generated_at"), F.desc("run_id"))
+    return runs.withColumn("n", F.row_number().over(newest)).filter(F.col("n") <= n).select("project", "run_id", "scan_id", "n")
+
+
 def delta(old: DataFrame, new: DataFrame, least: float = 0.01) -> DataFrame:
     """Changed cases between two snapshots of the same projects, with what changed and advice on closing."""
     cols = ["risk_score", "reachability_verdict", "fix_available", "status"]

@@ -59,3 +59,34 @@ def unique_items(items: DataFrame, group: list[str], text: str, seq: str) -> Dat
     """The first of each text in its group, whatever its case, in order."""
     first = Window.partitionBy(*group, F.lower(F.trim(text))).orderBy(seq)
     return items.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n").orderBy(*group, seq)
+
+
+def replace_runs(old: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:
+    """Rows of runs, those of a run that is recorded again replaced as a whole.
+
+    Stored partitioned by the run, only the new runs' partitions are written; here the whole table is returned.
+    """
+    return old.join(new.select(key).distinct(), key, "left_anti").select(*old.columns).unionByName(new, allowMissingColumns=True)
+
+
+def scan_totals(scans: DataFrame, components: DataFrame, affected: DataFrame) -> DataFrame:
+    """Per scan of ``scans`` (project, scan_id): listed components, those with a vulnerability, and vulnerability links.
+
+    ``components`` (scan_id, component_id), ``affected`` (component_id, vuln).
+    """
+    links = affected.groupBy("component_id").agg(F.count("*").alias("n"))
+    met = scans.select("project", "scan_id").join(components.select("scan_id", "component_id").distinct(), "scan_id").join(links, "component_id", "left")
+    return met.groupBy("project", "scan_id").agg(F.count("*").alias("total_components"), F.count("n").alias("vulnerable_components"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_vulnerabilities"))
+
+
+def summary_totals(summaries: DataFrame) -> DataFrame:
+    """One row over merged summaries: projects, those with vulnerabilities, and sums."""
+    return summaries.agg(
+        F.count("*").alias("projects"), F.count_if(F.col("vulnerable_components") > 0).alias("with_vulnerabilities"),
+        F.coalesce(F.sum("vulnerable_components"), F.lit(0)).alias("vulnerable_components"), F.coalesce(F.sum("total_vulnerabilities"), F.lit(0)).alias("vulnerabilities"),
+    )
+
+
+def edges_upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges of both without repeats: an edge that is there stays as it is."""
+    return old.select(*keys).unionByName(new.select(*keys)).distinct()

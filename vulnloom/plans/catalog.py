@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -628,9 +629,16 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries()["alerts_top"](spark, sf_dir)
 
 
+def _whole() -> dict[str, tuple[Callable[[Graph], DataFrame], str | None]]:
+    """The registry with the modules that add to it."""
+    for module in ("findings_catalog", "ingest_catalog"):
+        importlib.import_module(f"vulnloom.plans.{module}")
+    return REGISTRY
+
+
 def queries() -> dict[str, Query]:
-    return {name: lambda spark, sf_dir, b=build: b(graph(spark, sf_dir)) for name, (build, _) in REGISTRY.items()}
+    return {name: lambda spark, sf_dir, b=build: b(graph(spark, sf_dir)) for name, (build, _) in _whole().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for name, (_, sql) in REGISTRY.items() if sql}
+    return {name: sql for name, (_, sql) in _whole().items() if sql}

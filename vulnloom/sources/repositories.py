@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 #: How search results are cut.
 PER_LANGUAGE, LEAST_STARS, LEAST_KB, MOST_KB = 20, 100, 10_000, 20_000
-BLACKLIST = "awesome|tutorial|interview|book|course|roadmap|cheatsheet"
+BLACKLIST = ["awesome", "tutorial", "example", "demo", "boilerplate", "starter", "template", "learning", "course", "sample"]
 
 GROUND_TRUTH = "repo_full_name string, vulnerable_commit string, patched_commit string, cves array<string>, ground_truth_label string, pr_url string, closed_at string, merged_at string"
 
@@ -18,6 +18,38 @@ def full_name(link: Column) -> Column:
     return F.nullif(F.regexp_extract(clean, r"^(?:(?:https?://|git@)[^/:]+[/:])?([\w.-]+/[\w.-]+?)(?:\.git)?(?:@\w+)?$", 1), F.lit(""))
 
 
+def blacklisted(text: Column) -> Column:
+    """Whether a name or description says that a repository is no software of its own."""
+    low, named = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)
+    for word in BLACKLIST:
+        named = named | F.contains(low, F.lit(word))
+    return named
+
+
+def repository_url(url: Column) -> Column:
+    """A repository's https address without trailing slashes, '' if it is none of the known host."""
+    clean = F.translate(F.trim(url), "\\", "/")
+    return F.when(F.startswith(F.lower(clean), F.lit("https://github.com/")), F.regexp_replace(clean, "/+$", "")).otherwise("")
+
+
+def looked_up(names: DataFrame, repos: DataFrame) -> DataFrame:
+    """``names`` (name) with the repository they mean: by its key, else by its full name, else by that in any case.
+
+    ``repos`` (metadata_key, full_name).  Names that mean none are left out.
+    """
+    one = lambda key, k: repos.filter(key.isNotNull() & (key != "")).groupBy(key.alias(f"_k{k}")).agg(F.max("full_name").alias(f"_f{k}"))
+    by = [(F.col("metadata_key"), F.col("name")), (F.col("full_name"), F.col("name")), (F.lower("full_name"), F.lower("name"))]
+    out = names
+    for k, (key, name) in enumerate(by):
+        out = out.join(one(key, k), name == F.col(f"_k{k}"), "left")
+    return out.withColumn("full_name", F.coalesce("_f0", "_f1", "_f2")).filter("full_name IS NOT NULL").select(*names.columns, "full_name")
+
+
+def catalogue(projects: DataFrame) -> DataFrame:
+    """The list of projects, by name."""
+    return projects.select("project", F.coalesce("language", F.lit("Unknown")).alias("language"), "package_manager").distinct().orderBy("project")
+
+
 def read_links(spark: SparkSession, path: str) -> DataFrame:
     """(full_name, link): lines of a text file; comments and blank lines are skipped."""
     lines = spark.read.text(path).select(F.trim("value").alias("link")).filter("link <> '' AND NOT startswith(link, '#')")
@@ -31,7 +63,7 @@ def canonical_project(name: Column) -> Column:
 
 def searched(repos: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The most starred repositories of each language within the size and star limits; (full_name, language, stars, size_kb)."""
-    fit = repos.filter((F.col("stars") >= LEAST_STARS) & F.col("size_kb").between(LEAST_KB, MOST_KB) & ~F.lower("full_name").rlike(BLACKLIST))
+    fit = repos.filter((F.col("stars") >= LEAST_STARS) & F.col("size_kb").between(LEAST_KB, MOST_KB) & ~blacklisted(F.col("full_name")))
     order = Window.partitionBy("language").orderBy(F.desc("stars"), "full_name")
     return fit.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= per_language)
 
@@ -51,6 +83,12 @@ def path_index(*indexes: DataFrame) -> DataFrame:
     return both.groupBy("full_name").agg(F.min_by("path", F.struct("k", "path")).alias("path"))
 
 
+def inside_tree(path: Column) -> Column:
+    """Whether a path stays in the tree it is relative to."""
+    clean = F.translate(path, "\\", "/")
+    return ~F.array_contains(F.split(clean, "/"), "..") & ~F.startswith(clean, F.lit("/")) & ~clean.rlike("^[A-Za-z]:")
+
+
 def snippets(lines: DataFrame, locations: DataFrame, radius: int = 3) -> DataFrame:
     """(path, line, snippet): numbered source lines around each location, the focus marked.
 
@@ -58,7 +96,7 @@ def snippets(lines: DataFrame, locations: DataFrame, radius: int = 3) -> DataFra
     one on the block of lines it lies in, so a long file does not meet all of its locations.  Paths that leave the tree are dropped.
     """
     width = 2 * radius + 1
-    wanted = locations.filter(~F.col("path").rlike(r"(^|/)\.\.(/|$)|^/")).distinct()
+    wanted = locations.filter(inside_tree(F.col("path"))).distinct()
     first, last = F.floor((F.col("line") - radius) / width), F.floor((F.col("line") + radius) / width)
     blocks = wanted.select("path", "line", F.explode(F.sequence(first, last)).alias("block"))
     met = lines.withColumn("block", F.floor(F.col("number") / width)).join(blocks, ["path", "block"]).filter(F.abs(F.col("number") - F.col("line")) <= radius)

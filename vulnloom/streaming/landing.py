@@ -14,12 +14,12 @@ from vulnloom.sources import sbom
 
 
 def land(spark: SparkSession, folder: str, target: str, checkpoint: str, files_per_batch: int = 1000) -> StreamingQuery:
-    """Imports what is new in ``folder`` (sub-folders named project=NAME) into tables under ``target``, then ends."""
+    """Imports what is new in ``folder`` (sub-folders named project=NAME) into the five graph tables under ``target``, then ends."""
     docs = spark.readStream.schema(f"{sbom.SCHEMA}, project string").option("multiLine", True).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
     def write(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        for name, df in {"sboms": sbom.metadata(batch).drop("root"), "components": sbom.components(batch), "dependencies": sbom.dependencies(batch)}.items():
+        for name, df in sbom.graph_tables(batch).items():
             df.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
         batch.unpersist()
 
