@@ -4,9 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
-from vulnloom.operators import cases, findings, paths, reports, rules, upserts
+from vulnloom.operators import cases, findings, paths, portfolio, reports, rules, upserts
 from vulnloom.plans import predicates as P
-from vulnloom.sources import repositories
+from vulnloom.sources import advisories, repositories
 
 ROWS = [
     ("alpha/repo", "critical", 9.8, 0.91, True, 92.4, "confirmed_reachable", True, 2, ["required", "runtime"], 1, ["CWE-79", "CWE-94"], "2026-01-10", 3),
@@ -85,6 +85,31 @@ def test_raw_rows(spark):
     assert df.select(findings.snippet(F.lit("abc  def ghi"), 8), findings.snippet(F.lit("abc def"), 7)).first() == ("abc d...", "abc def")
 
 
+def test_class_rules(spark):
+    """A method of a class is also looked for on what the class makes; of sinks with one rule id the first wins."""
+    rows = [("CVE-1", "lib", "npm", "runIt", "Engine", None, "function_call", "x", 0.9, 2), ("CVE-1", "other", "npm", "runIt", None, None, "function_call", "x", 0.9, 5), ("CVE-2", "a-b", "pypi", "load", "Box", "Box.load(...)", "constructor", "x", 0.9, 1)]
+    got = {(r.vuln_id, r.tier): r for r in rules.rules(spark.createDataFrame(rows, rules.SINKS)).collect()}
+    assert len(got) == 4 and {r.package_name for r in got.values()} == {"lib", "a-b"}
+    patterns = got["CVE-1", "direct"].patterns
+    assert "import { Engine } from 'lib'; ... $OBJ = new Engine(...); ... $OBJ.runIt(...)" in patterns and "const { runIt: $FN } = require('lib'); ... $FN(...)" in patterns
+    assert got["CVE-2", "direct"].patterns[:2] == ["Box.load(...)", "import a_b ... a_b.Box(...)"] and not any("$OBJ =" in p for p in got["CVE-2", "direct"].patterns)
+
+
+def test_patches_and_hosts(spark):
+    text = "From x\ndiff --git a b\n--- a\n+++ b\n@@ -1 +1 @@\n same\n-old\r\n+new"
+    df = spark.createDataFrame([("1", text), ("2", "nothing"), ("3", None)], "id string, text string")
+    assert {r.id: r.changed for r in advisories.patch_lines(df).collect()} == {"1": "diff --git a b\n@@ -1 +1 @@\n-old\n+new", "2": "", "3": None}
+    assert advisories.patch_lines(df, 10).filter("id = '1'").first().changed == "diff --git\n... [cut]"
+    urls = spark.createDataFrame([("https://Docs.example.org/x", True), ("ftp://docs.example.org/", False), ("https://example.org", False), (None, False), ("words", False)], "u string, ok boolean")
+    assert urls.filter(advisories.allowed(F.col("u"), ["docs.example.org"]) != F.col("ok")).count() == 0
+
+
+def test_languages(spark):
+    rows = [("Go", "npm", None, "Go"), (" ", "PIP", None, "Python"), (None, "cargo", None, "Cargo"), (None, None, "pkg:maven/a", "Java"), (None, "", "x", "Unknown"), (None, None, None, "Unknown")]
+    df = spark.createDataFrame(rows, "l string, m string, c string, want string")
+    assert [r[0] for r in df.select(portfolio.language_of(F.col("l"), F.col("m"), F.col("c"))).collect()] == [r[3] for r in rows]
+
+
 def test_inside_tree(spark):
     paths_ = [("a/b.py", True), ("../b", False), ("a/../b", False), ("/etc", False), ("C:\\x", False), ("a\\..\\b", False), ("a..b/c", True)]
     df = spark.createDataFrame(paths_, "p string, ok boolean")
@@ -201,7 +226,7 @@ def test_texts(spark):
 
 
 def test_repository_names(spark, tmp_path):
-    from vulnloom.sources import repositories
+    from vulnloom.sources import advisories, repositories
 
     (tmp_path / "links.txt").write_text("# c\n\nhttps://github.com/a/b.git\norg/name@abc\n git@host.org:x/y/ \nnot a link\nhttps://h.org/p.q/r-s\n")
     assert [r.full_name for r in repositories.read_links(spark, str(tmp_path / "links.txt")).collect()] == ["a/b", "org/name", "x/y", "p.q/r-s"]

@@ -127,8 +127,8 @@ def first_given(df: DataFrame, *names: str) -> Column:
     return F.coalesce(*found, F.lit(None).cast("string"))
 
 
-def evidence(rows: DataFrame) -> DataFrame:
-    """Raw retrieval rows, whatever columns they have, as evidence records of one shape.
+def evidence(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Raw retrieval rows, whatever columns they have, as evidence records of one shape (and the columns of ``also``).
 
     Flat columns are preferred over fields of the nodes p (project), c (component), v (vulnerability) and l (location).
     """
@@ -154,6 +154,7 @@ def evidence(rows: DataFrame) -> DataFrame:
         lists("dependency_chain", "chain").alias("dependency_chain"),
         pick("depth", "dependency_depth", "target_depth").try_cast("int").alias("depth"),
         number(pick("risk_score")).alias("risk_score"),
+        *also,
     )
 
 
@@ -262,3 +263,41 @@ def checkpoint(deltas: DataFrame, baselines: DataFrame, counts: DataFrame) -> Da
     trigger = F.when(F.col("fix_now") > 0, "after remediation merges").when(F.col("plan") > 0, "after the planned release").otherwise("next scan")
     note = F.when(known & moved, F.concat(F.lit("Compared with "), "baseline", F.lit(": remediation shows."))).when(known, F.concat(F.lit("Compared with "), "baseline", F.lit(": no remediation shows yet."))).otherwise("No baseline yet; the next scan sets it.")
     return met.select("project", (known & moved).alias("meaningful"), trigger.alias("trigger"), note.alias("note"))
+
+
+def narrative(posture: DataFrame, counts: DataFrame, first: DataFrame) -> DataFrame:
+    """(project, text): a short account of each project, made of its counts and its first cluster."""
+    met = counts.select("project", "total", "fix_now", "plan", "mitigate", "with_fix").join(posture.select("project", "posture", "critical_high"), "project", "left").join(first.filter("rank = 1").select("project", "component", "version"), "project", "left")
+    lead = F.format_string("%d findings, %d of them severe and open; exposure is %s.", F.col("total"), F.coalesce("critical_high", F.lit(0)), F.coalesce("posture", F.lit("low")))
+    work = F.format_string("%d to fix now, %d to plan, %d to mitigate; %d have a fix.", F.col("fix_now"), F.col("plan"), F.col("mitigate"), F.col("with_fix"))
+    start = F.when(F.col("component").isNotNull(), F.format_string("Begin with %s %s.", F.col("component"), F.col("version"))).otherwise("Nothing is open.")
+    return met.select("project", F.concat_ws(" ", lead, work, start).alias("text"))
+
+
+def normalised_cases(rows: DataFrame) -> DataFrame:
+    """Raw rows as cases of one shape: what is missing gets a name that says so, what is not given follows from the rest.
+
+    ``rows`` may have scope, reachability_verdict, call_locations, decision_tier and status; a tier or status that is none is
+    replaced by the default.
+    """
+    shaped = _with_extra(rows, [c for c in ("scope", "reachability_verdict", "call_locations", "decision_tier", "status", "scan_id") if c in rows.columns])
+    has_fix, kev = F.size("fix_versions") > 0, F.coalesce("kev", F.lit(False))
+    verdict = F.coalesce(F.nullif("reachability_verdict", F.lit("")), F.lit("no_sink_data"))
+    calls, chain = F.size("call_locations") > 0, F.size("dependency_chain") > 0
+    tier = X.decision_tier(kev, F.col("risk_score"), verdict, has_fix)
+    clean = F.lower(F.trim("decision_tier"))
+    return shaped.select(
+        F.coalesce("project", F.lit("unknown-project")).alias("project"), F.coalesce("vulnerability", F.lit("unknown-vulnerability")).alias("vuln_id"), F.coalesce("component", F.lit("unknown-component")).alias("component_name"),
+        F.col("version").alias("component_version"), "cvss", "epss", "kev", X.severity(F.col("cvss"), F.col("kev")).alias("severity"), "fix_versions", F.col("depth").alias("dependency_depth"), verdict.alias("reachability_verdict"),
+        X.confidence(verdict, calls, chain, has_fix).alias("evidence_confidence"), F.when(clean.isin(*X.TIERS), clean).otherwise(tier).alias("decision_tier"), X.valid_status(F.col("status")).alias("status"),
+        snippet(F.col("detail_summary"), 420).alias("advisory_summary"), snippet(F.col("detail_summary"), 320).alias("impact_summary"),
+    )
+
+
+def _with_extra(rows: DataFrame, extra: list[str]) -> DataFrame:
+    """``evidence`` of the rows beside the columns that it does not have; missing ones are null or empty."""
+    shaped = evidence(rows, [*extra])
+    for name, kind in {"scope": "string", "reachability_verdict": "string", "decision_tier": "string", "status": "string", "call_locations": "array<string>"}.items():
+        if name not in extra:
+            shaped = shaped.withColumn(name, F.lit(None).cast(kind))
+    return shaped.withColumn("call_locations", X.strings(F.col("call_locations")))

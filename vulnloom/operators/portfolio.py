@@ -50,10 +50,21 @@ def by_dependency(alerts: DataFrame, n: int = 10) -> DataFrame:
     return one.orderBy(F.desc("risk"), F.desc("alerts"), "component").limit(n)
 
 
+LANGUAGES = {"npm": "JavaScript", "pip": "Python", "pypi": "Python", "maven": "Java"}
+
+
+def language_of(language: Column, manager: Column, component_id: Column) -> Column:
+    """A project's language: as given, else by its package manager, else by the kind of a component, else Unknown."""
+    kind = F.nullif(F.lower(F.regexp_extract(component_id, "^pkg:([^/]+)", 1)), F.lit(""))
+    low = F.nullif(F.lower(F.trim(manager)), F.lit(""))
+    named = lambda c: X.lookup(c, LANGUAGES, F.initcap(c))
+    return F.coalesce(F.nullif(F.trim(language), F.lit("")), F.when(low.isNotNull(), named(low)), F.when(kind.isNotNull(), named(kind)), F.lit("Unknown"))
+
+
 def heatmap(alerts: DataFrame, projects: DataFrame) -> DataFrame:
-    """Alerts by language and severity; a missing language follows from the package manager."""
-    language = F.coalesce("language", X.lookup(F.col("package_manager"), {"npm": "JavaScript", "pip": "Python", "maven": "Java"}), F.lit("Unknown"))
-    met = alerts.join(projects, "project").withColumn("language", language)
+    """Alerts by language and severity; a missing language follows from the package manager, else from the components."""
+    kind = alerts.groupBy(F.col("project").alias("_p")).agg(F.min(F.array_min(F.filter("all_component_ids", lambda x: F.startswith(x, F.lit("pkg:"))))).alias("_c"))
+    met = alerts.join(projects, "project").join(kind, F.col("project") == F.col("_p")).withColumn("language", language_of(F.col("language"), F.col("package_manager"), F.col("_c")))
     return met.groupBy("language").agg(*[F.count_if(X.portfolio_severity(F.col("cvss")) == s).alias(s.lower()) for s in ("Critical", "High", "Medium", "Low")])
 
 
@@ -90,3 +101,17 @@ def completeness(alerts: DataFrame) -> DataFrame:
     names = ("cvss", "epss", "published", "fix_versions", "cwe", "call_locations", "all_scopes")
     missing = [F.when(F.coalesce(F.size(c) == 0 if c in lists else F.col(c).isNull(), F.lit(True)), F.lit(c)) for c in names]
     return alerts.select("project", "vuln_id", F.array_join(F.array_compact(F.array(*missing)), "|").alias("missing"))
+
+
+def stakeholder_inputs(alerts: DataFrame, components: int = 20, vulns: int = 10) -> DataFrame:
+    """Per project what a report for stakeholders starts from: counts, verdicts, the commonest components, the first alerts."""
+    verdict = lambda v: F.count_if(F.coalesce("reachability_verdict", F.lit("no_sink_data")) == v).alias(v)
+    counts = alerts.groupBy("project").agg(
+        F.count("*").alias("total"), F.count_if(F.col("severity").isin("critical", "high")).alias("critical_high"), F.count_if("kev").alias("kev"), F.count_if(F.size("fix_versions") > 0).alias("with_fix"),
+        *[verdict(v) for v in X.VERDICT_RANK],
+    )
+    ranked = lambda df, order, most, shown, name: df.withColumn("_k", F.row_number().over(Window.partitionBy("project").orderBy(*order))).filter(F.col("_k") <= most).groupBy("project").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_k", shown.alias("s")))), lambda x: x["s"]), "|").alias(name))
+    named = alerts.select("project", F.explode("all_components").alias("component")).filter(F.trim("component") != "").groupBy("project", "component").agg(F.count("*").alias("n"))
+    top = ranked(named, (F.desc("n"), "component"), components, F.concat_ws(":", "component", F.col("n").cast("string")), "components")
+    order = [F.desc_nulls_last("risk_score"), F.asc_nulls_last("closest_depth"), F.desc_nulls_last("published"), "vuln_id"]
+    return counts.join(top, "project", "left").join(ranked(alerts, order, vulns, F.col("vuln_id"), "vulns"), "project", "left")

@@ -511,8 +511,10 @@ register(
   replace(replace(array_to_string(CASE tier WHEN 'direct' THEN list_concat(CASE WHEN call_pattern IN ('new Runner(...)', 'evalAll(...)') AND call_pattern <> coalesce(name, '') || '()' THEN [call_pattern] ELSE CAST([] AS VARCHAR[]) END,
       CASE ecosystem
       WHEN 'npm' THEN ['const $MOD = require(''<pkg>''); ... $MOD.<fn>(...)', 'import $MOD from ''<pkg>''; ... $MOD.<fn>(...)', 'import * as $MOD from ''<pkg>''; ... $MOD.<fn>(...)',
-        'const {{ <fn> }} = require(''<pkg>''); ... <fn>(...)', 'import {{ <fn> }} from ''<pkg>''; ... <fn>(...)', 'require(''<pkg>'').<fn>(...)']
-      WHEN 'pypi' THEN ['import <pkg> ... <pkg>.<fn>(...)', 'import <pkg> as $MOD ... $MOD.<fn>(...)', 'from <pkg> import <fn> ... <fn>(...)', 'from <pkg> import <fn> as $FN ... $FN(...)']
+        'const {{ <fn> }} = require(''<pkg>''); ... <fn>(...)', 'import {{ <fn> }} from ''<pkg>''; ... <fn>(...)', 'require(''<pkg>'').<fn>(...)',
+        'const {{ <fn>: $FN }} = require(''<pkg>''); ... $FN(...)', 'import {{ <fn> as $FN }} from ''<pkg>''; ... $FN(...)', 'const $MOD = await import(''<pkg>''); ... $MOD.<fn>(...)']
+      WHEN 'pypi' THEN ['import <pkg> ... <pkg>.<fn>(...)', 'import <pkg> as $MOD ... $MOD.<fn>(...)', 'from <pkg> import <fn> ... <fn>(...)', 'from <pkg> import <fn> as $FN ... $FN(...)',
+        'from <pkg>.$SUB import <fn> ... <fn>(...)', 'import <pkg>.$SUB ... <pkg>.$SUB.<fn>(...)']
       ELSE ['$PKG.<fn>(...)'] END)
     ELSE CASE ecosystem WHEN 'npm' THEN ['require(''<pkg>'')', 'import $X from ''<pkg>'''] WHEN 'pypi' THEN ['import <pkg>', 'from <pkg> import $X'] ELSE ['import <pkg>'] END END, '|'), '<pkg>', pkg), '<fn>', coalesce(name, '')) AS patterns
 FROM (SELECT *, unnest(CASE WHEN weak OR name IS NULL THEN ['import'] ELSE ['direct', 'import'] END) AS tier FROM (

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vulnloom.functions import exprs as X
-from vulnloom.operators import alerts, cases, findings, reports, scenarios, upserts
+from vulnloom.operators import alerts, cases, findings, paths, portfolio, reports, rules, scenarios, upserts
 from vulnloom.plans import oracle as O
-from vulnloom.plans.catalog import CASES, CLOSED_SQL, COMPONENT, DELTA, PROJECT, REGISTRY, REPOS_SQL, SINCE, VULN, _alert_keys, _cases, _delta, _repos, _runs, _share, _states, flat, register
+from vulnloom.plans.catalog import CASES, CLOSED_SQL, COMPONENT, DELTA, PROJECT, REGISTRY, REPOS_SQL, SINCE, VULN, _alert_keys, _cases, _delta, _repos, _runs, _scan_graph, _share, _states, flat, register
 from vulnloom.sources import repositories
 from vulnloom.sources.testbed import Graph
 
@@ -192,6 +192,68 @@ register(
   SELECT package_name, function_name AS label, coalesce(call_pattern, 'None listed') AS value, row_number() OVER (PARTITION BY package_name ORDER BY seq) - 1 AS k FROM sinks WHERE function_name IS NOT NULL) GROUP BY package_name, k // 2"""),
 )
 
+register(
+    "report_narrative",
+    lambda g: findings.narrative(reports.posture(_cases(g)), reports.action_counts(_cases(g)), reports.top_clusters(reports.clusters(_cases(g)))),
+    O.over(
+        f"""SELECT c.project, concat(total, ' findings, ', coalesce(severe, 0), ' of them severe and open; exposure is ', coalesce(posture, 'low'), '. ', fix_now, ' to fix now, ', plan, ' to plan, ', mitigate, ' to mitigate; ', with_fix, ' have a fix. ',
+  CASE WHEN t.component IS NOT NULL THEN 'Begin with ' || t.component || ' ' || t.version || '.' ELSE 'Nothing is open.' END) AS text
+FROM (SELECT project, count(*) AS total, count_if(decision_tier = 'fix_now') AS fix_now, count_if(decision_tier = 'plan_remediation') AS plan, count_if(decision_tier = 'mitigate') AS mitigate, count_if(has_fix) AS with_fix FROM cases GROUP BY project) c
+LEFT JOIN (SELECT project, severe, CASE WHEN k > 0 OR a > 0 OR f > 0 THEN 'elevated' WHEN severe > 0 OR b > 0 THEN 'moderate' ELSE 'low' END AS posture FROM (
+  SELECT project, count_if(severity IN ('critical', 'high')) AS severe, count_if(kev) AS k, count_if(reachability_verdict = 'confirmed_reachable') AS a, count_if(reachability_verdict = 'likely_reachable') AS b,
+    count_if(decision_tier = 'fix_now') AS f FROM cases WHERE NOT {CLOSED_SQL} GROUP BY project)) p ON p.project = c.project
+LEFT JOIN top_clusters t ON t.project = c.project AND t.rank = 1""",
+        CASES + O.AREAS + O.CLUSTERS + O.TOP_CLUSTERS,
+    ),
+)
+register(
+    "stakeholder_inputs",
+    lambda g: portfolio.stakeholder_inputs(alerts.alerts(g)),
+    O.over("""SELECT c.*, v.vulns, t.components FROM (
+  SELECT project, count(*) AS total, count_if(severity IN ('critical', 'high')) AS critical_high, count_if(kev) AS kev, count_if(len(fix_versions) > 0) AS with_fix,
+    count_if(reachability_verdict = 'confirmed_reachable') AS confirmed_reachable, count_if(reachability_verdict = 'likely_reachable') AS likely_reachable, count_if(reachability_verdict = 'uncertain') AS uncertain,
+    count_if(reachability_verdict = 'likely_unreachable') AS likely_unreachable, count_if(reachability_verdict = 'no_sink_data') AS no_sink_data FROM alerts GROUP BY project) c
+LEFT JOIN (SELECT project, array_to_string(list(vuln_id ORDER BY k), '|') AS vulns FROM (
+  SELECT *, row_number() OVER (PARTITION BY project ORDER BY risk_score DESC NULLS LAST, closest_depth ASC NULLS LAST, published DESC NULLS LAST, vuln_id) AS k FROM alerts) WHERE k <= 10 GROUP BY project) v ON v.project = c.project
+LEFT JOIN (SELECT project, array_to_string(list(component || ':' || n ORDER BY k), '|') AS components FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY n DESC, component) AS k FROM (
+  SELECT project, component, count(*) AS n FROM (SELECT project, unnest(all_components) AS component FROM alerts) GROUP BY project, component)) WHERE k <= 20 GROUP BY project) t ON t.project = c.project""", O.ALERTS),
+)
+register(
+    "verdict_counts",
+    lambda g: rules.verdict_counts(rules.verdicts(rules.rules(g.sinks), rules.hits(g.findings, "repo"), g.vulns.select(F.col("id").alias("vuln_id")))),
+    "SELECT verdict, count(*) AS n FROM (" + REGISTRY["finding_verdicts"][1] + ") GROUP BY verdict",
+)
+register(
+    "normalised_cases",
+    lambda g: flat(findings.normalised_cases(
+        _raw(g).withColumns({"decision_tier": F.when(F.col("depth") == 1, "Mitigate").when(F.col("depth") == 2, "soon"), "status": F.when(F.col("depth") == 3, "accepted_risk").when(F.col("depth") == 4, "TRIAGED"),
+                             "reachability_verdict": F.when(F.col("depth") % 2 == 0, "likely_reachable")}).drop("c")
+    ), ()),
+    O.over(f"""SELECT *, CASE WHEN kev THEN 'critical' WHEN cvss >= 9 THEN 'critical' WHEN cvss >= 7 THEN 'high' WHEN cvss >= 4 THEN 'medium' ELSE 'low' END AS severity FROM (
+  SELECT project, vuln AS vuln_id, 'unknown-component' AS component_name, CAST(NULL AS VARCHAR) AS component_version, CASE WHEN depth % 3 <> 0 THEN round(cvss, 4) END AS cvss, round(epss, 4) AS epss, kev, {O.bar("fix_versions")},
+    CAST(depth AS INT) AS dependency_depth, CASE WHEN depth % 2 = 0 THEN 'likely_reachable' ELSE 'no_sink_data' END AS reachability_verdict,
+    CASE WHEN depth % 2 = 0 THEN 'medium' WHEN len(fix_versions) > 0 THEN 'medium' ELSE 'low' END AS evidence_confidence,
+    CASE WHEN depth = 1 THEN 'mitigate' WHEN depth % 2 = 0 THEN 'fix_now' WHEN kev AND len(fix_versions) > 0 THEN 'plan_remediation' WHEN kev THEN 'mitigate' ELSE 'monitor' END AS decision_tier,
+    CASE WHEN depth = 3 THEN 'planned' WHEN depth = 4 THEN 'triaged' ELSE 'new' END AS status,
+    summary || CASE WHEN kev THEN ' ## Proof of Concept: send it' ELSE '' END AS advisory_summary, summary || CASE WHEN kev THEN ' ## Proof of Concept: send it' ELSE '' END AS impact_summary FROM exposures)"""),
+)
+
+
+def _virtual(g: Graph) -> DataFrame:
+    """Heads of pruned graphs, those at even depths taken as virtual."""
+    edges, roots = _scan_graph(g)
+    pruned = paths.prune_flat(edges, roots)
+    return paths.replace_virtual(paths.sources_only(pruned, roots), pruned, g.has_component.filter("depth % 2 = 1").select("scan_id", F.col("component_id").alias("node")))
+
+
+register(
+    "virtual_heads",
+    _virtual,
+    O.over("""SELECT h.scan_id, h.node FROM heads h JOIN real r ON r.scan_id = h.scan_id AND r.node = h.node
+UNION SELECT h.scan_id, p.dst FROM heads h JOIN pruned p ON p.scan_id = h.scan_id AND p.src = h.node WHERE NOT EXISTS (SELECT 1 FROM real r WHERE r.scan_id = h.scan_id AND r.node = h.node)""",
+           O.BASE + "," + O.DIRECT_SQL + ", real AS (SELECT scan_id, component_id AS node FROM has_component WHERE depth % 2 = 1)"),
+)
+
 # --- repositories, writes and totals ------------------------------------------------------------------------------
 
 K = "CAST(substr(full_name, -9) AS BIGINT)"

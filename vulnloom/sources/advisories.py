@@ -100,3 +100,15 @@ def package_name(records: DataFrame) -> DataFrame:
     """(id, package_name): the first affected package, else the tail of its repository address."""
     repo = F.regexp_extract(F.get(F.get("affected", F.lit(0))["ranges"], F.lit(0))["repo"], r"([^/]+?)(?:\.git)?/?$", 1)
     return records.select("id", F.coalesce(F.get("affected", F.lit(0))["package"]["name"], F.nullif(repo, F.lit(""))).alias("package_name"))
+
+
+def patch_lines(patches: DataFrame, most: int = 8000) -> DataFrame:
+    """(id, changed): of each patch (id, text) the file heads, the places and the lines that change, ``most`` characters at most."""
+    changed = F.filter(F.split("text", "\r?\n"), lambda x: F.startswith(x, F.lit("diff --git")) | F.startswith(x, F.lit("@@")) | (x.rlike("^[+-]") & ~x.rlike(r"^(\+\+\+|---)")))
+    whole = F.array_join(changed, "\n")
+    return patches.select("id", F.when(F.length(whole) > most, F.concat(F.substring(whole, 1, most), F.lit("\n... [cut]"))).otherwise(whole).alias("changed"))
+
+
+def allowed(url: Column, hosts: list[str]) -> Column:
+    """Whether an address is one of the web, at one of ``hosts``."""
+    return F.coalesce(F.lower(F.parse_url(url, F.lit("PROTOCOL"))).isin("http", "https") & F.lower(F.parse_url(url, F.lit("HOST"))).isin(hosts), F.lit(False))
