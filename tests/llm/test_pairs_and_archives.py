@@ -57,7 +57,7 @@ def near_copies(seed, n_groups=12):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "options"), [(1, jaccard_join.JoinOptions()), (2, jaccard_join.JoinOptions(often_local=2, often=2, salt_rows=3, ids_most=3)), (3, jaccard_join.JoinOptions(list_rows=2)), (4, jaccard_join.JoinOptions(often=10**9, list_rows=1, ids_most=3))])
+@pytest.mark.parametrize(("seed", "options"), [(1, jaccard_join.JoinOptions()), (2, jaccard_join.JoinOptions(often=2, watched=1, salt_rows=3, ids_most=3)), (3, jaccard_join.JoinOptions(list_rows=2)), (4, jaccard_join.JoinOptions(often=10**9, list_rows=1, ids_most=3))])
 def test_jaccard_components(spark, seed, options):
     texts = near_copies(seed) | {1000: None, 1001: "", 1002: "a b", 1003: "A  b"}
     df = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], "doc_id long, text string, rep string").repartition(3)
@@ -104,10 +104,10 @@ def test_jaccard_repeated_ids(spark):
 
 def test_jaccard_split_key(spark):
     """A near copy alone in its part of a key, whose other documents are copies that speak once a task."""
-    options = jaccard_join.JoinOptions()
+    options = jaccard_join.JoinOptions(often=2, watched=1, salt_rows=1)
     elements = lambda words: next(textkit.shingle_sets(next(textkit.blocks(pa.array([" ".join(words)])))))
     words = next(w for w in (prose(k, 9).split() for k in range(1000)) if elements(w)[-1] not in elements(w[:8]))
-    parts = 1 + 5001 // options.salt_rows
+    parts = 1 + 2 // options.salt_rows
     part = lambda i: int(textkit.mix(np.array([i], np.uint64))[0] >> np.uint64(1)) % parts
     rows = [(i, " ".join(words)) for i in [k for k in range(30_000) if part(k) == 1][:5000]]
     rows.append((next(k for k in range(50_000, 60_000) if part(k) == 0), " ".join(words[:8])))

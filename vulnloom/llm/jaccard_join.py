@@ -10,7 +10,8 @@ Sets just under the boundary also stand in the inverted lists, as partners of la
 which the rows written for both sides are fewest, by the size histogram of all documents.
 
 The order puts elements found often last (a passage on a third of all documents then is in hardly any prefix) and else
-goes by hash.  Any choice of "often" gives the same result: it is an order, not a filter.
+goes by hash.  Often is told by the distinct sets of a fixed share (``watched``) of all hash values, so it does not hang on how
+documents are dealt to tasks, nor on copies.  Any choice of "often" gives the same result: it is an order, not a filter.
 
 From keys to components, without all pairs of a group:
 
@@ -54,15 +55,15 @@ WIDE, WIDE_FROM = 8192, 800
 
 @dataclass(frozen=True)
 class JoinOptions:
-    """``percent``: the threshold; ``often_local``, ``often``: sightings that put an element last; ``often_most``: how many
-    such elements the order may name (8 bytes each reach every worker; beyond, only the commonest are named);
+    """``percent``: the threshold; ``often``: sets that put an element last, ``watched``: of which one in so many is asked;
+    ``often_most``: how many such elements the order may name (16 bytes each reach every worker; beyond, only the commonest are);
     ``salt_rows``: rows of a key that one part of it holds; ``ids_most``: ids sent to workers instead of a join;
     ``list_rows``: sets of a list that are paired as they are, longer lists are refined first."""
 
     percent: int = 80
     shingle: int = 5
-    often_local: int = 3
-    often: int = 48
+    often: int = 24
+    watched: int = 8
     often_most: int = 200_000
     salt_rows: int = 2048
     ids_most: int = 1_000_000
@@ -85,20 +86,22 @@ def prefix_size(n: int, percent: int) -> int:
 
 
 def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
-    """(doc_id, n, a, b, s0..s15, wide) per document, and (element, seen) rows for elements that a task saw often.
+    """(doc_id, n, a, b, s0..s15, wide, some) per document.
 
-    s0 to s15 are the sketch; ``wide`` is the long one of sets of WIDE_FROM elements or more.
+    s0 to s15 are the sketch; ``wide`` is the long one of sets of WIDE_FROM elements or more; ``some`` are the elements of
+    watched sets that may stand in prefixes.
     """
+    names = ["doc_id", "n", "a", "b", *[f"s{k}" for k in range(LONGS)], "wide", "some"]
+    lists = pa.list_(pa.int64())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool: list[np.ndarray] = []
-        held = 0
         for batch in batches:
             for block in textkit.blocks(batch.column(1)):
                 n = len(block)
-                size, one, two = np.zeros(n, np.int64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+                size, one, two = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.uint64)
                 sketch = np.zeros((n, SKETCH), np.uint8)
-                wide: list[list[int] | None] = [None] * n
+                wide: list[np.ndarray | None] = [None] * n
+                some: list[np.ndarray | None] = [None] * n
                 for i, h in enumerate(textkit.shingle_sets(block, options.shingle)):
                     size[i] = len(h)
                     if len(h):
@@ -107,42 +110,24 @@ def _facts(docs: DataFrame, options: JoinOptions) -> DataFrame:
                         odd = np.bincount((h >> np.uint64(20)).astype(np.int64) & (WIDE - 1), minlength=WIDE) & 1
                         sketch[i] = np.bitwise_xor.reduce(odd.reshape(-1, SKETCH), axis=0)
                         if len(h) >= WIDE_FROM:
-                            wide[i] = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-                        pool.append(h[: 2 * prefix_size(len(h), options.percent)].copy())
-                        held += len(pool[-1])
-                longs = np.packbits(sketch, axis=1).view(np.int64)
-                ids = batch.column(0).slice(block.first, n)
-                none = pa.nulls(n, pa.int64())
-                yield _batch([ids, size, one, two, *longs.T, none, none, pa.array(wide, pa.list_(pa.int64()))])
-                if held > 2_000_000:
-                    yield _often(pool, options)
-                    pool, held = [], 0
-        if pool:
-            yield _often(pool, options)
-
-    def _often(pool: list[np.ndarray], options: JoinOptions) -> pa.RecordBatch:
-        element, seen = np.unique(np.concatenate(pool), return_counts=True)
-        many = seen >= options.often_local
-        none = pa.nulls(int(many.sum()), pa.int64())
-        return _batch([none] * (4 + LONGS) + [element[many], seen[many], pa.nulls(len(none), pa.list_(pa.int64()))])
-
-    names = ["doc_id", "n", "a", "b", *[f"s{k}" for k in range(LONGS)], "element", "seen", "wide"]
-
-    def _batch(columns: list) -> pa.RecordBatch:
-        arrays = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(textkit.signed(c)), pa.int64()) for c in columns]
-        return pa.RecordBatch.from_arrays(arrays, names=names)
+                            wide[i] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                        if int(one[i]) % options.watched == 0:
+                            some[i] = textkit.signed(h[: 2 * prefix_size(len(h), options.percent)])
+                columns = [size, one, two, *np.packbits(sketch, axis=1).view(np.uint64).T]
+                arrays = [pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(block.first, n), *arrays, pa.array(wide, lists), pa.array(some, lists)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, ", ".join(f"{x} {'array<long>' if x == 'wide' else 'long'}" for x in names))
+    kinds = ", ".join(f"{x} {'array<long>' if x in ('wide', 'some') else 'long'}" for x in names)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, kinds)
 
 
-def _often_elements(facts: DataFrame, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
-    """The elements that stand last in the order, by value, and how often each was seen (a lower bound)."""
-    return _named(facts.filter("element IS NOT NULL"), options.often, options)
+def _often(sets: DataFrame, least: int, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
+    """The elements (of ``sets``, arrays) that ``least`` of the sets have, by value, and in how many they are."""
+    seen = sets.select(F.explode("sets").alias("element")).groupBy("element").agg(F.count("*").alias("seen")).filter(F.col("seen") >= least)
+    return _sorted(seen, options)
 
 
-def _named(sightings: DataFrame, often: int, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
-    """From (element, seen) rows: the elements seen ``often`` times in all, sorted, and how many times."""
-    seen = sightings.groupBy("element").agg(F.sum("seen").alias("seen")).filter(F.col("seen") >= often)
+def _sorted(seen: DataFrame, options: JoinOptions) -> tuple[np.ndarray, np.ndarray]:
     top = seen.orderBy(F.desc("seen"), "element").limit(options.often_most).toPandas()
     top = top.sort_values("element", key=lambda x: x.to_numpy(np.int64).view(np.uint64))
     return top["element"].to_numpy(np.int64).view(np.uint64).copy(), top["seen"].to_numpy(np.int64).copy()
@@ -277,7 +262,8 @@ def _refined(sets: DataFrame, bound: int, options: JoinOptions) -> DataFrame:
         element, seen = np.unique(np.concatenate(pool), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(element[seen > 1]), pa.array(seen[seen > 1], pa.int64())], names=["element", "seen"])
 
-    shared = sets.sparkSession.sparkContext.broadcast(_named(sets.select("elements").mapInArrow(count, "element long, seen long"), 8, options))
+    seen = sets.select("elements").mapInArrow(count, "element long, seen long").groupBy("element").agg(F.sum("seen").alias("seen")).filter("seen >= 8")
+    shared = sets.sparkSession.sparkContext.broadcast(_sorted(seen, options))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +308,7 @@ def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFra
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     facts = stored(_facts(docs, options), "facts")
     one_set = F.min(F.struct("n", "a", "b")) == F.max(F.struct("n", "a", "b"))
-    several = facts.filter("element IS NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(one_set.alias("one_set")).filter("NOT one_set")
+    several = facts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(one_set.alias("one_set")).filter("NOT one_set")
     if several.isEmpty():
         return _components(docs, facts, options)
     drop_stored(facts)
@@ -356,11 +342,11 @@ def _components(docs: DataFrame, facts: DataFrame, options: JoinOptions) -> Data
         return tables[-1]
 
     sketch = [f"s{k}" for k in range(LONGS)]
-    often, seen = _often_elements(facts, options)
-    own = facts.filter("element IS NULL").drop("element", "seen")
-    classes = own.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in [*sketch, "wide"]])
+    classes = facts.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), *[F.first(s).alias(s) for s in [*sketch, "wide", "some"]])
     classes = keep(classes, "classes")
-    members = own.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left")
+    often, seen = _often(classes.select(F.col("some").alias("sets")), max(2, options.often // options.watched), options)
+    seen = seen * options.watched
+    members = facts.select("doc_id", "n", "a", "b").join(classes.select("n", "a", "b", "rep"), ["n", "a", "b"], "left")
     members = keep(members.select("doc_id", F.col("n").alias("n_shingles"), "rep"), "members")
     reps = members.filter("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("rep"))
 
