@@ -332,3 +332,14 @@ def test_clashing_names(spark, odd_docs):
         assert kept.columns == expected, name
         rows = kept.collect()
         assert rows and all(r[c] == "own" for r in rows for c in TAKEN if (name, c) != ("mix", "mix_copy")), name
+
+
+def test_mixing_without_ids(spark):
+    """Rows without an id are drawn one by one, so their source comes near its target too."""
+    rows = [(k, "word " * 10, "a") for k in range(10)] + [(None, f"{prose(k, 10)}", "b") for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [r.mix_copies for r in mixing.assign_copies(df).filter("source = 'b'").collect()]
+    rate = (100 + 3000 - 300) / 3000
+    assert set(kept) == {0, 1} and abs(sum(kept) / 300 - rate) < 0.07
+    again = [r.mix_copies for r in mixing.assign_copies(df.repartition(3)).filter("source = 'b'").orderBy("text").collect()]
+    assert again == [r.mix_copies for r in mixing.assign_copies(df).filter("source = 'b'").orderBy("text").collect()]

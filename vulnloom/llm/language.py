@@ -9,7 +9,7 @@ the counts up (languages x 8,192 numbers), from which the weights of all bits fo
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; rows without a label do not train; if no
 row trains, all are ``und``; one learned language is predicted for every text with a letter; rows that repeat an id are
-predicted each by its own text; an empty table gives an empty result; other columns pass through, but columns of the
+predicted each by its own text, rows without an id too; an empty table gives an empty result; other columns pass through, but columns of the
 added names are replaced.
 """
 

@@ -9,7 +9,7 @@ table, so the join knows its size: where it is small no document is shuffled.
 
 Defined cases: a null source is a source of its own and the last in order; a null or empty text has size 0 and
 is taken with its source's rate (it adds no words); a source whose size is 0 has target 0 and rate 0; rows that
-repeat an id get the same draw; an empty table gives an empty result; other columns pass through ``mix``, but a
+repeat an id get the same draw, rows without one are drawn by their text; an empty table gives an empty result; other columns pass through ``mix``, but a
 column named ``mix_copy`` is replaced.
 """
 
@@ -51,9 +51,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling
     return leveled.select("source", "source_size", target.alias("target"))
 
 
-def draw(doc_id: Column, seed: int) -> Column:
-    """A number in [0, 1) that depends on the id and the seed alone (52 bits of an MD5 digest)."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def draw(doc_id: Column, seed: int, text: Column | None = None) -> Column:
+    """A number in [0, 1) that depends on the id (without one, on the text) and the seed alone (52 bits of an MD5 digest)."""
+    spare = F.lit("") if text is None else F.concat(F.lit("-"), F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), spare)).cast("binary"))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
@@ -69,7 +70,7 @@ def assign_copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling:
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["mix_source"]), "left").drop("mix_source")
     rate = F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0)
     whole = F.floor(rate)
-    return joined.withColumn("mix_copies", whole + (draw(joined["doc_id"], seed) < rate - whole).cast("long"))
+    return joined.withColumn("mix_copies", whole + (draw(joined["doc_id"], seed, joined["text"]) < rate - whole).cast("long"))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, ceiling: float = CEILING, seed: int = 17) -> DataFrame:

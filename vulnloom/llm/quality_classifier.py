@@ -11,7 +11,7 @@ size of a host.  A labelled document's own label is left out of its site's count
 
 Defined cases: a null or empty text has the lowest bins; a null host or path is a site of its own; a document without a
 label is scored like any other; labels that repeat an id count once, by their mean; without labels of both kinds the
-score is the share of good labels (one half without any); rows that repeat an id are scored each; an empty
+score is the share of good labels (one half without any); rows that repeat an id are scored each, rows without one too; an empty
 table gives an empty result; other columns pass through.
 """
 
