@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, in the columns of ``documents``; the last returns
 a row for every copy that the mixture takes, with ``mix_copy``.  What a stage decides happens: rejected, repeated and
 contaminated documents go, frequent lines and personal data leave the texts, copies are emitted.
+
+Defined cases: a null or empty text fails the quality rules and goes; a document without an id stays in every stage that would
+compare ids, and is copied by its text; equal rows of one id are one document to the second stage; columns beside those of
+``documents`` pass through, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
