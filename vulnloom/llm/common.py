@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vulnloom.sources.shared import drop_stored, shared_dir, shared_path, stored
 
-__all__ = ["SPACES", "SPACE_RUN", "aside", "crc_mod", "drop_stored", "let", "passing", "running", "shared_dir", "shared_path", "stored", "table", "word_count", "words"]
+__all__ = ["SPACES", "SPACE_RUN", "aside", "batches_of", "crc_mod", "drop_stored", "let", "passing", "running", "shared_dir", "shared_path", "stored", "table", "word_count", "words"]
 
 #: The six characters that separate words, and a run of them.
 SPACES = " \t\n\x0b\x0c\r"
@@ -20,6 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """What is executed inside sends Python batches of at most ``rows`` rows: a batch is held whole on both sides."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text (null: none).  Words are runs of anything but SPACES."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))

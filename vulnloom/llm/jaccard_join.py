@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vulnloom.llm import textkit
-from vulnloom.llm.common import drop_stored, stored
+from vulnloom.llm.common import batches_of, drop_stored, stored
 from vulnloom.llm.components import connected
 
 SKETCH, LONGS = 1024, 16
@@ -306,13 +306,14 @@ def _linked(pairs: DataFrame, docs: DataFrame, options: JoinOptions) -> DataFram
 
 def components(docs: DataFrame, options: JoinOptions = JoinOptions()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    facts = stored(_facts(docs, options), "facts")
-    one_set = F.min(F.struct("n", "a", "b")) == F.max(F.struct("n", "a", "b"))
-    several = facts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(one_set.alias("one_set")).filter("NOT one_set")
-    if several.isEmpty():
-        return _components(docs, facts, options)
-    drop_stored(facts)
-    return _by_text(docs, options)
+    with batches_of(docs.sparkSession, 1000):
+        facts = stored(_facts(docs, options), "facts")
+        one_set = F.min(F.struct("n", "a", "b")) == F.max(F.struct("n", "a", "b"))
+        several = facts.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(one_set.alias("one_set")).filter("NOT one_set")
+        if several.isEmpty():
+            return _components(docs, facts, options)
+        drop_stored(facts)
+        return _by_text(docs, options)
 
 
 def _by_text(docs: DataFrame, options: JoinOptions) -> DataFrame:
