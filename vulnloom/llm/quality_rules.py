@@ -108,9 +108,12 @@ def _content(text: Column) -> Column:
 
 
 def line_rows(docs: DataFrame, host: str) -> DataFrame:
-    """(host, doc_id, content, line): the distinct lines of each document that have a word."""
-    hashes = F.array_distinct(F.transform(lines(docs["text"]), lambda x: F.xxhash64(normalised(x))))
-    return docs.select(F.col(host).alias("host"), "doc_id", _content(docs["text"]).alias("content"), F.explode(hashes).alias("line"))
+    """(host, doc_id, content, line, line_words, new) for every line with a word; ``new``: 1 for one of a document's equal lines, else 0."""
+    one = lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(words(x)).alias("line_words"))
+    placed = F.sort_array(F.transform(lines(docs["text"]), one))
+    fresh = lambda p: F.transform(p, lambda x, i: x.withField("new", F.when((i > 0) & (F.get(p, i - 1)["line"] == x["line"]), 0).otherwise(1)))
+    rows = docs.select(F.col(host).alias("host"), "doc_id", _content(docs["text"]).alias("content"), F.explode(let(placed, fresh)).alias("x"))
+    return rows.select("host", "doc_id", "content", "x.line", "x.line_words", "x.new")
 
 
 def frequent_lines(rows: DataFrame, docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
@@ -118,7 +121,7 @@ def frequent_lines(rows: DataFrame, docs: DataFrame, host: str = "source", limit
 
     ``first``: the document (id, content) that is spared.
     """
-    per_line = rows.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min(_document(rows)).alias("first"))
+    per_line = rows.groupBy("host", "line").agg(F.sum("new").alias("n_docs"), F.min(_document(rows)).alias("first"))
     hosts = docs.groupBy(F.col(host).alias("host")).agg(F.count("*").alias("host_docs"))
     many = per_line.filter(F.col("n_docs") > limits.min_docs).alias("l")
     met = many.join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
@@ -131,34 +134,48 @@ def _document(rows: DataFrame) -> Column:
     return F.struct(rows["doc_id"].isNull().alias("none"), rows["doc_id"].alias("doc_id"), rows["content"].alias("content"))
 
 
-def _with_cuts(docs: DataFrame, host: str, limits: LineLimits) -> DataFrame:
-    """``docs`` with ``_cut``: the hashes of the lines to remove from it, null if none."""
+KEY = ("host", "doc_id", "content")
+OWN = ("_host", "_doc_id", "_content", "_cut", "_own", "_removed", "_left")
+
+
+def _cuts(docs: DataFrame, host: str, limits: LineLimits) -> DataFrame:
+    """(_host, _doc_id, _content, _cut, _removed): documents with lines to remove, the hashes of these, and their words.
+
+    Rows that are equal in all of the key repeat each line once a row, which ``new`` counts.
+    """
     rows = stored(line_rows(docs, host), "lines").alias("r")
     frequent = stored(frequent_lines(rows, docs, host, limits), "frequent").alias("f")
     hit = rows.join(frequent, (F.col("r.line") == F.col("f.line")) & F.col("r.host").eqNullSafe(F.col("f.host")))
     if limits.spare_first:
         hit = hit.filter(~(F.col("r.doc_id").eqNullSafe(F.col("f.first.doc_id")) & (F.col("r.content") == F.col("f.first.content"))))
-    cut = hit.groupBy(F.col("r.doc_id").alias("_doc"), F.col("r.content").alias("_content")).agg(F.collect_set("r.line").alias("_cut"))
-    return docs.join(cut, docs["doc_id"].eqNullSafe(cut["_doc"]) & (_content(docs["text"]) == cut["_content"]), "left").drop("_doc", "_content")
+    per_line = hit.groupBy(*[F.col(f"r.{k}").alias(f"_{k}") for k in KEY], "r.line").agg((F.sum("line_words") / F.sum("new")).cast("long").alias("n"))
+    return per_line.groupBy(*[f"_{k}" for k in KEY]).agg(F.collect_set("line").alias("_cut"), F.sum("n").alias("_removed"))
+
+
+def _joined(docs: DataFrame, cuts: DataFrame, host: str, content: Column) -> DataFrame:
+    return docs.join(cuts, docs["doc_id"].eqNullSafe(cuts["_doc_id"]) & (content == cuts["_content"]) & docs[host].eqNullSafe(cuts["_host"]), "left").drop(*[f"_{k}" for k in KEY])
 
 
 def judge(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
-    """``docs`` with the measures, base_failed, n_removed_words and kept."""
-    docs = docs.drop(*MEASURES, *VERDICTS)
-    judged = measure(_with_cuts(docs, host, limits)).withColumn("base_failed", base_failed())
-    gone = F.filter(lines(F.col("text")), lambda x: F.array_contains("_cut", F.xxhash64(normalised(x))))
-    removed = F.aggregate(gone, F.lit(0).cast("long"), lambda t, x: t + F.size(words(x)))
-    judged = judged.withColumn("n_removed_words", F.when(F.col("_cut").isNull(), F.lit(0).cast("long")).otherwise(removed))
+    """``docs`` with the measures, base_failed, n_removed_words and kept.
+
+    Measures are taken before documents meet their cuts, so texts that nobody asks for are not shuffled.
+    """
+    docs, back = aside(docs.drop(*MEASURES, *VERDICTS), *OWN)
+    measured = measure(docs).withColumn("_own", _content(docs["text"]))
+    judged = _joined(measured, _cuts(docs, host, limits).drop("_cut"), host, measured["_own"]).withColumn("base_failed", base_failed())
+    judged = judged.withColumn("n_removed_words", F.coalesce(F.col("_removed"), F.lit(0).cast("long")))
     left = F.col("n_words") - F.col("n_removed_words")
     depleted = (left < limits.min_words) | (left < limits.min_left * F.col("n_words"))
-    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_cut")
+    return judged.withColumn("kept", ~F.col("base_failed") & ~depleted).drop("_own", "_removed").withColumnsRenamed(back)
 
 
 def clean(docs: DataFrame, host: str = "source", limits: LineLimits = LineLimits()) -> DataFrame:
     """The documents that pass, in ``docs``' columns, without the lines that were frequent in their host."""
     columns = docs.columns
-    docs, back = aside(docs, *MEASURES, "_cut", "_left")
-    measured = passing(measure(_with_cuts(docs, host, limits)), ~base_failed())
+    docs, back = aside(docs, *MEASURES, *OWN)
+    measured = passing(measure(docs), ~base_failed())
+    measured = _joined(measured, _cuts(docs, host, limits).drop("_removed"), host, _content(measured["text"]))
     stays = lambda x: ~F.array_contains(F.col("_cut"), F.xxhash64(normalised(x)))
     text = F.when(F.col("_cut").isNull(), F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), stays), "\n"))
     left = F.size(words(F.col("text")))
