@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +92,23 @@ def inside_tree(path: Column) -> Column:
     return ~F.array_contains(F.split(clean, "/"), "..") & ~F.startswith(clean, F.lit("/")) & ~clean.rlike("^[A-Za-z]:")
 
 
+def read_sources(spark: SparkSession, folder: str, glob: str | None = None) -> DataFrame:
+    """(path, number, text): numbered lines of the files under a folder, paths relative to it.
+
+    A file is read whole by one task (files are dealt out by size), so numbers need no shuffle and a long line stays whole.
+    Line ends are those of any system; a last line without text is none.  Hidden files are left out.
+    """
+    files = spark.read.text(folder, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toUri().toString().rstrip("/")
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    tail = F.substring(path, F.lit(1) + F.length(F.regexp_extract(path, "^.*?" + re.escape(re.sub("^[a-z]+:/*", "", unquote(root))) + "/", 0)), F.lit(1 << 20))
+    lines = F.split("value", r"\r\n|\n|\r")
+    lines = F.when(F.element_at(lines, -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
+    numbered = files.select(tail.alias("path"), F.posexplode(lines).alias("k", "text"))
+    return numbered.select("path", (F.col("k") + 1).cast("long").alias("number"), "text")
+
+
 def snippets(lines: DataFrame, locations: DataFrame, radius: int = 3) -> DataFrame:
     """(path, line, snippet): numbered source lines around each location, the focus marked.
 

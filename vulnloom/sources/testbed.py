@@ -78,6 +78,18 @@ SELECT 'cfg.rules.sbom-reach-ghsa_' || CAST(k AS STRING) || '-' || CASE k % 5 WH
 FROM (SELECT event_id, event_id % ((SELECT count(*) FROM {supplier}) * 3) + 1 AS k FROM {events}) e""",
 }
 
+TABLES["source_lines"] = """
+SELECT 'src/m' || CAST(f AS STRING) || CASE supp % 3 WHEN 0 THEN '.js' WHEN 1 THEN '.py' ELSE '.java' END AS path, number, form, supp, fn, replace(replace(CASE supp % 3
+  WHEN 0 THEN CASE form WHEN 0 THEN 'const m = require(''PKG'');' WHEN 1 THEN 'import {{ FN }} from ''PKG'';' WHEN 2 THEN 'import {{ FN as q, other }} from "PKG";' WHEN 3 THEN 'm.FN(x);' WHEN 4 THEN '  FN (x)'
+    WHEN 5 THEN 'y = q(x, y)' WHEN 6 THEN 'run(new Runner(z))' WHEN 7 THEN 'other.fetch(u)' WHEN 8 THEN 'evalAll(s)' WHEN 9 THEN 'require(''PKG'').FN(1)' WHEN 10 THEN 'xFN(3); function FN(a) {{' ELSE '// nothing' END
+  WHEN 1 THEN CASE form WHEN 0 THEN 'import PKG' WHEN 1 THEN 'from PKG import FN' WHEN 2 THEN 'from PKG.sub import (FN, b)' WHEN 3 THEN '  PKG.FN(x)' WHEN 4 THEN 'z = FN(x)'
+    WHEN 5 THEN 'import PKG as z' WHEN 6 THEN 'run(Runner(z))' WHEN 7 THEN 'other.fetch(u)' WHEN 8 THEN 'evalAll(s)' WHEN 9 THEN 'import os, PKG' WHEN 10 THEN 'def FN(a):' ELSE 'pass' END
+  ELSE CASE form WHEN 0 THEN 'import org.art.Thing;' WHEN 4 THEN 'FN(x);' WHEN 6 THEN 'run(new Runner(z));' WHEN 7 THEN 'a.fetch(u);' WHEN 8 THEN 'evalAll(s);' ELSE 'int x;' END END,
+  'PKG', CASE supp % 3 WHEN 0 THEN '@scope/pkg-' ELSE 'py_pkg_' END || CAST(supp % 40 AS STRING)), 'FN', fn) AS text
+FROM (SELECT f, number, (ordinal * (f % 5 + 1) + f) % 12 AS form, supp, CASE supp % 5 WHEN 0 THEN 'parse' WHEN 1 THEN 'unsafeMerge' WHEN 2 THEN 'render_tpl' WHEN 3 THEN 'helper' ELSE 'load_all' END AS fn
+  FROM (SELECT f, event_id AS number, CAST((event_id - f) / (2 * n) AS BIGINT) AS ordinal, CAST((f - f % 2) / 2 AS BIGINT) + 1 AS supp
+    FROM (SELECT event_id, n, event_id % (2 * n) AS f FROM (SELECT event_id, (SELECT count(*) FROM {supplier}) AS n FROM {events}) e) g) h) k"""
+
 SOURCES = ("customer", "orders", "part", "lineitem", "supplier", "events")
 
 
@@ -96,6 +108,7 @@ class Graph:
     reachability: DataFrame
     sinks: DataFrame
     findings: DataFrame
+    source_lines: DataFrame
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
