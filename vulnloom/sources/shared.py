@@ -8,20 +8,34 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of sessions of one process that name none, by application.
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that ``spark.checkpoint.dir`` names.
 
-    Where it is unset, a session of one process (tests) gets a fresh temporary folder; on a cluster that is an error, as
-    executors would write where nobody else reads.
+    Where it is unset, a session of one process (tests) gets one temporary folder, kept here, as Spark takes no change of that
+    setting; on a cluster that is an error, as executors would write where nobody else reads.  A name without a scheme is
+    one of the default file system, and is given its scheme.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="vulnloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+        application = spark.sparkContext.applicationId
+        if application not in _OWN:
+            _OWN[application] = "file://" + tempfile.mkdtemp(prefix="vulnloom-")
+        return _OWN[application]
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark reads it by."""
+    if re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", path):
+        return path.rstrip("/")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString().rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
