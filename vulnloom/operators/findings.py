@@ -158,23 +158,43 @@ def evidence(rows: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def _shape(rank: int, *parts: Column) -> Column:
+    """A key of one shape, null if a part of it is missing: its rank and its parts, each with its length, so none runs into the next."""
+    whole = F.lit(True)
+    for part in parts:
+        whole = whole & part.isNotNull()
+    return F.when(whole, F.concat(F.lit(f"{rank}"), *[F.concat(F.lit("|"), F.length(p).cast("string"), F.lit(":"), p) for p in parts]))
+
+
 def resolve_states(cases: DataFrame, states: DataFrame) -> DataFrame:
     """``cases`` with the stored ``status`` and ``owner`` that fit best, null if none does.
 
-    ``states`` (project, vuln_id, component_id, status, owner) may leave project or component out.  A state of project and
-    component comes before one of the project, one of the component in any project, and one of the vulnerability alone.
+    ``states`` (vuln_id, status, owner; project, component_id, state_key and updated_at may be left out or null) are known by
+    six shapes of key, the most telling first: project, vulnerability and component; project and vulnerability; vulnerability
+    and component; the vulnerability; the text project|vulnerability|component in ``state_key``; the text project|vulnerability.
+    Of states of one key the newest counts, of equally new ones the largest by status and owner.
+
+    Each state has one shape, each case six candidates: one join on the key's text, reduced to the newest state of each key
+    before it, and one aggregate that takes the least shape.  Cases without a vulnerability keep no state.
     """
-    keys = [("project", "component_id"), ("project",), ("component_id",), ()]
-    out, found = cases, []
-    for k, own in enumerate(keys):
-        open_ = [c for c in ("project", "component_id") if c not in own]
-        fit = states.filter(F.lit(True) if not own else F.expr(" AND ".join(f"{c} IS NOT NULL" for c in own)))
-        fit = fit.filter(F.expr(" AND ".join(f"{c} IS NULL" for c in open_) or "true"))
-        one = fit.groupBy("vuln_id", *own).agg(F.max(F.struct("status", "owner")).alias(f"_s{k}"))
-        out = out.join(one, ["vuln_id", *own], "left")
-        found.append(F.col(f"_s{k}"))
-    state = F.coalesce(*found)
-    return out.withColumns({"status": state["status"], "owner": state["owner"]}).select(*cases.columns, *[c for c in ("status", "owner") if c not in cases.columns])
+    given = lambda c: F.col(c) if c in states.columns else F.lit(None).cast("string")
+    part = lambda c: F.nullif(given(c), F.lit(""))
+    p, v, c = part("project"), part("vuln_id"), part("component_id")
+    own = F.coalesce(_shape(1, p, v, c), _shape(2, F.when(c.isNull(), p), v), _shape(3, F.when(p.isNull(), v), c), _shape(4, F.when(p.isNull() & c.isNull(), v)), _shape(5, F.when(v.isNull(), part("state_key"))))
+    newest = F.struct(F.coalesce(given("updated_at").cast("string"), F.lit("")).alias("at"), F.struct("status", "owner").alias("s"))
+    held = states.select(own.alias("_key"), newest.alias("_n")).filter("_key IS NOT NULL").groupBy("_key").agg(F.max("_n").alias("_n"))
+    keys = ["project", "vuln_id", "component_id"]
+    project, vuln, component = (F.nullif(F.col(k), F.lit("")) for k in keys)
+    text = F.concat_ws("|", project, vuln)
+    shapes = [_shape(1, project, vuln, component), _shape(2, project, vuln), _shape(3, vuln, component), _shape(4, vuln)]
+    shapes += [_shape(5, F.when(project.isNotNull() & vuln.isNotNull(), F.concat(text, F.lit("|"), F.coalesce(component, F.lit(""))))), _shape(5, F.when(project.isNotNull() & vuln.isNotNull(), text))]
+    asked = cases.select(*keys).distinct().select(*keys, F.posexplode(F.array(*shapes)).alias("_rank", "_key")).filter("_key IS NOT NULL")
+    best = asked.join(held, "_key").groupBy(*keys).agg(F.min_by("_n.s", "_rank").alias("_s"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_{k}").eqNullSafe(F.col(k))
+    met = cases.drop("status", "owner").join(best.withColumnsRenamed({k: f"_{k}" for k in keys}), same, "left")
+    return met.withColumns({"status": F.col("_s.status"), "owner": F.col("_s.owner")}).select(*cases.columns, *[x for x in ("status", "owner") if x not in cases.columns])
 
 
 # --- report texts -------------------------------------------------------------------------------------------------

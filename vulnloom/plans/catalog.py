@@ -253,8 +253,7 @@ register(
     O.over(
         """SELECT coalesce(n.project, o.project) AS project, coalesce(n.vuln_id, o.vuln_id) AS vuln_id, coalesce(n.component_id, o.component_id) AS component_id,
   coalesce(o.decision_tier, 'monitor') AS decision_tier, CASE WHEN n.project IS NOT NULL THEN 'triaged' ELSE o.status END AS status, o.owner, CASE WHEN n.project IS NOT NULL THEN 'seen' END AS note
-FROM states o FULL JOIN (SELECT project, vuln_id, all_component_ids[1] AS component_id FROM alerts WHERE (HASH) % 5 = 0) n
-  ON o.project = n.project AND o.vuln_id = n.vuln_id AND o.component_id = n.component_id""",
+FROM states o FULL JOIN (SELECT project, vuln_id, all_component_ids[1] AS component_id, project || '|' || vuln_id || '|' || all_component_ids[1] AS own FROM alerts WHERE (HASH) % 5 = 0) n ON o.own = n.own""",
         CASES,
     ).replace("(HASH)", O.SHARE),
 )
@@ -264,7 +263,7 @@ register(
     O.over(
         """SELECT project, vuln_id, component_id, decision_tier, status, owner FROM states UNION ALL
 SELECT project, vuln_id, component_id, decision_tier, 'new', NULL FROM cases c
-WHERE NOT EXISTS (SELECT 1 FROM states s WHERE s.project = c.project AND s.vuln_id = c.vuln_id AND s.component_id = c.component_id)""",
+WHERE project || '|' || vuln_id || '|' || component_id NOT IN (SELECT own FROM states)""",
         CASES,
     ),
 )
@@ -273,7 +272,7 @@ register(
     lambda g: cases.retier(_states(g), _cases(g)).select("project", "vuln_id", "component_id", "decision_tier", "status", "changed"),
     O.over(
         """SELECT s.project, s.vuln_id, s.component_id, coalesce(c.decision_tier, s.decision_tier) AS decision_tier, s.status, coalesce(c.decision_tier <> s.decision_tier, false) AS changed
-FROM states s LEFT JOIN cases c ON s.project = c.project AND s.vuln_id = c.vuln_id AND s.component_id = c.component_id""",
+FROM states s LEFT JOIN cases c ON s.own = c.project || '|' || c.vuln_id || '|' || c.component_id""",
         CASES,
     ),
 )

@@ -48,7 +48,7 @@ def alerts_cte(name: str, keys: str, source: str = "exposures") -> str:
   LEFT JOIN calls ac ON g.project = ac.project AND g.vuln_id = ac.vuln_id
   LEFT JOIN verdicts b ON g.project = b.project AND g.internal_id = b.vuln_id
   LEFT JOIN calls bc ON g.project = bc.project AND g.internal_id = bc.vuln_id),
-{name} AS (SELECT *, {FACTOR} AS reachability_factor, {RISK} AS risk_score, {SEVERITY} AS severity FROM {name}_met)"""
+{name} AS MATERIALIZED (SELECT *, {FACTOR} AS reachability_factor, {RISK} AS risk_score, {SEVERITY} AS severity FROM {name}_met)"""
 
 
 ALERTS = BASE + "," + VERDICTS + "," + alerts_cte("alerts", "project, scan_id, generated_at, source_commit, vuln_id")
@@ -136,8 +136,8 @@ TEST = "regexp_matches(lower(x), 'test|spec|fixture')"
 
 def cases_cte(name: str, alerts: str, with_states: bool) -> str:
     status = "coalesce(CASE lower(CASE WHEN o.vuln_id IS NOT NULL THEN o.status ELSE w.status END) WHEN 'fix_planned' THEN 'planned' WHEN 'verified_closed' THEN 'verified_closed' WHEN 'in_progress' THEN 'in_progress' END, 'new')"
-    joins = """LEFT JOIN states o ON c.project = o.project AND c.vuln_id = o.vuln_id AND c.component_id = o.component_id
-  LEFT JOIN (SELECT * FROM states WHERE component_id = '') w ON c.project = w.project AND c.vuln_id = w.vuln_id"""
+    joins = """LEFT JOIN states o ON c.project || '|' || c.vuln_id || '|' || c.component_id = o.own
+  LEFT JOIN (SELECT * FROM states WHERE component_id = '') w ON c.project || '|' || c.vuln_id || '|' = w.own"""
     return f""",
 {name}_plain AS (
   SELECT *, all_component_ids[1] AS component_id, all_components[1] AS component_name, all_versions[1] AS component_version, len(fix_versions) > 0 AS has_fix, {TIER} AS decision_tier,
@@ -159,9 +159,9 @@ def cases_cte(name: str, alerts: str, with_states: bool) -> str:
 PREFERRED = """list_transform(list_sort(list_transform(fix_versions, lambda v: {'a': CAST(split_part(v, '.', 1) AS INT), 'b': CAST(split_part(v, '.', 2) AS INT), 'v': v}), 'DESC'), lambda s: s.v)[1]"""
 
 STATES = f""",
-states AS (
-  SELECT project, vuln_id, CASE WHEN h = 6 THEN '' ELSE all_component_ids[1] END AS component_id, 'monitor' AS decision_tier,
-    CASE h WHEN 0 THEN 'fix_planned' WHEN 3 THEN 'Verified_Closed' ELSE 'in_progress' END AS status, 'me' AS owner FROM (SELECT *, {SHARE} % 9 AS h FROM alerts) WHERE h % 3 = 0)"""
+states AS MATERIALIZED (
+  SELECT *, project || '|' || vuln_id || '|' || component_id AS own FROM (SELECT project, vuln_id, CASE WHEN h = 6 THEN '' ELSE all_component_ids[1] END AS component_id, 'monitor' AS decision_tier,
+    CASE h WHEN 0 THEN 'fix_planned' WHEN 3 THEN 'Verified_Closed' ELSE 'in_progress' END AS status, 'me' AS owner FROM (SELECT *, {SHARE} % 9 AS h FROM alerts) WHERE h % 3 = 0))"""
 CASES = STATES + cases_cte("cases", "alerts", True)
 
 DELTA = """,
