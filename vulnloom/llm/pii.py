@@ -3,7 +3,8 @@
 Nodes are the tokens of a document that hold a digit or an @; labels are none, email, ip, card and phone.  Neighbouring
 tokens share a transition potential; equal tokens anywhere in the document (by their digits, or their letters) share a
 skip potential: each occurrence is linked to the one before and to the first, so any two are two links apart and links grow
-with the tokens.  Loopy sum-product message passing, run until messages no longer change, spreads labels over both; tokens that the fixed patterns label are observed.  A document's graph is part of one union
+with the tokens.  Loopy sum-product message passing, run until messages no longer change, spreads labels over both; tokens that the fixed patterns label are observed.  Tokens, links and messages are
+held as plain numbers: a text of nothing but numbers takes some 120 bytes for each of its own at the peak.  A document's graph is part of one union
 graph per block of texts, so the passing is a few array operations whatever the number and size of the documents.
 
 Training is piecewise and covers all documents: tasks count features, transitions and agreements of skip links under
@@ -19,7 +20,8 @@ through, but ``scan`` replaces those named base or spans.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,6 +45,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 WORD = re.compile(r"[^ \t\n\x0b\x0c\r]+")
 TELLING = re.compile(r"[0-9@]")
 BUCKETS = 2048
+#: Links whose messages are worked on at a time.
+CHUNK = 1 << 16
 Span = tuple[int, int, int]
 
 
@@ -98,17 +102,41 @@ def base_spans(text: str) -> list[Span]:
     return spans
 
 
+class Rows:
+    """Rows of ``width`` small integers, appended one by one and held as plain numbers."""
+
+    def __init__(self, width: int, code: str) -> None:
+        self.width, self.flat = width, array(code)
+
+    def append(self, row: Sequence[int]) -> None:
+        self.flat.extend(row)
+
+    def __len__(self) -> int:
+        return len(self.flat) // self.width
+
+    def __array__(self, dtype: object = None, copy: bool | None = None) -> np.ndarray:
+        return np.array(self.flat, dtype or self.flat.typecode).reshape(-1, self.width)
+
+
 @dataclass
 class Graph:
     """Tokens of several documents: document, start, end, label (0 none, -1 unknown), feature buckets; links."""
 
     doc: list[int]
-    start: list[int]
-    end: list[int]
+    start: Sequence[int]
+    end: Sequence[int]
     label: list[int]
-    features: list[list[int]]
-    chain: list[tuple[int, int]]
-    skip: list[tuple[int, int]]
+    features: list[list[int]] | Rows
+    chain: list[tuple[int, int]] | Rows
+    skip: list[tuple[int, int]] | Rows
+
+    @classmethod
+    def empty(cls) -> Graph:
+        return cls([], array("q"), array("q"), [], Rows(3, "h"), Rows(2, "i"), Rows(2, "i"))
+
+
+def _pairs(links: list[tuple[int, int]] | Rows) -> np.ndarray:
+    return np.array(links, np.int32).reshape(-1, 2)
 
 
 def _shape(token: str) -> str:
@@ -138,8 +166,9 @@ def add_document(graph: Graph, row: int, text: str, spans: list[Span]) -> None:
     """The document's tokens and links; ``spans`` label the tokens they touch."""
     ordered = sorted((s, e, k) for k, s, e in spans)
     covered, at, reach = [], 0, 0
-    first: dict[str, int] = {}
-    last: dict[str, int] = {}
+    met: dict[str, int] = {}  # the last token of each key so far, of this document's tokens
+    firsts = array("i")  # and of each token the first of its key
+    begun = len(graph.doc)
     before, word = -1, -2
     for number, m in enumerate(WORD.finditer(text)):
         if not TELLING.search(m.group()):
@@ -168,12 +197,14 @@ def add_document(graph: Graph, row: int, text: str, spans: list[Span]) -> None:
         if before >= 0 and word == number - 1:
             graph.chain.append((before, node))
         key = digits if len(digits) >= 7 else token.lower()
-        if key in last:
-            graph.skip.append((last[key], node))
-            if first[key] != last[key]:
-                graph.skip.append((first[key], node))
-        first.setdefault(key, node)
-        last[key] = before = node
+        last = met.get(key, -1)
+        first = node if last < 0 else firsts[last - begun]
+        if last >= 0:
+            graph.skip.append((last, node))
+            if first != last:
+                graph.skip.append((first, node))
+        firsts.append(first)
+        met[key] = before = node
         word = number
 
 
@@ -181,7 +212,7 @@ def graph_of(block: textkit.Block) -> tuple[Graph, dict[int, tuple[str, list[Spa
     """The union graph of a block's documents, and text and base spans of those that have a telling character."""
     telling = ((block.data >= 48) & (block.data <= 57)) | (block.data == 64)
     sums = np.concatenate([[0], np.cumsum(telling)])
-    graph, found = Graph([], [], [], [], [], [], []), {}
+    graph, found = Graph.empty(), {}
     for i in np.flatnonzero(sums[block.offsets[1:]] > sums[block.offsets[:-1]]).tolist():
         text = block.text(i)
         spans = base_spans(text)
@@ -206,7 +237,7 @@ def train(docs: DataFrame) -> Model:
                     for k in range(3):
                         np.add.at(unary, (np.array(graph.features)[:, k], label), 1)
                     for table, links in ((chain, graph.chain), (skip, graph.skip)):
-                        if links:
+                        if len(links):
                             a, b = np.array(links).T
                             np.add.at(table, (label[a], label[b]), 1)
         parts = []
@@ -241,32 +272,63 @@ def potentials(unary: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> Model:
 
 
 def beliefs(graph: Graph, model: Model, options: PiiOptions = PiiOptions()) -> np.ndarray:
-    """Label probabilities of every node, by damped loopy sum-product."""
-    unary = model.unary[np.array(graph.features)].mean(axis=1)
+    """Label probabilities of every node, by damped loopy sum-product.
+
+    Messages are single floats, two of each link, updated in place in chunks of links: both of a link's messages depend on
+    the sums of the round and on each other alone, so a chunk needs no copy of the rest.  All else is by node.
+    """
+    features = np.array(graph.features).reshape(-1, 3)
+    n = len(features)
+    unary = np.zeros((n, LABELS), np.float32)
+    for k in range(3):
+        unary += model.unary[features[:, k]]
+    unary /= 3
     label = np.array(graph.label)
     seen = np.flatnonzero(label > 0)
     unary[seen] = -50.0
     unary[seen, label[seen]] = 0.0
-    links = graph.chain + graph.skip
-    total = unary
-    if links:
-        a, b = np.array(links).T
-        kind = np.repeat([0, 1], [len(graph.chain), len(graph.skip)])
-        source, target, potential = np.concatenate([a, b]), np.concatenate([b, a]), np.stack([model.chain, model.skip])[np.concatenate([kind, kind])]
-        back = np.concatenate([np.arange(len(a)) + len(a), np.arange(len(a))])
-        message = np.zeros((len(source), LABELS))
-        for _ in range(options.rounds):
-            total = unary.copy()
-            np.add.at(total, target, message)
-            out = total[source] - message[back]
-            out = np.logaddexp.reduce(out[:, :, None] + potential, axis=1)
-            out -= np.logaddexp.reduce(out, axis=1, keepdims=True)
-            before, message = message, options.damping * message + (1 - options.damping) * out
-            if np.abs(np.exp(message) - np.exp(before)).max() < options.still:
-                break
+    chain, skip = _pairs(graph.chain), _pairs(graph.skip)
+    a, b = (np.concatenate([chain[:, k], skip[:, k]]) for k in (0, 1))
+    forth, back = np.zeros((LABELS, len(a)), np.float32), np.zeros((LABELS, len(a)), np.float32)
+    parts = [(k, min(k + CHUNK, stop), weight) for begin, stop, weight in ((0, len(chain), np.exp(model.chain).astype(np.float32)), (len(chain), len(a), np.exp(model.skip).astype(np.float32))) for k in range(begin, stop, CHUNK)]
+
+    def sums() -> np.ndarray:
         total = unary.copy()
-        np.add.at(total, target, message)
-    return np.exp(total - np.logaddexp.reduce(total, axis=1, keepdims=True))
+        for k in range(LABELS):
+            if len(a):
+                total[:, k] += np.bincount(b, weights=forth[k], minlength=n)
+                total[:, k] += np.bincount(a, weights=back[k], minlength=n)
+        return total
+
+    def passed(out: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        likely = np.exp(out - out.max(axis=1, keepdims=True)) @ weight
+        return np.log(likely / likely.sum(axis=1, keepdims=True))
+
+    # Links whose own messages and whose ends have come to rest are left alone, until an end moves again.
+    rest, stir, before = options.still / 10, np.ones(len(a), np.float32), None
+    for _ in range(options.rounds if len(a) else 0):
+        total, moved = sums(), 0.0
+        uneasy = np.ones(n, bool) if before is None else np.abs(total - before).max(axis=1) > rest
+        before = total
+        for begin, stop, weight in parts:
+            links = begin + np.flatnonzero((stir[begin:stop] > rest) | uneasy[a[begin:stop]] | uneasy[b[begin:stop]])
+            if not len(links):
+                continue
+            old = forth[:, links].T, back[:, links].T
+            new = passed(total[a[links]] - old[1], weight), passed(total[b[links]] - old[0], weight)
+            change = np.zeros(len(links), np.float32)
+            for messages, was, now in zip((forth, back), old, new, strict=True):
+                now = options.damping * was + (1 - options.damping) * now
+                np.maximum(change, np.abs(np.exp(now) - np.exp(was)).max(axis=1), out=change)
+                messages[:, links] = now.T
+            stir[links] = change
+            moved = max(moved, float(change.max()))
+        if moved < options.still:
+            break
+    total = sums()
+    total -= total.max(axis=1, keepdims=True) if n else 0
+    np.exp(total, out=total)
+    return total / total.sum(axis=1, keepdims=True)
 
 
 def added_spans(graph: Graph, model: Model, found: dict[int, tuple[str, list[Span]]], options: PiiOptions) -> dict[int, list[Span]]:
@@ -277,7 +339,8 @@ def added_spans(graph: Graph, model: Model, found: dict[int, tuple[str, list[Spa
     p = beliefs(graph, model, options)
     best = p[:, 1:].argmax(axis=1)
     sure = (np.array(graph.label) == 0) & (p[np.arange(len(p)), best + 1] >= options.belief)
-    joined = {b for a, b in graph.chain if sure[a] and sure[b] and best[a] == best[b]}
+    a, b = _pairs(graph.chain).T
+    joined = set(b[sure[a] & sure[b] & (best[a] == best[b])].tolist())
     for node in np.flatnonzero(sure).tolist():
         row = graph.doc[node]
         spans = added.setdefault(row, [])
