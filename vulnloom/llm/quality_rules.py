@@ -8,9 +8,9 @@ All of it is DataFrame functions.  Texts are split once, into a stored table of
 lines themselves; counting combines on the map side, so a line on a third of all documents is one row a task.  Only lines
 above the limit meet that table again, in a join that Spark may split at a hot line.
 
-Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; each row counts
-as a document, also rows that repeat an id or have none, and is judged by its own text; an empty table gives an empty
-result; other columns pass through, but ``measure`` and ``judge`` replace those of their own names.
+Defined cases: a null or empty text has no words and fails the base rules; a null host is a host of its own; rows of
+one id are one document when lines are counted, rows without an id are one by their text, and each row is judged by its
+own text; an empty table gives an empty result; other columns pass through, but ``measure`` and ``judge`` replace those of their own names.
 """
 
 from __future__ import annotations
@@ -126,7 +126,13 @@ def frequent_lines(rows: DataFrame, docs: DataFrame, host: str = "source", limit
     many = per_line.filter(F.col("n_docs") > limits.min_docs).alias("l")
     met = many.join(hosts.alias("h"), F.col("l.host").eqNullSafe(F.col("h.host")))
     most = F.least(F.greatest(F.col("host_docs") * limits.share, F.lit(float(limits.min_docs))), F.lit(float(limits.max_docs)))
-    return met.filter(F.col("n_docs") > most).select("l.host", "l.line", "l.n_docs", "l.first")
+    often = stored(met.withColumn("most", most).filter(F.col("n_docs") > F.col("most")).select("l.host", "l.line", "l.first", "most"), "often")
+    # Rows are at least as many as documents, so only lines above the limit by rows are counted by document.
+    document = F.coalesce(F.col("r.doc_id").cast("string"), F.concat(F.lit("-"), F.col("r.content").cast("string")))
+    of = rows.alias("r").join(often.alias("o"), (F.col("r.line") == F.col("o.line")) & F.col("r.host").eqNullSafe(F.col("o.host")))
+    each = of.select("o.host", "o.line", document.alias("document")).distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs")).alias("e")
+    counted = often.alias("o").join(each, (F.col("o.line") == F.col("e.line")) & F.col("o.host").eqNullSafe(F.col("e.host")))
+    return counted.filter(F.col("e.n_docs") > F.col("o.most")).select("o.host", "o.line", "e.n_docs", "o.first")
 
 
 def _document(rows: DataFrame) -> Column:
