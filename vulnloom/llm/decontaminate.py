@@ -21,7 +21,8 @@ Defined cases: a null or empty text has no windows; an item of fewer than ``leas
 verbatim only, one of fewer than ``least_words`` words not at all (it would match ordinary text); one shorter than a window is
 searched whole; operators such as + are punctuation; items with equal templates are all
 reported; rows that repeat an id are searched each and reported once; an empty table on either side gives an empty
-result; a null id is not reported; other columns are ignored.
+result; a null id is not reported, but a document without id
+is removed by its text; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -277,10 +278,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = Te
     pairs = tried.select(*key, F.explode("slots").alias("s")).groupBy(*key, "s.a", "s.b").count()
     per_value = pairs.groupBy(*key, "a").agg(F.max("count").alias("most"), F.sum("count").alias("all"), F.sum(F.when(F.col("a") == F.col("b"), F.col("count")).otherwise(0)).alias("own"))
     slots = per_value.groupBy(*key).agg(F.sum("most").alias("most"), F.sum("all").alias("all"), F.sum("own").alias("own"))
+    # And the other way: different values of the item must not have become one.
+    back = pairs.groupBy(*key, "b").agg(F.max("count").alias("most")).groupBy(*key).agg(F.sum("most").alias("back"))
     counted = tried.groupBy(*key).agg(F.countDistinct("at").alias("n_windows"), F.max("of").alias("item_windows"))
-    joined = counted.join(slots, key, "left")
+    joined = counted.join(slots, key, "left").join(back, key, "left")
     enough = F.col("n_windows") >= F.least(F.lit(options.enough), F.ceil(F.col("item_windows") * options.share))
-    consistent = F.coalesce(F.col("most") >= options.consistent * F.col("all"), F.lit(True))
+    consistent = F.coalesce(F.least("most", "back") >= options.consistent * F.col("all"), F.lit(True))
     exact = F.coalesce(F.col("own") == F.col("all"), F.lit(True))
     best = F.max(F.struct((F.col("n_windows") / F.col("item_windows")).alias("coverage"), exact.alias("exact"), "n_windows", "item_windows"))
     found = joined.filter(enough & consistent).groupBy("doc_id", "item_id").agg(best.alias("best"))
@@ -298,6 +301,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, options: TemplateOptions = TemplateOptions()) -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item (their ids are stored, so the join knows their size)."""
+    """``docs`` without the documents that hold a benchmark item (their ids are stored, so the join knows their size).
+
+    Documents without an id are known by their text.
+    """
     found = stored(contaminated(docs, benchmark, options).select("doc_id"), "contaminated")
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    nameless = docs.filter("doc_id IS NULL")
+    if nameless.select("doc_id").isEmpty():
+        return kept
+    text = F.xxhash64("text")
+    also = stored(contaminated(nameless.select(text.alias("doc_id"), "text").distinct(), benchmark, options).select(F.col("doc_id").alias("_text")), "contaminated")
+    return kept.join(also, F.col("doc_id").isNull() & (text == F.col("_text")), "left_anti").select(*docs.columns)
