@@ -6,6 +6,8 @@ last reason that applies) the order is part of the aggregate.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,17 @@ def case_order(confirmed_first: bool = False) -> list[Column]:
     return [*order, F.col("risk_score").desc_nulls_last(), F.col("cvss").desc_nulls_last(), F.col("vuln_id").asc(), F.col("component_id").asc()]
 
 
+def evidence_order(rank: str = "rank", most: int | None = None, by: tuple[str, ...] = ("project",)) -> Callable[[DataFrame], DataFrame]:
+    """Numbers call evidence per ``by``: confirmed calls first, of these production code, then by vulnerability."""
+    order = [(F.col("reachability_verdict") == "confirmed_reachable").desc_nulls_last(), (F.col("evidence_scope") == "production").desc_nulls_last(), "vuln_id", "component_id"]
+
+    def numbered(cases: DataFrame) -> DataFrame:
+        out = cases.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+        return out if most is None else out.filter(F.col(rank) <= most)
+
+    return numbered
+
+
 def action_counts(cases: DataFrame) -> DataFrame:
     """Per project: cases by tier, with a fix, reachable, open."""
     tier = lambda *t: F.count_if(F.col("decision_tier").isin(*t))

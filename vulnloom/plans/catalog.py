@@ -632,7 +632,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _whole() -> dict[str, tuple[Callable[[Graph], DataFrame], str | None]]:
     """The registry with the modules that add to it."""
-    for module in ("findings_catalog", "ingest_catalog", "scan_catalog", "storage_catalog", "reports_catalog"):
+    for module in ("findings_catalog", "ingest_catalog", "scan_catalog", "storage_catalog", "reports_catalog", "sources_catalog"):
         importlib.import_module(f"vulnloom.plans.{module}")
     return REGISTRY
 

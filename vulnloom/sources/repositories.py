@@ -77,6 +77,19 @@ def pending(ground_truth: DataFrame, done: DataFrame, most: int | None = None) -
     return left if most is None else left.limit(most)
 
 
+# Names of languages that one flow covers, and states of a clone that can be worked on.
+FLOWS = {"python": ["python", "py"], "nodejs": ["javascript", "js", "typescript", "ts"]}
+CLONED = ["success", "already_exists", "updated"]
+
+
+def ready(repos: DataFrame, done: DataFrame, flow: str | None = None, states: list[str] = CLONED[:2]) -> DataFrame:
+    """Repositories (full_name, language, clone_status) that are cloned, of the flow's languages, and not in ``done`` (full_name)."""
+    fit = repos.filter(F.col("clone_status").isin(states) & (F.coalesce("full_name", F.lit("")) != ""))
+    if flow is not None:
+        fit = fit.filter(F.lower(F.trim(F.coalesce("language", F.lit("")))).isin(FLOWS["python" if flow == "python" else "nodejs"]))
+    return fit.join(done.select("full_name").distinct(), "full_name", "left_anti").select(*repos.columns)
+
+
 def path_index(*indexes: DataFrame) -> DataFrame:
     """(full_name, path) from several indexes; the first that knows a repository counts."""
     both = None
