@@ -230,3 +230,11 @@ def test_repository_names(spark, tmp_path):
 
     (tmp_path / "links.txt").write_text("# c\n\nhttps://github.com/a/b.git\norg/name@abc\n git@host.org:x/y/ \nnot a link\nhttps://h.org/p.q/r-s\n")
     assert [r.full_name for r in repositories.read_links(spark, str(tmp_path / "links.txt")).collect()] == ["a/b", "org/name", "x/y", "p.q/r-s"]
+
+
+def test_deep_graphs_fold(spark):
+    """Depths of a chain deeper than several folds, beside a short cut and a cycle."""
+    n = 2 * paths.FOLD + 5
+    edges = [("s", f"n{k}", f"n{k + 1}") for k in range(n)] + [("s", "n3", "n9"), ("s", f"n{n}", "n5"), ("t", "a", "b")]
+    got = {(r.scan_id, r.node): r.depth for r in paths.depths(spark.createDataFrame(edges, "scan_id string, src string, dst string"), spark.createDataFrame([("s", "n0"), ("t", "a")], "scan_id string, root string")).collect()}
+    assert got == {("s", f"n{k}"): k if k < 9 else k - 5 for k in range(n + 1)} | {("t", "a"): 0, ("t", "b"): 1}

@@ -12,10 +12,12 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vulnloom.sources.shared import stored
+from vulnloom.sources.shared import drop_stored, stored
 from vulnloom.sources.testbed import Graph
 
 HOPS = 12
+#: Rounds after which what they reached is written as one table.
+FOLD = 8
 
 
 def prune_flat(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -65,23 +67,38 @@ def depths(edges: DataFrame, roots: DataFrame) -> DataFrame:
     start = roots.join(edges.select("scan_id").distinct(), "scan_id", "left_semi").select("scan_id", F.col("root").alias("node"), F.lit(0).alias("depth"))
     first = _direct(pruned, roots).join(start.select("scan_id", "node"), ["scan_id", "node"], "left_anti")
     frontier = stored(first.withColumn("depth", F.lit(1)), "frontier")
-    seen = start.union(frontier)
+    folded = stored(start.union(frontier), "reached")
+    drop_stored(frontier)
+    seen, rounds = folded, []
     for depth in count(2):
-        step = frontier.join(pruned.withColumnRenamed("src", "node"), ["scan_id", "node"]).select("scan_id", F.col("dst").alias("node")).distinct()
+        last = rounds[-1] if rounds else folded.filter(F.col("depth") == depth - 1)
+        step = last.join(pruned.withColumnRenamed("src", "node"), ["scan_id", "node"]).select("scan_id", F.col("dst").alias("node")).distinct()
         frontier = stored(step.join(seen, ["scan_id", "node"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         if frontier.isEmpty():
-            return seen
+            break
+        rounds.append(frontier)
         seen = seen.union(frontier)
+        if len(rounds) == FOLD:
+            # What was reached so far becomes one table, so a deep graph does not read a table for every round in each.
+            seen = stored(seen, "reached")
+            for old in (folded, *rounds):
+                drop_stored(old)
+            folded, rounds = seen, []
+    for old in (frontier, pruned, edges, roots):
+        drop_stored(old)
+    return seen
 
 
 def shortest_chains(edges: DataFrame, starts: DataFrame, targets: DataFrame, hops: int = HOPS) -> DataFrame:
     """(scan_id, root, target, hops, chain): one shortest chain per root and target, the least in order of its nodes.
 
     ``starts`` (scan_id, root), ``targets`` (scan_id, target).  A start that is a target is a chain of itself.
-    Edges are cut to the scans of targets first; per (scan, root, node) only the least chain is kept.
+    Edges are cut to the scans of targets and written once, as are targets; per (scan, root, node) only the least chain is kept.
     """
-    edges = edges.join(targets.select("scan_id").distinct(), "scan_id", "left_semi")
-    frontier = starts.join(targets.select("scan_id").distinct(), "scan_id", "left_semi").select("scan_id", "root", F.col("root").alias("node"), F.array("root").alias("chain")).distinct()
+    targets = stored(targets.distinct(), "targets")
+    scans = targets.select("scan_id").distinct()
+    edges = stored(edges.join(scans, "scan_id", "left_semi").select("scan_id", "src", "dst"), "edges")
+    frontier = starts.join(scans, "scan_id", "left_semi").select("scan_id", "root", F.col("root").alias("node"), F.array("root").alias("chain")).distinct()
     frontier = stored(frontier, "chains")
     seen = frontier
     for _ in range(hops):
@@ -91,7 +108,8 @@ def shortest_chains(edges: DataFrame, starts: DataFrame, targets: DataFrame, hop
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
-    found = seen.withColumnRenamed("node", "target").join(targets.distinct(), ["scan_id", "target"], "left_semi")
+    drop_stored(edges)
+    found = seen.withColumnRenamed("node", "target").join(targets, ["scan_id", "target"], "left_semi")
     return found.select("scan_id", "root", "target", (F.size("chain") - 1).alias("hops"), "chain")
 
 
