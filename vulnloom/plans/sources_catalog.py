@@ -12,6 +12,7 @@ from vulnloom.plans import oracle as O
 from vulnloom.plans.catalog import ALERT_COLUMNS, CASES, REPOS_SQL, _cases, _repos, flat, register
 from vulnloom.sources import advisories, generated, repositories
 from vulnloom.sources.testbed import Graph
+from vulnloom.streaming import landing
 
 # --- generated texts ----------------------------------------------------------------------------------------------
 
@@ -157,3 +158,32 @@ register(
     O.over(f"""SELECT id, summary AS unlabelled, summary || ' see here end' AS plain, CASE WHEN length(summary) + 1 >= 20 THEN summary || '.' END AS short,
   CASE WHEN len(fix_versions) = 0 THEN 'no fixed version' WHEN kev THEN '1.0 to ' || target ELSE 'to ' || target END AS path FROM (SELECT *, {O.PREFERRED} AS target FROM vulns)"""),
 )
+
+
+# --- import lists -------------------------------------------------------------------------------------------------
+
+
+def _summaries(g: Graph) -> DataFrame:
+    """A summary of results per day, as JSON text that is read back; every fifth result names no file."""
+    named = F.when(F.expr("CAST(scan_id AS BIGINT) % 5 <> 0"), F.concat(F.lit("data/"), "scan_id", F.lit(".json"))).otherwise(" ")
+    text = g.sboms.groupBy("generated_at").agg(F.to_json(F.struct(F.collect_list(F.struct(named.alias("vulnerability_file"))).alias("results"))).alias("text"))
+    return text.select(F.from_json("text", "results array<struct<vulnerability_file:string>>").alias("d")).select("d.results")
+
+
+def _import_list(g: Graph) -> DataFrame:
+    """Contents of the listed files: a repository by its key, name, address or not at all; every third is imported already."""
+    k = F.regexp_extract("vulnerability_file", r"(\d+)", 1).cast("long")
+    name = F.concat(F.lit("o/r"), (k % 50).cast("string"))
+    repo = F.struct(F.when(k % 4 == 0, F.concat(F.lit("key-"), name)).alias("metadata_key"), F.when(k % 4 == 1, name).alias("full_name"), F.when(k % 4 == 2, F.concat(F.lit("https://h/"), name)).alias("url"), F.lit(None).cast("string").alias("name"))
+    files = landing.listed_files(_summaries(g)).select(F.col("vulnerability_file").alias("file"), repo.alias("repo"), F.concat(F.lit("sbom-"), k.cast("string")).alias("sbom_file"))
+    done = g.sboms.filter("CAST(scan_id AS BIGINT) % 3 = 0").select(F.concat(F.lit("o/r"), (F.col("scan_id").cast("long") % 50).cast("string")).alias("repo_key")).distinct().filter("length(repo_key) = 4")
+    return landing.import_list(files, done)
+
+
+register(
+    "import_list",
+    _import_list,
+    O.over("""SELECT repo_key, min(file) AS file, arg_min('sbom-' || k, file) AS sbom_file FROM (
+  SELECT k, 'data/' || k || '.json' AS file, CASE k % 4 WHEN 0 THEN 'key-o/r' || (k % 50) WHEN 1 THEN 'o/r' || (k % 50) WHEN 2 THEN 'https://h/o/r' || (k % 50) END AS repo_key FROM (SELECT CAST(scan_id AS BIGINT) AS k FROM sboms) WHERE k % 5 <> 0)
+WHERE repo_key IS NOT NULL AND repo_key NOT IN (SELECT DISTINCT 'o/r' || (CAST(scan_id AS BIGINT) % 50) FROM sboms WHERE CAST(scan_id AS BIGINT) % 3 = 0 AND CAST(scan_id AS BIGINT) % 50 < 10) GROUP BY repo_key"""),
+)
