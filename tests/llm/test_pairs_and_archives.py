@@ -263,5 +263,5 @@ def test_pipeline(spark):
 
 
 def test_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries.queries()}
     assert set(queries.oracle_sql()) <= set(queries.queries())
