@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from vulnloom.operators import alerts
+from vulnloom.operators import alerts, cases
 from vulnloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +26,7 @@ def moved(df) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("name", ["alerts_all", "alert_cases", "action_counts", "affected_areas", "alerts_enterprise", "predicate_number_in", "portfolio_projects", "remediation_clusters", "top_clusters"])
+@pytest.mark.parametrize("name", ["alerts_all", "alert_cases", "action_counts", "affected_areas", "alerts_enterprise", "predicate_number_in", "portfolio_projects", "remediation_clusters", "top_clusters", "snapshot_delta", "q1_top_risky_projects", "q9_project_summary", "q11_top_components"])
 def test_alerts_are_not_moved(spark, name):
     assert not moved(catalog.queries()[name](spark, SF))
 
@@ -43,3 +43,10 @@ def test_advisories_beyond_the_bound(spark):
     g = catalog.graph(spark, SF)
     count = lambda df: sorted(df.groupBy("project", "vuln_id").count().collect())
     assert count(alerts.exposures(g, most_advisories=0)) == count(alerts.exposures(g))
+
+
+def test_repeated_keys_of_snapshots(spark):
+    """A key that a side has twice gives each pair, and sides without it give rows of their own."""
+    made = lambda rows: spark.createDataFrame([(*r, "likely_reachable", True, "new") for r in rows], "project string, vuln_id string, component_id string, risk_score double, reachability_verdict string, fix_available boolean, status string")
+    found = cases.delta(made([("p", "a", None, 1.0), ("p", "a", None, 2.0), ("p", "b", "c", 3.0)]), made([("p", "a", None, 4.0), ("q", "a", None, 5.0)]))
+    assert sorted((r.project, r.vuln_id, r.old_risk_score or 0, r.new_risk_score or 0) for r in found.collect()) == [("p", "a", 1, 4), ("p", "a", 2, 4), ("p", "b", 3, 0), ("q", "a", 0, 5)]
