@@ -50,3 +50,11 @@ def test_repeated_keys_of_snapshots(spark):
     made = lambda rows: spark.createDataFrame([(*r, "likely_reachable", True, "new") for r in rows], "project string, vuln_id string, component_id string, risk_score double, reachability_verdict string, fix_available boolean, status string")
     found = cases.delta(made([("p", "a", None, 1.0), ("p", "a", None, 2.0), ("p", "b", "c", 3.0)]), made([("p", "a", None, 4.0), ("q", "a", None, 5.0)]))
     assert sorted((r.project, r.vuln_id, r.old_risk_score or 0, r.new_risk_score or 0) for r in found.collect()) == [("p", "a", 1, 4), ("p", "a", 2, 4), ("p", "b", 3, 0), ("q", "a", 0, 5)]
+
+
+@pytest.mark.parametrize(("name", "times"), [("report_developer", 2)])
+def test_cases_are_made_once(spark, name, times):
+    """A report reads its cases once: alerts, and the states of the test tables, expand advisories (once each), and nothing moves or is stored."""
+    df = catalog.queries()[name](spark, SF)
+    assert not moved(df)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Generate explode(_vulns") == times
