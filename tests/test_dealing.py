@@ -52,7 +52,7 @@ def test_repeated_keys_of_snapshots(spark):
     assert sorted((r.project, r.vuln_id, r.old_risk_score or 0, r.new_risk_score or 0) for r in found.collect()) == [("p", "a", 1, 4), ("p", "a", 2, 4), ("p", "b", 3, 0), ("q", "a", 0, 5)]
 
 
-@pytest.mark.parametrize(("name", "times"), [("report_developer", 2)])
+@pytest.mark.parametrize(("name", "times"), [("report_developer", 2), ("report_narrative", 2)])
 def test_cases_are_made_once(spark, name, times):
     """A report reads its cases once: alerts, and the states of the test tables, expand advisories (once each), and nothing moves or is stored."""
     df = catalog.queries()[name](spark, SF)
