@@ -58,3 +58,10 @@ def test_cases_are_made_once(spark, name, times):
     df = catalog.queries()[name](spark, SF)
     assert not moved(df)
     assert df._jdf.queryExecution().executedPlan().toString().count("Generate explode(_vulns") == times
+
+
+@pytest.mark.parametrize("by", ["risk", "severity", "depth"])
+def test_lists_make_their_winners_alone(spark, by):
+    """The list is ranked on few fields; what is made in full is joined with the winners of that ranking."""
+    plan = catalog.queries()[f"alert_list_by_{by}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan
