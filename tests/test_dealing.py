@@ -60,6 +60,11 @@ def test_cases_are_made_once(spark, name, times):
     assert df._jdf.queryExecution().executedPlan().toString().count("Generate explode(_vulns") == times
 
 
+def test_heatmap_makes_alerts_once(spark):
+    plan = catalog.queries()["portfolio_heatmap"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Generate explode(_vulns") == 1
+
+
 @pytest.mark.parametrize("by", ["risk", "severity", "depth"])
 def test_lists_make_their_winners_alone(spark, by):
     """The list is ranked on few fields; what is made in full is joined with the winners of that ranking."""
