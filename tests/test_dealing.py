@@ -65,6 +65,12 @@ def test_heatmap_makes_alerts_once(spark):
     assert plan.count("Generate explode(_vulns") == 1
 
 
+def test_kpis_move_sums_not_alerts(spark):
+    """What is shuffled is one row per vulnerability and task."""
+    found = moved(catalog.queries()["portfolio_kpis"](spark, SF))
+    assert found and all("hashpartitioning(vuln_id" in x or "SinglePartition" in x for x in found)
+
+
 @pytest.mark.parametrize("by", ["risk", "severity", "depth"])
 def test_lists_make_their_winners_alone(spark, by):
     """The list is ranked on few fields; what is made in full is joined with the winners of that ranking."""
