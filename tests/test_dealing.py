@@ -1,10 +1,12 @@
 """Rows of alerts are dealt by project once, before a component's advisories are expanded, and moved no more."""
 
+import json
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from vulnloom.operators import alerts, cases
+from vulnloom.operators import alerts, cases, reports
 from vulnloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -76,3 +78,21 @@ def test_lists_make_their_winners_alone(spark, by):
     """The list is ranked on few fields; what is made in full is joined with the winners of that ranking."""
     plan = catalog.queries()[f"alert_list_by_{by}"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan
+
+
+def test_stakeholder_report_of_one_aggregate(spark):
+    """It reads its cases once, moves and stores nothing, and says what its parts say one by one."""
+    df = catalog.queries()["report_stakeholder"](spark, SF)
+    assert not moved(df)
+    assert df._jdf.queryExecution().executedPlan().toString().count("Generate explode(_vulns") == 2
+    found = catalog._cases(catalog.graph(spark, SF)).withColumn("status", F.when(F.col("project") == catalog.PROJECT, "verified_closed").otherwise(F.col("status")))
+    rows = {r.project: json.loads(r.report) for r in reports.stakeholder_report(found).collect()}
+    one = lambda df: {r.project: {k: v for k, v in r.asDict().items() if k != "project"} for r in df.collect()}
+    assert one(reports.posture(found)) == {p: r["posture"] for p, r in rows.items() if "posture" in r}
+    assert one(reports.action_counts(found)) == {p: r["counts"] for p, r in rows.items()}
+    assert one(reports.impact(found)) == {p: r["impact"] for p, r in rows.items() if "impact" in r}
+    listed = lambda df, *cols: sorted((r.project, r["rank"], *[r[c] for c in cols]) for r in df.collect())
+    told = lambda name, *cols: sorted((p, x["rank"], *[x[c] for c in cols]) for p, r in rows.items() for x in r.get(name, []))
+    assert listed(reports.affected_areas(found), "title", "cases", "vulns", "focus") == told("areas", "title", "cases", "vulns", "focus")
+    assert listed(reports.top_clusters(reports.clusters(found)), "component", "tier", "cases", "vulns") == told("priorities", "component", "tier", "cases", "vulns")
+    assert set(rows[catalog.PROJECT]) == {"counts", "actions"} and rows[catalog.PROJECT]["counts"]["open"] == 0
