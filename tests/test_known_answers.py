@@ -238,3 +238,32 @@ def test_deep_graphs_fold(spark):
     edges = [("s", f"n{k}", f"n{k + 1}") for k in range(n)] + [("s", "n3", "n9"), ("s", f"n{n}", "n5"), ("t", "a", "b")]
     got = {(r.scan_id, r.node): r.depth for r in paths.depths(spark.createDataFrame(edges, "scan_id string, src string, dst string"), spark.createDataFrame([("s", "n0"), ("t", "a")], "scan_id string, root string")).collect()}
     assert got == {("s", f"n{k}"): k if k < 9 else k - 5 for k in range(n + 1)} | {("t", "a"): 0, ("t", "b"): 1}
+
+
+def test_states_of_odd_keys(spark):
+    """Texts whose parts hold bars, blank parts, several states of a key, and cases that differ in a blank component."""
+    cases = spark.createDataFrame([("a|b", "v", "c"), ("a", "b|v", "c"), ("a", "b", None), ("a", "b", ""), ("", "w", "c"), (None, "w", None), ("q", None, "c"), ("q", "w", "d"), ("z", "y", "")], "project string, vuln_id string, component_id string")
+    given = [
+        (None, None, None, "a|b|v|c", "open", "1"), (None, None, None, "a|b|", "blank", "1"), (None, None, None, "a|b", "short", "1"), (None, "w", "", None, "wide", "1"), ("", "w", "c", None, "part", "2"), ("", "w", "c", None, "older", "1"),
+        ("q", "w", None, None, None, "1"), (None, None, "c", None, "none", "1"), (None, None, None, "|w|c", "none", "1"), (None, None, None, "q||c", "none", "1"), ("z", "y", "", "z|y|", "own", "1"),
+    ]
+    states = spark.createDataFrame([(*r, "me") for r in given], "project string, vuln_id string, component_id string, state_key string, status string, updated_at string, owner string")
+    for partitions in (None, 5):
+        got = {(r.project, r.vuln_id, r.component_id): (r.status, r.owner) for r in findings.resolve_states(cases, states, partitions).collect()}
+        assert got == {
+            ("a|b", "v", "c"): ("open", "me"), ("a", "b|v", "c"): ("open", "me"), ("a", "b", None): ("blank", "me"), ("a", "b", ""): ("blank", "me"), ("", "w", "c"): ("part", "me"), (None, "w", None): ("wide", "me"),
+            ("q", None, "c"): (None, None), ("q", "w", "d"): (None, "me"), ("z", "y", ""): ("own", "me"),
+        }
+
+
+def test_states_move_a_case_once(spark):
+    """Between a case and its state lies one shuffle, by vulnerability."""
+    from vulnloom.plans import catalog
+
+    from tests.test_dealing import moved
+
+    for name in ("state_resolution", "state_shapes"):
+        df = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+        cases = df._jdf.queryExecution().executedPlan().toString()
+        assert "posexplode" not in cases
+        assert all("hashpartitioning(vuln_id" in x or "hashpartitioning(project" in x for x in moved(df))
